@@ -59,3 +59,25 @@ def words_of(text: Column) -> Column:
 def share(key: Column, salt: str) -> Column:
     """A uniform number in [0, 1) fixed by key and salt: which rows a bounded sample takes."""
     return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / float(1 << 30)
+
+
+def by_group(batches, keys: list[str]):
+    """Tables of one group each from batches sorted by ``keys``; a group may span batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        cuts = [0, *(np.flatnonzero([a != b for a, b in zip(rows[1:], rows)]) + 1).tolist(), len(rows)]
+        for s, e in zip(cuts, cuts[1:]):
+            if rows[s] != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = rows[s]
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield now, pa.Table.from_batches(held)
