@@ -167,6 +167,19 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(block_links, "a long, b long")
 
 
+def link(docs: DataFrame, key: Column, text_col: str = "text") -> DataFrame:
+    """(keep, fp, n_copies, least) of each row: its key, fingerprint, rows of that
+    fingerprint, and the smallest key linked with it through any number of links."""
+    found = cut(fingerprints(docs, key, text_col))
+    distinct = cut(found.groupBy("fp").agg(F.min("keep").alias("least"), F.count("*").alias("n_copies")))
+    roots = cut(components(links(distinct)))
+    named = cut(roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least").alias("name")))
+    linked = cut(roots.join(named, "root").select(F.col("node").alias("fp"), "name", F.lit(True).alias("linked")))
+    least = F.when(F.col("linked"), F.col("name")).otherwise(F.col("least"))
+    names = cut(distinct.join(linked, "fp", "left").select("fp", "n_copies", least.alias("least")))
+    return found.join(names, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: doc_id, fingerprint, component_id, n_copies.
 
@@ -177,10 +190,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only the two named columns are read.  ``n_copies`` counts the rows of the same
     fingerprint.
     """
-    found = cut(fingerprints(docs, F.col(id_col), text_col).withColumnRenamed("keep", "doc_id"))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
-    roots = cut(components(links(distinct)))
-    named = cut(roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least").alias("name")))
-    linked = cut(roots.join(named, "root").select(F.col("node").alias("fp"), "name"))
-    names = cut(distinct.join(linked, "fp", "left").select("fp", "n_copies", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id")))
-    return found.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
+    fingerprint_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return link(docs, F.col(id_col), text_col).select(F.col("keep").alias("doc_id"), fingerprint_hex, F.col("least").alias("component_id"), "n_copies")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of the smallest id, then the first in the scan."""
+    rid = F.monotonically_increasing_id()
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), rid.alias("rid"))
+    stay = link(docs, key, text_col).where("keep <=> least").select(F.col("keep.rid").alias("rid"))
+    rows = docs.select(rid.alias("rid"), F.struct("*").alias("doc"))
+    return rows.join(stay, "rid", "left_semi").select("doc.*")

@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: fixed lexicons, pattern voters, lexicons mined from
-labelled rows (whole words and word beginnings that stand almost only in toxic
-texts, dealt into ``FAMILIES`` voters), and a voter that finds nothing amiss.  A
+labelled rows (whole words, word beginnings, and beginnings dense in a text, that
+stand almost only in toxic texts, dealt into ``FAMILIES`` voters), and a voter that finds nothing amiss.  A
 generative label model estimates by expectation-maximisation how often each voter
 speaks and is right given the hidden label; the correlation of voters given the
 label is estimated too, and a voter counts the less the more it repeats others.
@@ -16,6 +16,7 @@ first by a hash of the id, with whole texts.  All texts are scored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,11 +30,13 @@ from .shared import cut, held_out
 #: Labelled rows of each class that the model is fitted on, at most.
 FIT_PER_CLASS = 3000
 #: Mined features kept, at most, and voters they are dealt to.
-MINED, FAMILIES = 1500, 12
+MINED, FAMILIES = 2000, 12
 #: A mined feature stands in so many toxic texts of the sample and so purely.
-LEAST_TOXIC, PURITY = 4, 0.95
+LEAST_TOXIC, PURITY = 4, 0.92
 #: Lengths of word beginnings.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+#: Words of a text for one occurrence of a beginning that is dense in it; it occurs twice at least.
+DENSE = 150
 #: Least score that is predicted toxic.
 CUTOFF = 0.3
 
@@ -59,10 +62,13 @@ def fixed_votes(text: str, words: set[str]) -> list[bool]:
     return [not words.isdisjoint(x) for x in _LEXICONS] + [p.search(text) is not None for p in _PATTERNS]
 
 
-def features(text: str) -> tuple[set[str], set[str]]:
-    """The distinct lower-case words of a text, and their beginnings (marked by a hyphen)."""
-    words = set(_WORD.findall(text.lower()))
-    return words, {w[:n] + "-" for n in PREFIXES for w in words if len(w) > n}
+def features(text: str) -> tuple[set[str], set[str], set[str]]:
+    """The distinct lower-case words of a text, their beginnings (marked -), and the beginnings dense in it (marked +)."""
+    found = _WORD.findall(text.lower())
+    words = set(found)
+    starts = Counter([w[:n] for w in found if len(w) > 4 for n in PREFIXES if len(w) > n])
+    least = max(2, -(-len(found) // DENSE))
+    return words, {x + "-" for x in starts}, {x + "+" for x, n in starts.items() if n >= least}
 
 
 @dataclass
@@ -73,8 +79,9 @@ class Model:
 
     def row(self, text: str) -> list[int]:
         """Places of the features that stand in a text: mined ones, then fixed votes."""
-        words, starts = features(text)
-        found = sorted({self.place[f] for s in (words, starts) for f in s & self.place.keys()})
+        sets = features(text)
+        words = sets[0]
+        found = sorted({self.place[f] for s in sets for f in s & self.place.keys()})
         n = len(self.place)
         return found + [n + k for k, v in enumerate(fixed_votes(text, words)) if v]
 
@@ -124,16 +131,29 @@ def linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400)
     return w
 
 
-def platt(logit: np.ndarray, gold: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(a, b) of sigmoid(a * logit + b) fitted to the labels, each class smoothed by a row."""
+def platt(logit: np.ndarray, gold: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(a, b) of sigmoid(a * logit + b) fitted to the labels, each class smoothed by a row; Newton steps, halved while they do not help."""
     n1 = gold.sum()
     y = np.where(gold == 1, (n1 + 1) / (n1 + 2), 1 / (len(gold) - n1 + 2))
     x = np.stack([logit, np.ones_like(logit)], axis=1)
-    w = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.05 * w[0] ** 2)
+
+    w = np.array([0.5, 0.0])
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        w = w - np.linalg.solve(h, x.T @ (p - y) + 1e-6 * w)
+        g = x.T @ (p - y) + np.array([0.1 * w[0], 0])
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.1, 1e-6]), g)
+        step = 1.0
+        while step > 1e-4 and loss(w - step * move) > now:
+            step /= 2
+        new = loss(w - step * move)
+        if new >= now - 1e-9:
+            break
+        w, now = w - step * move, new
     return float(max(w[0], 0.0)), float(w[1])
 
 
