@@ -2,8 +2,8 @@
 
 A page is cut into blocks of text.  Blocks inside the page's article (or main)
 element, outside whatever its mark-up declares to be something else, are its main
-text.  A page that declares no article keeps the runs of its other blocks that do
-not repeat across its host: the token streams of up to ``TOGETHER`` pages of the
+text.  A page that declares no article keeps those of its other blocks of which
+less than half repeats across its host: the token streams of up to ``TOGETHER`` pages of the
 host are concatenated, their suffixes sorted to the depth of ``RUN`` tokens, and
 tokens covered by a substring of that length on ``PAGES`` or more distinct pages
 are boilerplate.  Large hosts are dealt into several such groups.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import by_group, cut
 
 #: Tokens of the shortest repeat, distinct pages it is on, and pages of a group, about.
-RUN, PAGES, TOGETHER = 6, 3, 128
+RUN, PAGES, TOGETHER = 8, 3, 128
 
 #: HTML elements by their part in a page.
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed".split())
@@ -107,11 +107,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
+                    state = stack[k - 1][1:] if k else (False, False)
+                    if state != (inside, apart):
+                        flush()
                     del stack[k:]
-                    _, inside, apart = stack[-1] if stack else ("", False, False)
+                    inside, apart = state
                     break
-                if stack[k][0] in MAIN and name not in ("body", "html", "article", "main") :
+                if stack[k][0] in MAIN and name not in ("body", "html", *MAIN):
                     break  # a stray end tag does not leave the article
             continue
         if name in RAW:
@@ -224,8 +226,8 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = repeated(streams)
         out = []
         for page, gone, away, whole in zip(streams, flags, apart, opened):
-            kept = [" ".join(t for t, g in zip(block, gs) if not g) for block, gs, a in zip(page, gone, away) if not a]
-            out.append("\n".join(t for t in kept if t) if whole else None)
+            kept = [" ".join(block) for block, gs, a in zip(page, gone, away) if not a and 2 * gs.sum() < len(gs)]
+            out.append("\n".join(kept) if whole else None)
         chosen = rows.select(["page_id", "url"]).append_column("text", pa.array(out, pa.string())).filter(pa.array(opened))
         yield from chosen.combine_chunks().to_batches()
 

@@ -74,7 +74,7 @@ def features(text: str) -> tuple[set[str], set[str], set[str]]:
 @dataclass
 class Model:
     place: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(_LEXICONS) + len(_PATTERNS) + 1))
     scale: tuple[float, float] = (0.0, -4.0)
 
     def row(self, text: str) -> list[int]:
