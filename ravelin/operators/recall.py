@@ -124,3 +124,24 @@ def cue_pairs(names: DataFrame, fanout: int = 16, native: bool = False) -> DataF
     pairs = held.select("cue", "ids", F.posexplode("ids").alias("i", "left"))
     pairs = pairs.select("cue", "left", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("right"))
     return pairs.groupBy("left", "right").agg(F.array_sort(F.collect_set("cue")).alias("cues"), F.count("*").alias("n_cues"))
+
+
+def json_references(source: DataFrame, column: str, targets: DataFrame, depth: int = 4) -> DataFrame:
+    """(path, field, shared): targets' fields that hold a string found at a path of JSON objects in a column.
+
+    targets: a dictionary (field, value).
+    """
+    leaves = json_leaves(source, column, depth).select(F.array_join("path", ".").alias("path"), "value").where(join_usable(F.col("value"))).distinct()
+    return leaves.join(targets, "value").groupBy("path", "field").agg(F.count("*").alias("shared"))
+
+
+def hinted_branches(source: DataFrame, discriminator: str, tables: Sequence[str], most: int = 64) -> DataFrame:
+    """(literal, rows, table): literals of a discriminator whose words name a table; ``most`` literals at most.
+
+    Words are letters and digits, a plural's last s left out.
+    """
+    literals = source.where(join_usable(F.col(f"`{discriminator}`").cast("string"))).groupBy(F.col(f"`{discriminator}`").cast("string").alias("literal")).agg(F.count("*").alias("rows"))
+    literals = literals.orderBy(F.desc("rows"), "literal").limit(most)
+    words = F.transform(F.regexp_extract_all(F.lower("literal"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.regexp_replace(w, "s$", ""))
+    named = F.array([F.struct(F.lit(t).alias("table"), F.lit(t.rsplit(".", 1)[-1].lower().removesuffix("s")).alias("word")) for t in tables])
+    return literals.withColumn("t", F.explode(named)).where(F.array_contains(words, F.col("t.word"))).select("literal", "rows", "t.table")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.conditions import Condition
-from .functions.values import all_of, join_usable, json_leaf, ratio
-from .operators import cards, facts, graphs, profile, recall, reference, relations, retrieval, types
-from .sources.rows import lookup, number_rows, rows_at
+from .functions.values import json_leaf
+from .functions.lexical import member_of
+from .functions.templates import bind
+from .functions.units import canonical_unit
+from .operators import cards, facts, graphs, instances, profile, recall, reference, relations, retrieval, types
+from .plans import gates
+from .sources.rows import lookup, number_rows, rows_at, shared_dir
+from .streaming import checks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -682,3 +689,137 @@ def formula_bindings(spark, d):
 @query("""SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey IN (5, 24) THEN 'unresolved_operands' WHEN n_nationkey IN (20, 21) THEN 'cyclic_dependency' ELSE 'accepted' END AS status FROM nation""")
 def calculation_status(spark, d):
     return types.calculation_status(types.bind_formulas(*_metrics(spark, d)))
+
+
+# --- decisions, instances, streams ------------------------------------------
+
+
+@query("""WITH o AS (SELECT l_suppkey % 40 AS s, l_returnflag AS f, (l_linenumber * 10)::VARCHAR AS observation_value, count(*) AS source_row_count, count(DISTINCT l_linestatus) AS k FROM lineitem GROUP BY ALL),
+          c AS (SELECT *, count(*) OVER (PARTITION BY s, f) AS n FROM o)
+          SELECT s::BIGINT AS s, f, observation_value, source_row_count, CASE WHEN n <> 1 THEN 'ambiguous_coordinates' WHEN source_row_count > 40 THEN 'too_many_rows' WHEN k > 1 THEN 'residual_fields_vary' END AS reason FROM c""")
+def fact_instances(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("s"), F.col("l_returnflag").alias("f"), (F.col("l_linenumber") * 10).cast("string").alias("v"), "l_linestatus", "l_orderkey")
+    seen = facts.observed_tuples(rows, ["s", "f"], "v", "l_orderkey")
+    found = instances.fact_instances(rows, seen, ["s", "f"], "v", ["l_linestatus"], "type:quantity", "l_orderkey", most=40)
+    return found.select("s", "f", "observation_value", "source_row_count", "reason")
+
+
+@query("""WITH t AS (SELECT p_brand, p_type, 'template:' || lpad(p_partkey::VARCHAR, 8, '0') AS template_id, 'type:' || (p_partkey % 7) AS type_id, p_size AS ts FROM part WHERE p_partkey <= 60),
+          g AS (SELECT p_brand, p_type, min(template_id) AS template_id, arg_min(type_id, template_id) AS type_id, arg_min(ts, template_id) AS ts FROM t GROUP BY 1, 2 HAVING count(DISTINCT type_id) = 1)
+          SELECT p_partkey AS row, type_id, template_id, p_size <> ts AS variant FROM part JOIN g USING (p_brand, p_type)""")
+def definition_memberships(spark, d):
+    part = table(spark, d, "part")
+    made = part.where("p_partkey <= 60").withColumns({"template_id": F.concat(F.lit("template:"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")), "type_id": F.concat(F.lit("type:"), F.col("p_partkey") % 7)})
+    return instances.memberships(part, made, ["p_brand", "p_type"], ["p_size"], "p_partkey")
+
+
+@query("SELECT c_custkey AS id, c_mktsegment, c_nationkey, \"of\", place FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS \"of\", row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey)::INT AS place FROM customer) WHERE place <= 3")
+def instance_preview(spark, d):
+    return instances.preview(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_nationkey"), ["c_mktsegment", "c_nationkey"])
+
+
+@query("""WITH v AS (SELECT o_custkey AS subject, o_orderstatus AS attribute, o_orderkey::VARCHAR AS literal FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY attribute, literal) AS place FROM v)
+          SELECT c_custkey AS id, coalesce(list(attribute || '=' || literal ORDER BY place) FILTER (place <= 4), []) AS attributes, count(place) AS n_attributes FROM customer LEFT JOIN r ON c_custkey = subject GROUP BY c_custkey""")
+def attribute_preview(spark, d):
+    values = table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("attribute"), F.col("o_orderkey").cast("string").alias("literal"))
+    found = instances.attributes(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), values, 4)
+    return found.withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+
+
+@query("""SELECT p_partkey AS decision_id, list_filter([CASE WHEN p_size % 5 = 0 THEN 'unknown_root' END, CASE WHEN gone THEN 'record_not_in_evidence' END, CASE WHEN p_partkey % 7 = 0 AND NOT gone THEN 'truncated_record' END,
+          CASE WHEN p_partkey % 3 = 0 THEN 'label_not_a_source_name' END, CASE WHEN p_partkey % 4 = 0 OR gone THEN 'quote_is_no_whole_field' END, CASE WHEN gone THEN 'scope_value_not_in_records' END], lambda x: x IS NOT NULL) AS errors
+          FROM (SELECT *, p_partkey % 6 = 0 AND p_partkey <> 0 AS gone FROM part)""")
+def concept_gate(spark, d):
+    part = table(spark, d, "part")
+    key = F.col("p_partkey")
+    decisions = part.select(
+        key.alias("decision_id"), F.when(F.col("p_size") % 5 == 0, "Thing").otherwise("Metric").alias("root"), F.when(key % 3 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.concat("p_name", F.lit(" (part)"))).alias("label"),
+        F.array(F.when(key % 6 == 0, -key).otherwise(key).cast("string")).alias("record_ids"), F.when(key % 4 == 0, F.lit("a part")).otherwise(F.col("p_type")).alias("quote"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("scope"),
+    )
+    field = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("value"))
+    evidence = part.select(key.cast("string").alias("record_id"), (key % 7 == 0).alias("truncated"), F.explode(F.array(field("name", "p_name"), field("description", "p_type"), field("scope", "p_brand"))).alias("f")).select("record_id", "f.role", "f.value", "truncated")
+    return gates.concepts(decisions, evidence).select("decision_id", "errors")
+
+
+@query("""SELECT o_orderkey AS decision_id, list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'rule_not_checked' END, CASE WHEN o_orderkey % 3 = 0 AND o_custkey <> 0 THEN 'pair_not_checked' END, CASE WHEN o_orderkey % 4 = 0 THEN 'source_quote_not_found' END,
+          CASE WHEN o_orderkey % 3 = 0 AND o_custkey <> 0 THEN 'target_quote_not_found' END, CASE WHEN o_orderkey % 5 = 1 THEN 'numbers_prove_nothing' END], lambda x: x IS NOT NULL) AS errors FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL""")
+def relation_gate(spark, d):
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    key = F.col("o_orderkey")
+    rules = spark.createDataFrame([(str(k), "unresolved" if k == 0 else "checked_technical", "s", 10, 8, 1, 1, k == 1, False) for k in range(5)], "rule_id string, status string, snapshot_id string, eligible int, uniques int, ambiguous int, missing int, numeric_only boolean, declared boolean")
+    decisions = orders.select(
+        key.alias("decision_id"), (key % 5).cast("string").alias("rule_id"), F.lit("related_to").alias("predicate"), key.alias("source_row"), F.when(key % 3 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("target_row"),
+        F.when(key % 4 == 0, "nothing").otherwise(F.substring("o_orderpriority", 1, 4)).alias("source_quote"), F.lit("Customer").alias("target_quote"),
+    )
+    pairs = orders.select((key % 5).cast("string").alias("rule_id"), key.alias("source_row"), F.col("o_custkey").alias("target_row"))
+    found = gates.record_relations(decisions, rules, pairs, orders.select(key.alias("row"), F.array("o_orderpriority").alias("texts")), customer.select(F.col("c_custkey").alias("row"), F.array(F.concat(F.lit("Customer "), F.col("c_name"))).alias("texts")), "s")
+    return found.select("decision_id", "errors")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'projection:a' ELSE 'projection:b' END AS template_id, p_brand AS product, p_size::VARCHAR AS size FROM part WHERE p_size % 10 <> 3""")
+def template_bindings(spark, d):
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("sales of "), "p_brand", F.lit(" in size "), size)).when(F.col("p_size") % 10 != 3, F.concat("p_brand", F.lit(": returns, size "), size)).otherwise("something else")
+    rows = table(spark, d, "part").select("p_partkey", text.alias("text"), F.concat(F.lit("size "), size).alias("note"))
+    made = [
+        {"template_id": "projection:a", "type_id": "t1", "rank": 1, "fields": {"text": "sales of {product} in size {size}", "note": "size {size}"}},
+        {"template_id": "projection:b", "type_id": "t2", "rank": 1, "fields": {"text": "{product}: returns, size {size}", "note": "size {size}"}},
+    ]
+    return bind(rows, made).select("p_partkey", "template_id", F.col("slots")["product"].alias("product"), F.col("slots")["size"].alias("size"))
+
+
+@query("SELECT DISTINCT p_type, CASE WHEN p_type LIKE '%A%' THEN 'kg/m2' ELSE 'MW' END AS unit FROM part")
+def unit_spellings(spark, d):
+    spelling = F.when(F.col("p_type").contains("A"), "千克 / 平方米").otherwise(" M W")
+    return table(spark, d, "part").select("p_type", spelling.alias("u")).distinct().select("p_type", canonical_unit("u").alias("unit"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS member FROM part")
+def member_lists(spark, d):
+    listed = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("other; "), F.upper("p_name"), F.lit(", more"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("not "), F.col("p_name"))).otherwise(F.concat("p_name", F.lit(" extended")))
+    return table(spark, d, "part").select("p_partkey", member_of(listed, F.col("p_name")).alias("member"))
+
+
+@query("""SELECT o_orderkey AS source_row, CASE WHEN o_orderkey % 2 = 0 THEN 'matched' ELSE 'undecided' END AS outcome, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS target_row FROM orders""")
+def relation_text_decisions(spark, d):
+    orders = table(spark, d, "orders")
+    decided = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("source_row"), F.col("o_custkey").alias("target_row")).distinct()
+    plan = relations.RelationPlan("text", "related_to", "o_orderpriority", "c_name", "text", source_row="o_orderkey", target_row="c_custkey")
+    return relations.outcomes(orders, table(spark, d, "customer"), plan, decided).select("source_row", "outcome", "target_row")
+
+
+@query("""WITH l AS (SELECT DISTINCT event_type AS value FROM events) SELECT 'a.kind' AS path, 'events.event_type' AS field, count(*) AS shared FROM l WHERE trim(value) <> ''""")
+def json_references(spark, d):
+    events = table(spark, d, "events")
+    built = events.select(F.to_json(F.struct(F.struct(F.col("event_type").alias("kind"), F.lit(1).alias("n")).alias("a"), F.lit("zzz").alias("b"))).alias("j"))
+    targets = recall.dictionary({"events": events}, [("events", "event_type")])
+    return recall.json_references(built, "j", targets)
+
+
+@query("""WITH s AS (SELECT CASE event_id % 3 WHEN 0 THEN 'to_customer' WHEN 1 THEN 'supplier link' ELSE 'nothing' END AS literal FROM events), g AS (SELECT literal, count(*) AS rows FROM s GROUP BY 1)
+          SELECT literal, rows, CASE literal WHEN 'supplier link' THEN 'supplier' ELSE 'customer' END AS "table" FROM g WHERE literal <> 'nothing'""")
+def hinted_branches(spark, d):
+    kind = F.when(F.col("event_id") % 3 == 0, "to_customer").when(F.col("event_id") % 3 == 1, "supplier link").otherwise("nothing")
+    return recall.hinted_branches(table(spark, d, "events").select(kind.alias("kind")), "kind", ["customer", "supplier", "orders"])
+
+
+@query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS row_count, count(*) FILTER (WHERE event_type IS NULL) AS null_count, count(*) FILTER (WHERE trim(event_type) <> '') AS usable_count, 0::BIGINT AS numeric_count FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+def stream_profile(spark, d):
+    """A stream over the event files, run until what is there is read; the last state of each window counts."""
+    path = f"{d}/events.parquet"
+    # as a pattern: a stream takes a plain path for a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
+    name = uuid4().hex
+    where = f"{shared_dir(spark)}/stream-{name}"
+    profile_ = checks.windowed_profile(stream, "ts", "event_type")
+    run = profile_.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{where}/out")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{where}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+          s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+          SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS row_count FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    found = checks.sessions(table(spark, d, "events"), "ts", "user_id")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
