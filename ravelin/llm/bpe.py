@@ -3,8 +3,8 @@
 The distinct pieces of a batch of texts are one corpus of symbol sequences.  An
 inverted index maps each adjacent symbol pair to the places where it stands, and
 a heap holds the pairs by merge rank.  The best pair is merged at all its places
-at once, and only the neighbours of those places are touched: their old pairs are
-withdrawn and their new ones entered.  A piece's merges do not depend on other
+at once, and only the neighbours of those places are touched: their new pairs are
+entered, their old ones found stale when their turn comes.  A piece's merges do not depend on other
 pieces, so the result is the one of merging each piece alone.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces in each of the two generations a worker remembers between batches.
-REMEMBER = 250_000
+REMEMBER = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -29,68 +29,107 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def replay(pieces: Iterable[bytes], ranks: dict[bytes, int]) -> dict[bytes, list[int]]:
-    """Token ids of each distinct piece, by replaying merges over all of them."""
+class Merges:
+    """What two tokens make: the id of their joined bytes, looked up once for each pair met."""
+
+    SHIFT = 20
+    #: Stands after the last symbol of a piece; it merges with nothing.
+    END = (1 << SHIFT) - 1
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= self.END:
+            raise ValueError(f"ids are below {self.END}")
+        self.ranks, self.bytes_of = ranks, {rank: token for token, rank in ranks.items()}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.made: dict[int, int] = {}
+
+    def look(self, pair: int) -> int:
+        """The id that a pair (left << SHIFT | right) makes, -1 if none."""
+        left, right = pair >> self.SHIFT, pair & self.END
+        made = -1 if self.END in (left, right) else self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        self.made[pair] = made
+        return made
+
+
+def replay(pieces: Iterable[bytes], merges: Merges) -> dict[bytes, list[int]]:
+    """Token ids of each distinct piece, by replaying merges over all of them.
+
+    Places whose symbols have changed since they were entered are passed over when
+    their pair's turn comes.  A merge may open a pair of an earlier rank; then the
+    later places of that piece wait until that pair has had its turn.
+    """
+    ranks, shift, end, made, look = merges.ranks, merges.SHIFT, merges.END, merges.made, merges.look
     pieces = list(dict.fromkeys(pieces))
     done = {p: [ranks[p]] for p in pieces if p in ranks}  # a piece that is a token stays one
     pieces = [p for p in pieces if p and p not in done]
-    # all pieces in one run of symbols, linked to their neighbours; -1 ends a piece
-    symbol: list[bytes] = []
-    left: list[int] = []
-    right: list[int] = []
+    # all pieces in one run of symbols, each ended; links to the neighbours that remain
+    symbol: list[int] = []
+    of: list[int] = []
+    single = merges.single
     first = []
-    for p in pieces:
-        base, n = len(symbol), len(p)
-        first.append(base)
-        symbol += [p[i : i + 1] for i in range(n)]
-        left += [-1, *range(base, base + n - 1)]
-        right += [*range(base + 1, base + n), -1]
-    index: dict[tuple[bytes, bytes], set[int]] = {}
-    heap: list[tuple[int, tuple[bytes, bytes]]] = []
-
-    def enter(at: int) -> None:
-        to = right[at]
-        if to >= 0:
-            pair = (symbol[at], symbol[to])
-            places = index.get(pair)
-            if places is None:
-                rank = ranks.get(pair[0] + pair[1])
-                if rank is None:
-                    return
-                places = index[pair] = set()
-                heapq.heappush(heap, (rank, pair))
-            places.add(at)
-
-    def leave(at: int) -> None:
-        places = index.get((symbol[at], symbol[right[at]])) if right[at] >= 0 else None
-        if places:
-            places.discard(at)
-
-    for at in range(len(symbol)):
-        enter(at)
+    for k, p in enumerate(pieces):
+        first.append(len(symbol))
+        symbol += [single[b] for b in p]
+        symbol.append(end)
+        of += [k] * (len(p) + 1)
+    n = len(symbol)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    index: dict[int, list[int]] = {}
+    for at, pair in enumerate([a << shift | b for a, b in zip(symbol, symbol[1:])]):
+        places = index.get(pair)
+        if places is None:
+            index[pair] = [at]
+        else:
+            places.append(at)
+    heap = []
+    for pair in index:
+        rank = made.get(pair)
+        if rank is None:
+            rank = look(pair)
+        if rank >= 0:
+            heap.append((rank, pair))
+    heapq.heapify(heap)
     while heap:
-        _, pair = heapq.heappop(heap)
-        places = index.pop(pair, ())
-        merged = pair[0] + pair[1]
-        for at in sorted(places):  # from the left, as overlapping places of one piece are merged
-            if symbol[at] != pair[0] or right[at] < 0 or symbol[right[at]] != pair[1]:
-                continue  # an overlapping place on its left took this symbol
-            to, before = right[at], left[at]
-            if before >= 0:
-                leave(before)
-            leave(to)
-            symbol[at], symbol[to] = merged, b""
-            right[at] = right[to]
-            if right[to] >= 0:
-                left[right[to]] = at
-            right[to] = -1
-            if before >= 0:
-                enter(before)
-            enter(at)
+        rank, pair = heapq.heappop(heap)
+        places = index.pop(pair, None)
+        if places is None:
+            continue
+        a, b = pair >> shift, pair & end
+        waits, later = -1, []
+        if len(places) > 1:
+            places.sort()  # from the left, as overlapping places of one piece are merged
+        for at in places:
+            to = right[at]
+            if symbol[at] != a or symbol[to] != b:
+                continue
+            if of[at] == waits:
+                later.append(at)
+                continue
+            symbol[at], symbol[to] = rank, -1
+            after, before = right[to], left[at]
+            right[at], left[after] = after, at
+            for place, new in ((at, rank << shift | symbol[after]), (before, symbol[before] << shift | rank)):
+                if place < 0:
+                    continue
+                opened = made.get(new)
+                if opened is None:
+                    opened = look(new)
+                if opened >= 0:
+                    entered = index.get(new)
+                    if entered is None:
+                        index[new] = [place]
+                        heapq.heappush(heap, (opened, new))
+                    else:
+                        entered.append(place)
+                    if opened < rank:
+                        waits = of[at]
+        if later:
+            index[pair] = later
+            heapq.heappush(heap, (rank, pair))
     for p, at in zip(pieces, first):
         ids = []
-        while at >= 0:
-            ids.append(ranks[symbol[at]])
+        while symbol[at] != end:
+            ids.append(symbol[at])
             at = right[at]
         done[p] = ids
     return done
@@ -100,8 +139,7 @@ class Encoder:
     """Encodes and decodes texts by one rank file; pieces once replayed are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -111,7 +149,7 @@ class Encoder:
         self.known.update((p, self.older[p]) for p in again)
         new -= again
         by_bytes = {p.encode(): p for p in new}
-        for b, ids in replay(by_bytes, self.ranks).items():
+        for b, ids in replay(by_bytes, self.merges).items():
             self.known[by_bytes[b]] = b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -124,7 +162,7 @@ class Encoder:
         return [b"".join([known[p] for p in pieces]) for pieces in found]
 
     def decode(self, ids: bytes) -> bytes:
-        token = self.bytes_of
+        token = self.merges.bytes_of
         return b"".join([token[i] for i in memoryview(ids).cast("I")])
 
 
