@@ -426,21 +426,23 @@ def relation_identifier(spark, d):
     return found.groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("source_row").alias("records"))
 
 
-_MEMBERS = F.concat_ws(",", F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string"), (F.col("o_orderkey") % 3000).cast("string"))
+def _members(spark, d) -> DataFrame:
+    listed = F.concat_ws(",", F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string"), (F.col("o_orderkey") % 3000).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", listed.alias("members"))
 
 
 @query("""WITH m AS (SELECT o_orderkey, unnest([o_custkey, o_custkey + 1, o_orderkey % 3000]) AS k FROM orders)
           SELECT o_orderkey AS source_row, k::VARCHAR AS item, CASE WHEN c_custkey IS NULL THEN 'missing_target' ELSE 'matched' END AS outcome, c_custkey AS target_row FROM m LEFT JOIN customer ON k = c_custkey""")
 def relation_members(spark, d):
     plan = relations.RelationPlan("members", "contains", "members", "c_custkey", "members", delimiter=",", source_row="o_orderkey", target_row="c_custkey")
-    return relations.outcomes(table(spark, d, "orders").select("o_orderkey", _MEMBERS.alias("members")), table(spark, d, "customer"), plan)
+    return relations.outcomes(_members(spark, d), table(spark, d, "customer"), plan)
 
 
 @query("""WITH m AS (SELECT o_orderkey, unnest([o_custkey, o_custkey + 1, o_orderkey % 3000]) AS k FROM orders)
           SELECT o_orderkey AS source_row, list_sort(list_distinct(list(c_custkey) FILTER (c_custkey IS NOT NULL))) AS members, bool_and(c_custkey IS NOT NULL) AS complete FROM m LEFT JOIN customer ON k = c_custkey GROUP BY 1""")
 def allowed_members(spark, d):
     plan = relations.RelationPlan("members", "contains", "members", "c_custkey", "members", delimiter=",", source_row="o_orderkey", target_row="c_custkey")
-    return relations.allowed_members(relations.outcomes(table(spark, d, "orders").select("o_orderkey", _MEMBERS.alias("members")), table(spark, d, "customer"), plan))
+    return relations.allowed_members(relations.outcomes(_members(spark, d), table(spark, d, "customer"), plan))
 
 
 @query("""WITH m AS (SELECT s_suppkey, unnest(['n' || s_nationkey, 'n' || (s_nationkey + 1)]) AS k FROM supplier)
