@@ -226,3 +226,46 @@ def merge_delta(core: dict, delta: dict, table: str) -> dict:
 def formula_signature(text: str) -> str | None:
     """Equal for formulas of one tree, whatever their spacing and the name they are assigned to."""
     return parse(text)["signature"]
+
+
+#: What tells a row about a service from one that defines a quantity, and a category from a tenant.
+SERVICE = r"(?i)\bhttps?://|\b(?:GET|POST|PUT|DELETE|PATCH)\b|(?<![\w/])/(?:api|v\d)/|\b(?:endpoint|interface|service)\b"
+CATEGORY, NO_CATEGORY = r"(?i)\b(?:category|classification|class|kind)\b|类别|分类", r"(?i)\b(?:tenant|version|scope|namespace)\b|租户|版本"
+
+
+def quantity_subjects(rows: DataFrame, text: str) -> DataFrame:
+    """A row about a service (an address with a method, a purpose) does not define a quantity: reason or null."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return rows.withColumn("reason", F.when(F.trim(t) == "", "no_definition").when(t.rlike(SERVICE), "service_row"))
+
+
+def classification_columns(columns: DataFrame) -> DataFrame:
+    """Columns (table, column, comment) whose comment says that they classify, and not that they scope."""
+    c = F.coalesce(F.col("comment"), F.lit(""))
+    return columns.withColumn("classifies", c.rlike(CATEGORY) & ~c.rlike(NO_CATEGORY))
+
+
+def fact_schemas(decisions: DataFrame, columns: DataFrame) -> DataFrame:
+    """Decisions (decision_id, table, column, object, quantity, unit, quote, identity) on value columns.
+
+    columns: (table, column, declaration, constants), constants being the columns'
+    values that hold on all rows.  The quote is the whole declaration, object and
+    quantity differ and stand in it, every identity clause is constant, the unit is said.
+    """
+    d = decisions.join(columns, ["table", "column"], "left")
+    inside = lambda c: F.contains(F.lower("declaration"), F.lower(c)) & (F.trim(c) != "")
+    return judged(d, {
+        "column_unknown": F.col("declaration").isNull(), "quote_is_no_declaration": F.col("quote") != F.col("declaration"), "object_is_the_quantity": F.lower("object") == F.lower("quantity"),
+        "object_not_declared": ~inside("object"), "quantity_not_declared": ~inside("quantity"), "unit_not_said": F.trim(F.coalesce("unit", F.lit(""))) == "",
+        "identity_not_constant": F.size(F.array_except("identity", "constants")) > 0,
+    }).select("decision_id", "errors", "accepted")
+
+
+def relation_id(root: str, source: str, target: str, parameters: dict[str, str] | None = None) -> str:
+    """The id of a directed relation: equal for equal root, ends and parameters."""
+    import hashlib
+    import json
+
+    if root not in RELATION_ROOTS:
+        raise ValueError(f"unknown relation root {root!r}")
+    return "relation:" + hashlib.sha256(json.dumps([root, source, target, parameters or {}], sort_keys=True).encode()).hexdigest()[:24]

@@ -12,7 +12,7 @@ from .functions.values import json_leaf
 from .functions.lexical import member_of
 from .functions.templates import bind
 from .functions.units import canonical_unit
-from .operators import cards, facts, graphs, instances, profile, recall, reference, relations, retrieval, types
+from .operators import cards, facts, graphs, instances, packets, profile, recall, reference, relations, retrieval, types
 from .plans import gates
 from .sources.rows import lookup, number_rows, rows_at, shared_dir
 from .streaming import checks
@@ -825,3 +825,84 @@ def stream_profile(spark, d):
 def event_sessions(spark, d):
     found = checks.sessions(table(spark, d, "events"), "ts", "user_id")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+# --- packets ----------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT c_custkey AS s, count(*) AS m, min(event_id) AS t FROM customer LEFT JOIN events ON c_custkey = user_id GROUP BY 1), g AS (SELECT * FROM b WHERE t IS NOT NULL AND m = 1 ORDER BY s, t LIMIT 2)
+          SELECT 'matched' AS kind, s AS source_row, t AS target_row FROM g UNION ALL SELECT CASE WHEN t IS NULL THEN 'missing_in_input' ELSE 'ambiguous_target' END, s, NULL FROM (SELECT * FROM b WHERE t IS NULL OR m > 1 ORDER BY s LIMIT 1)""")
+def joint_examples(spark, d):
+    ends = table(spark, d, "customer"), table(spark, d, "events")
+    ref = reference.Reference("c_custkey", "user_id", source_row="c_custkey", target_row="event_id")
+    return packets.joint_examples(reference.links(*ends, ref), reference.counterexamples(*ends, ref, 1))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def all_or_nothing(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return packets.all_or_nothing(nation, 25).unionAll(packets.all_or_nothing(nation, 24))
+
+
+@query("""WITH i AS (SELECT o_custkey, o_orderkey AS rank, o_orderpriority AS p, length('{"rank":' || o_orderkey || ',"p":"' || o_orderpriority || '"}') + 1 AS b FROM orders), r AS (SELECT *, 1 + sum(b) OVER (PARTITION BY o_custkey ORDER BY rank ROWS UNBOUNDED PRECEDING) AS s FROM i)
+          SELECT o_custkey, count(*) FILTER (WHERE s <= 200) AS n_items, count(*) FILTER (WHERE s > 200) AS n_omitted, max(s) FILTER (WHERE s <= 200)::BIGINT AS bytes FROM r GROUP BY 1 HAVING n_items > 0""")
+def evidence_packets(spark, d):
+    items = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("p"))
+    return packets.packets(items, "o_custkey", "rank", 200, ["p"]).drop("items")
+
+
+@query("SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'P'")
+def open_tasks(spark, d):
+    orders = table(spark, d, "orders")
+    tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("evidence"))
+    before = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") == "P", "changed").otherwise(F.col("o_orderpriority")).alias("evidence"))
+    done = before.select("task_id", F.sha2(F.to_json(F.struct("evidence")), 256).alias("digest"))
+    return packets.open_tasks(tasks, done).select("task_id")
+
+
+@query("""WITH t AS (SELECT event_id, event_id % 9 AS k FROM events WHERE event_id % 2 = 0)
+          SELECT event_id AS term_id, 'c' || k AS code, CASE WHEN k = 8 THEN 'member_missing' WHEN k = 7 THEN 'member_ambiguous' WHEN k = 6 THEN 'dimension_missing' WHEN k = 5 THEN 'dimension_ambiguous' ELSE 'unique' END AS status,
+                 CASE WHEN k < 5 THEN k END AS dimension_id FROM t""")
+def dimension_member_paths(spark, d):
+    k = F.col("event_id") % 9
+    terms = table(spark, d, "events").select(F.col("event_id").alias("term_id"), F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("c"), k).alias("member")))).otherwise(F.to_json(F.struct(k.alias("member")))).alias("attributes"))
+    members = spark.createDataFrame([(i, f"c{i}", f"x; Axis {i}") for i in range(5)] + [(5, "c5", "axis 1, AXIS 2"), (6, "c6", "nothing"), (7, "c7", "Axis 1"), (8, "c7", "Axis 2")], "member_row int, code string, text string")
+    dimensions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("dimension_id"), F.concat(F.lit("axis "), "r_regionkey").alias("name"))
+    return packets.member_paths(terms, ["member"], members, dimensions)
+
+
+@query("""WITH c AS (SELECT o_orderkey AS row, unnest(['o_orderpriority', 'o_orderstatus']) AS "column", unnest([o_orderpriority, o_orderstatus]) AS literal FROM orders)
+          SELECT * FROM (SELECT literal, row, "column", count(*) OVER (PARTITION BY literal, "column") AS "of", row_number() OVER (PARTITION BY literal, "column" ORDER BY row)::INT AS place FROM c WHERE literal IN ('P', '1-URGENT')) WHERE place <= 5""")
+def observed_value_sources(spark, d):
+    literals = spark.createDataFrame([("P",), ("1-URGENT",), ("URGENT",), ("",)], "literal string")
+    return packets.value_sources(literals, table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey")
+
+
+@query("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS id, count(DISTINCT p_partkey) AS k FROM part GROUP BY 1)
+          SELECT s_suppkey AS binding_id, 'product' AS slot, CASE WHEN k IS NULL THEN 'no_target' WHEN k > 1 THEN 'ambiguous_target' ELSE 'bound' END AS status, CASE WHEN k = 1 THEN id END AS target_id
+          FROM supplier LEFT JOIN part ON p_partkey = s_suppkey * 3 LEFT JOIN n ON name = p_name""")
+def slot_bindings(spark, d):
+    part = table(spark, d, "part")
+    values = table(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey") * 3, "left").select(F.col("s_suppkey").alias("binding_id"), F.lit("product").alias("slot"), F.col("p_name").alias("value"))
+    return packets.slot_targets(values, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS rows, min(l_orderkey * 10 + l_linenumber) AS first_row FROM lineitem GROUP BY 1, 2 ORDER BY first_row LIMIT 20")
+def fact_sample_groups(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return packets.sample_groups(rows, ["l_returnflag", "l_linestatus"], 20, "row")
+
+
+@query("""SELECT c_mktsegment AS kind, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'types_without_instances', (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer))
+          UNION ALL SELECT 'instances_without_assertions', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT user_id FROM events))""")
+def instance_coverage(spark, d):
+    made = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("type"), F.col("c_mktsegment").alias("kind"))
+    named = table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_custkey").alias("object")).unionAll(table(spark, d, "events").select("user_id", "user_id"))
+    return packets.instance_coverage(made, table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), named)
+
+
+@query("""SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no_definition' WHEN turn % 3 = 0 THEN 'service_row' END AS reason FROM conversations WHERE text NOT LIKE '%http%' AND text NOT LIKE '%/%' AND NOT regexp_matches(text, '(?i)(GET|POST|PUT|DELETE|PATCH|endpoint|interface|service)')""")
+def quantity_subject_guard(spark, d):
+    rows = table(spark, d, "conversations").where("text NOT LIKE '%http%' AND text NOT LIKE '%/%' AND NOT text RLIKE '(?i)(GET|POST|PUT|DELETE|PATCH|endpoint|interface|service)'")
+    said = rows.withColumn("said", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("")).when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" GET https://x/api/v1"))).otherwise(F.col("text")))
+    return gates.quantity_subjects(said, "said").select("conv_id", "turn", "reason")

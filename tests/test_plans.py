@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin import cli
+from ravelin.operators import packets
 from ravelin.operators.reference import Reference, check, links
 from ravelin.plans import budgets, discovery, gates, roles
 from ravelin.sources import catalog, demo, external, sinks, snapshot
@@ -217,3 +218,25 @@ def test_command_line(tmp_path, spark, capsys):
     assert cli.main(["export-catalog", str(tmp_path / "d"), str(tmp_path / "c.json")]) == 0 and len(json.loads((tmp_path / "c.json").read_text())) == 4
     assert cli.main(["discover", str(tmp_path / "d"), "--output", str(tmp_path / "r.json")]) == 0
     assert Counter(r["status"] for r in json.loads((tmp_path / "r.json").read_text())["rules"])
+
+
+def test_fact_schema_and_classification_gates(spark):
+    columns = spark.createDataFrame([("t", "profit", "Profit of fruit, CNY", ["fruit"]), ("t", "kind", "category of the fruit", []), ("t", "v", "version category", [])], "table string, column string, declaration string, constants array<string>")
+    d = [(1, "t", "profit", "fruit", "profit", "CNY", "Profit of fruit, CNY", ["fruit"]), (2, "t", "profit", "profit", "Profit", "", "Profit", ["north"]), (3, "t", "nope", "a", "b", "c", "d", [])]
+    got = errors(gates.fact_schemas(spark.createDataFrame(d, "decision_id int, table string, column string, object string, quantity string, unit string, quote string, identity array<string>"), columns))
+    assert got[1] == set() and got[2] == {"quote_is_no_declaration", "object_is_the_quantity", "unit_not_said", "identity_not_constant"} and "column_unknown" in got[3]
+    kinds = gates.classification_columns(columns.withColumnRenamed("declaration", "comment"))
+    assert [r["column"] for r in kinds.where("classifies").collect()] == ["kind"]
+    assert gates.relation_id("has", "a", "b") != gates.relation_id("has", "b", "a")
+    with pytest.raises(ValueError):
+        gates.relation_id("eats", "a", "b")
+
+
+def test_packets(spark):
+    items = spark.createDataFrame([("k", 1, "x" * 10), ("k", 2, "y"), ("k", 3, "z" * 50), ("big", 1, "q" * 100)], "key string, rank int, body string")
+    found = packets.packets(items, "key", "rank", 70, ["body"])
+    assert [(r["key"], [i["rank"] for i in r["items"]], r["n_omitted"]) for r in found.collect()] == [("k", [1, 2], 1)]
+    again = packets.packets(items.unionAll(items.where("key = 'k'").withColumn("key", F.lit("a"))), "key", "rank", 70, ["body"])
+    assert [(r["key"], r["sources"]) for r in packets.distinct_packets(again, "key").collect()] == [("a", ["a", "k"])]
+    rows = spark.createDataFrame([("r1", 1), ("r2", 2)], "record_id string, row long")
+    assert {tuple(r) for r in packets.located(spark.createDataFrame([("r1",), ("r9",)], "record_id string"), rows).collect()} == {("r1", 1), ("r9", None)}
