@@ -73,12 +73,12 @@ def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(breaks))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Numbered slices of about CHUNK bytes of text; the same for the same partition."""
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Numbered slices of about ``limit`` bytes of text; the same for the same partition."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(text_at)).to_pylist()], np.int64)
-        group = np.cumsum(sizes) // CHUNK if len(sizes) else sizes
+        group = np.cumsum(sizes) // limit if len(sizes) else sizes
         starts, ends = runs(np.append(True, group[1:] != group[:-1])) if len(group) else ([], [])
         for s, e in zip(starts, ends):
             yield number, batch.slice(int(s), int(e - s))
@@ -131,19 +131,22 @@ def _flow(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(full, list(kinds))
 
 
-def _ship_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for number, part in chunks(batches, 1):
-        ids = part.column(0).to_pylist()
-        sent, paths = ship(number, ids, part.column(1).cast(pa.binary()).to_pylist(), words)
-        doc = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-        if sent:
-            raw, s, e = sent.pop("ws")
-            ws = pa.array([raw[6 * a : 6 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())
-            yield _flow(len(s), doc=doc[sent["idx"]], chunk=np.full(len(s), number), ws=ws, **sent)
-        if n := len(paths["idx"]):
-            # settled paths pass through the same exchange, spread by their place
-            yield _flow(n, m=mix((np.arange(n) + number).astype(np.uint64)).view(np.int64), doc=doc[paths["idx"]], chunk=np.full(n, number), src_doc=doc[paths["src_idx"]], **paths)
+def _ship_all(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for number, part in chunks(batches, 1, limit):
+            ids = part.column(0).to_pylist()
+            sent, paths = ship(number, ids, part.column(1).cast(pa.binary()).to_pylist(), words)
+            doc = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
+            if sent:
+                raw, s, e = sent.pop("ws")
+                ws = pa.array([raw[6 * a : 6 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())
+                yield _flow(len(s), doc=doc[sent["idx"]], chunk=np.full(len(s), number), ws=ws, **sent)
+            if n := len(paths["idx"]):
+                # settled paths pass through the same exchange, spread by their place
+                yield _flow(n, m=mix((np.arange(n) + number).astype(np.uint64)).view(np.int64), doc=doc[paths["idx"]], chunk=np.full(n, number), src_doc=doc[paths["src_idx"]], **paths)
+
+    return run
 
 
 _PATHS = "chunk long, idx int, pos int, len int, src_doc long, src_chunk long, src_idx int, src_pos int"
@@ -205,20 +208,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Paths of edges that also start earlier: (chunk, idx) tells the row, ``pos`` the
     first window, ``len`` the windows; ``src_*`` is where the sequence starts first.
 
     Earlier is a smaller id (null last), then an earlier row, then an earlier word.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_ship_all, _FLOW).repartition("m").sortWithinPartitions("m", "doc", "chunk", "idx", "pos").mapInArrow(_meet, _PATHS)
+    return rows.mapInArrow(_ship_all(chunk), _FLOW).repartition("m").sortWithinPartitions("m", "doc", "chunk", "idx", "pos").mapInArrow(_meet, _PATHS)
 
 
-def _pack(text_at: int):
+def _pack(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for number, part in chunks(batches, text_at):
+        for number, part in chunks(batches, 0, limit):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 # a slice's buffers are those of the whole batch until it is copied
@@ -259,7 +262,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([doc, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "kept_text"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """A row per input row: ``doc`` (a struct of its columns but the text), n_words,
     n_removed and kept_text, the kept words joined by one space.
 
@@ -268,11 +271,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     any name, travel inside ``doc``.  ``docs`` should be read from files, as rows
     are told apart by their place in the scan.
     """
-    paths = repeated_paths(docs, id_col, text_col).groupBy("chunk").agg(F.collect_list(F.struct("idx", "pos", "len")).alias("spans"))
+    paths = repeated_paths(docs, id_col, text_col, chunk).groupBy("chunk").agg(F.collect_list(F.struct("idx", "pos", "len")).alias("spans"))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    same = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("rest"))
-    rows = same.select(F.col("text").alias("__text"), "rest.*")
-    packs = rows.mapInArrow(_pack(0), "chunk long, pack binary")
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *others)
+    packs = rows.mapInArrow(_pack(chunk), "chunk long, pack binary")
     kind = docs.select(F.struct(*others).alias("doc")).schema["doc"].dataType.simpleString()
     joined = packs.join(paths, "chunk", "left").select("pack", "spans")
     return joined.mapInArrow(_remove, f"doc {kind}, n_words long, n_removed long, kept_text string")

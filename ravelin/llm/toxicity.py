@@ -9,8 +9,8 @@ label is estimated too, and a voter counts the less the more it repeats others.
 A linear classifier is trained on the model's posterior labels, and its output
 set to the labels' scale.
 
-The model is fitted on at most ``FIT_PER_CLASS`` labelled rows of each label, the
-first by a hash of the id, with whole texts.  All texts are scored.
+The model is fitted on at most ``FIT`` labelled rows of each label, the first by a
+hash of the id, with whole texts.  All texts are scored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .shared import cut, held_out
 
-#: Labelled rows of each class that the model is fitted on, at most.
-FIT_PER_CLASS = 3000
+#: Labelled rows, clean and toxic, that the model is fitted on, at most.
+FIT = (6000, 3000)
 #: Mined features kept, at most, and voters they are dealt to.
 MINED, FAMILIES = 2000, 12
-#: A mined feature stands in so many toxic texts of the sample and so purely.
-LEAST_TOXIC, PURITY = 4, 0.92
+#: A mined feature is at least so pure, and its log-likelihood ratio against standing in texts at random so high:
+#: chance takes hardly any feature so far, however many there are.
+PURITY, SURE = 0.8, 25.0
 #: Lengths of word beginnings.
 PREFIXES = (4, 5, 6, 7)
 #: Words of a text for one occurrence of a beginning that is dense in it; it occurs twice at least.
@@ -91,10 +92,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, trusted: int = 0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of label 1, each voter's rates by label and vote, conditional correlations).
 
-    votes: rows x voters of 1 (toxic), 0 (clean), -1 (abstains); start: first posterior.
+    votes: rows x voters of 1 (toxic), 0 (clean), -1 (abstains); start: first posterior;
+    trusted: so many of the last voters count in full, however much others agree with them.
     """
     post = start.astype(float)
     heard = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # vote, row, voter
@@ -106,6 +108,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         corr = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
         weight = 1 / (1 + np.clip(np.abs(corr) - np.eye(len(corr)) - 0.1, 0, None).sum(axis=0))
+        weight[len(weight) - trusted :] = 1
         say = np.log(rates[1] / rates[0]) * weight[:, None]  # voter, vote
         prior = np.clip(post.mean(), 0.01, 0.99)
         log = np.log(prior / (1 - prior)) + np.einsum("vrj,jv->r", heard, say)
@@ -173,17 +176,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     i = F.col(id_col)
     known = labels.where(i.isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(i)).groupBy(i.alias("i"))
     known = known.agg(F.min(label_col).cast("int").alias("toxic"), F.max(label_col).alias("most")).where("toxic = most")
-    pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("toxicity"), "i"), "i").limit(FIT_PER_CLASS) for y in (0, 1)]
-    picked = cut(pick[0].unionAll(pick[1]).select("i", "toxic"))  # 2 * FIT_PER_CLASS rows at most
+    pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("toxicity"), "i"), "i").limit(FIT[y]) for y in (0, 1)]
+    picked = cut(pick[0].unionAll(pick[1]).select("i", "toxic"))  # sum(FIT) rows at most
     text = docs.select(i.alias("i"), F.col(text_col).cast("string").alias("text"))
     sample = cut(text.join(F.broadcast(picked), "i").dropDuplicates(["i"]).select("toxic", "text"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
-    # counts as if the classes were of one size
-    pos, neg = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0) * (sizes[1] / sizes[0])
-    mined = _featured(sample).select("toxic", F.explode("found").alias("f")).groupBy("f").agg(pos.alias("p"), neg.alias("n"))
-    mined = mined.where((F.col("p") >= LEAST_TOXIC) & (F.col("p") >= PURITY * (F.col("p") + F.col("n")))).orderBy(F.desc("p"), "f").limit(MINED)
+    base = sizes[1] / (sizes[0] + sizes[1])
+    mined = _featured(sample).select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n"))
+    pure = F.col("p") / (F.col("p") + F.col("n"))
+    sure = F.col("p") * F.log(pure / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - pure) / (1 - base))).otherwise(0)
+    mined = mined.where((pure >= PURITY) & (sure >= SURE)).orderBy(F.desc("p"), "f").limit(MINED)
     names = [r["f"] for r in mined.select("f").collect()]
     model = Model({f: k for k, f in enumerate(names)})
     shared = sample.sparkSession.sparkContext.broadcast(model)
@@ -204,9 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     speak = np.hstack([mined_votes, x[:, len(names) :] > 0])
     votes = np.where(speak, 1, -1)
     quiet = np.where(speak.any(axis=1), -1, 0)
-    votes = np.hstack([votes, quiet[:, None]])
-    start = np.where(speak.any(axis=1), 0.8, 0.1) * 0.5 + 0.5 * gold
-    post, _, _ = label_model(votes, start)
+    # who labelled the sample is one more voter; the classifier below never hears it
+    votes = np.hstack([votes, quiet[:, None], gold[:, None]])
+    post, _, _ = label_model(votes, 0.05 + 0.9 * gold, trusted=1)
     model.weights = linear(x, post)
     logit = x @ model.weights[:-1] + model.weights[-1]
     model.scale = platt(logit, gold)

@@ -144,9 +144,8 @@ def brute_dedup(docs):
 
 
 @pytest.mark.parametrize("chunk", [2_000_000, 300])
-def test_substring_dedup(awkward, monkeypatch, chunk):
-    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
-    found = rows(substring_dedup.dedup(awkward))
+def test_substring_dedup(awkward, chunk):
+    found = rows(substring_dedup.dedup(awkward, chunk=chunk))
     got = [(r["doc"]["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found]
     same(got, brute_dedup(pairs(awkward)))
     assert found[0]["doc"].asDict().keys() == set(awkward.columns) - {"text"}
