@@ -229,7 +229,7 @@ def formula_signature(text: str) -> str | None:
 
 
 #: What tells a row about a service from one that defines a quantity, and a category from a tenant.
-SERVICE = r"(?i)\bhttps?://|\b(?:GET|POST|PUT|DELETE|PATCH)\b|(?<![\w/])/(?:api|v\d)/|\b(?:endpoint|interface|service)\b"
+SERVICE = r"https?://|\b(?:GET|POST|PUT|DELETE|PATCH)\b|(?:^|[^\w/])/(?:api|v\d)/|(?i:\b(?:endpoint|interface|service)\b)"
 CATEGORY, NO_CATEGORY = r"(?i)\b(?:category|classification|class|kind)\b|类别|分类", r"(?i)\b(?:tenant|version|scope|namespace)\b|租户|版本"
 
 

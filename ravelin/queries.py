@@ -120,9 +120,10 @@ def hash_sample(spark, d):
     return profile.hash_sample(table(spark, d, "part"), "p_name", 128, 96)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT 1 + k * 149 // 9 FROM range(10) t(k))")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT 1 + k * ((SELECT count(*) FROM customer) - 1) // 9 FROM range(10) t(k))")
 def even_sample(spark, d):
-    return profile.even_sample(table(spark, d, "customer"), 150, 10, "c_custkey").select("c_custkey", "c_name")
+    customer = table(spark, d, "customer")
+    return profile.even_sample(customer, customer.count(), 10, "c_custkey").select("c_custkey", "c_name")
 
 
 # --- rows -------------------------------------------------------------------
@@ -309,21 +310,23 @@ def scoped_branches(spark, d):
     return recall.branches(source, table(spark, d, "customer"), "s_nationkey", "c_nationkey", "segment", "c_mktsegment")
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z]{3,}'))) AS cue FROM part WHERE p_partkey IN (SELECT p_partkey FROM part)),
-          h AS (SELECT cue FROM n GROUP BY cue HAVING count(*) BETWEEN 2 AND 16)
+@query("""WITH n AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(id), '[a-z]{3,}'))) AS cue FROM (SELECT DISTINCT p_name AS id FROM part)), h AS (SELECT cue FROM n GROUP BY cue HAVING count(*) BETWEEN 2 AND 16)
           SELECT a.id AS "left", b.id AS "right", list_sort(list(a.cue)) AS cues, count(*) AS n_cues FROM h JOIN n a USING (cue) JOIN n b USING (cue) WHERE a.id < b.id GROUP BY a.id, b.id""")
 def name_cue_pairs(spark, d):
-    return recall.cue_pairs(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), native=True)
+    names = table(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct()
+    return recall.cue_pairs(names, native=True)
 
 
-@query()
+@query("""WITH v AS (SELECT DISTINCT 'part' AS t, 'part.p_type' AS name, p_type AS value, p_type AS whole FROM part UNION SELECT 'catalog', 'catalog.aliases', p_brand || '; ' || lower(p_type), NULL FROM part UNION SELECT 'nation', 'nation.n_name', n_name, n_name FROM nation),
+          k AS (SELECT t, name, value, lower(value) AS key FROM v UNION SELECT t, name, value, lower(trim(unnest(string_split(value, ';')))) FROM v),
+          s AS (SELECT key, t, name, count(DISTINCT value) AS n FROM k GROUP BY ALL), p AS (SELECT a.key, a.name AS l, b.name AS r, a.n > 1 OR b.n > 1 AS c FROM s a JOIN s b ON a.key = b.key AND a.name < b.name AND a.t <> b.t)
+          SELECT l AS "left", r AS "right", count(*) AS shared_keys, (SELECT count(DISTINCT value) FROM k WHERE name = l AND key IN (SELECT key FROM p q WHERE q.l = p.l AND q.r = p.r))::INT AS left_values,
+                 (SELECT count(DISTINCT value) FROM k WHERE name = r AND key IN (SELECT key FROM p q WHERE q.l = p.l AND q.r = p.r))::INT AS right_values, count(*) FILTER (WHERE c) AS collision_keys FROM p GROUP BY l, r""")
 def alias_field_pairs(spark, d):
-    names = {"customer": "c_mktsegment", "part": "p_type", "nation": "n_name", "region": "r_name", "orders": "o_orderpriority"}
-    values = None
-    for t, c in names.items():
-        part = table(spark, d, t).select(F.lit(t).alias("table"), F.lit(c).alias("field"), F.col(c).alias("value")).distinct()
-        values = part if values is None else values.unionAll(part)
-    return recall.alias_pairs(values)
+    part = table(spark, d, "part")
+    field = lambda df, t, c, v: df.select(F.lit(t).alias("table"), F.lit(c).alias("field"), v.alias("value")).distinct()
+    values = field(part, "part", "p_type", F.col("p_type")).unionAll(field(part, "catalog", "aliases", F.concat_ws("; ", "p_brand", F.lower("p_type"))))
+    return recall.alias_pairs(values.unionAll(field(table(spark, d, "nation"), "nation", "n_name", F.col("n_name"))))
 
 
 # --- facts and configuration ------------------------------------------------
@@ -463,11 +466,11 @@ def extraction_coverage(spark, d):
     return relations.coverage(relations.outcomes(source, table(spark, d, "customer"), plan))
 
 
-@query("""SELECT o_orderkey AS source_row, CASE WHEN o_orderkey % 2 = 0 THEN 'matched' ELSE 'witness_target_mismatch' END AS outcome, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS target_row
-          FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 < 4""")
+@query("""SELECT o_orderkey AS source_row, CASE WHEN o_orderpriority = '1-URGENT' THEN 'witness_target_mismatch' ELSE 'matched' END AS outcome, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS target_row
+          FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""")
 def witness_restriction(spark, d):
     orders = table(spark, d, "orders")
-    pairs = orders.where(F.col("o_orderkey") % 10 < 4).select(F.col("o_orderkey").alias("source_row"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(-1).alias("target_row"))
+    pairs = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source_row"), F.when(F.col("o_orderpriority") == "1-URGENT", -1).otherwise(F.col("o_custkey")).alias("target_row"))
     plan = relations.RelationPlan("customer", "related_to", "o_custkey", "c_custkey", source_row="o_orderkey", target_row="c_custkey")
     return relations.outcomes(orders, table(spark, d, "customer"), plan, witnesses=pairs).select("source_row", "outcome", "target_row")
 
@@ -592,13 +595,13 @@ def exact_name_first(spark, d):
 
 _COSINE = """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, list_inner_product(e, e) AS nn FROM v),
-    p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e) / (sqrt(q.nn) * sqrt(c.nn)), 9) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e) / (sqrt(q.nn) * sqrt(c.nn)), 9) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM p)"""
 
 
 def _nearest(spark, d, k: int) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    return retrieval.nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, k)
+    return retrieval.nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors, k)
 
 
 @query(f"{_COSINE} SELECT query_id, doc_id, rank FROM c WHERE rank <= 10")
@@ -654,11 +657,12 @@ def components(spark, d):
     return graphs.components(*_schema_graph(spark))
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 7 AS b FROM documents WHERE doc_id % 3 <> 0 AND doc_id + 7 IN (SELECT doc_id FROM documents)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 7 AS b FROM documents WHERE lang = 'en' AND doc_id + 7 IN (SELECT doc_id FROM documents)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
           r(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, min(other) AS component FROM r GROUP BY node""")
 def components_chains(spark, d):
-    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
-    edges = nodes.where("node % 3 != 0").select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")).join(nodes.select(F.col("node").alias("b")), "b")
+    docs = table(spark, d, "documents")
+    nodes = docs.select(F.col("doc_id").alias("node"))
+    edges = docs.where("lang = 'en'").select(F.col("doc_id").alias("node")).select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")).join(nodes.select(F.col("node").alias("b")), "b")
     return graphs.components(nodes, edges.select("a", "b"))
 
 
@@ -706,12 +710,12 @@ def fact_instances(spark, d):
     return found.select("s", "f", "observation_value", "source_row_count", "reason")
 
 
-@query("""WITH t AS (SELECT p_brand, p_type, 'template:' || lpad(p_partkey::VARCHAR, 8, '0') AS template_id, 'type:' || (p_partkey % 7) AS type_id, p_size AS ts FROM part WHERE p_partkey <= 60),
+@query("""WITH t AS (SELECT p_brand, p_type, 'template:' || lpad(p_partkey::VARCHAR, 8, '0') AS template_id, 'type:' || (p_partkey % 7) AS type_id, p_size AS ts FROM part WHERE p_size <= 5),
           g AS (SELECT p_brand, p_type, min(template_id) AS template_id, arg_min(type_id, template_id) AS type_id, arg_min(ts, template_id) AS ts FROM t GROUP BY 1, 2 HAVING count(DISTINCT type_id) = 1)
           SELECT p_partkey AS row, type_id, template_id, p_size <> ts AS variant FROM part JOIN g USING (p_brand, p_type)""")
 def definition_memberships(spark, d):
     part = table(spark, d, "part")
-    made = part.where("p_partkey <= 60").withColumns({"template_id": F.concat(F.lit("template:"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")), "type_id": F.concat(F.lit("type:"), F.col("p_partkey") % 7)})
+    made = part.where("p_size <= 5").withColumns({"template_id": F.concat(F.lit("template:"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")), "type_id": F.concat(F.lit("type:"), F.col("p_partkey") % 7)})
     return instances.memberships(part, made, ["p_brand", "p_type"], ["p_size"], "p_partkey")
 
 
@@ -782,10 +786,10 @@ def member_lists(spark, d):
     return table(spark, d, "part").select("p_partkey", member_of(listed, F.col("p_name")).alias("member"))
 
 
-@query("""SELECT o_orderkey AS source_row, CASE WHEN o_orderkey % 2 = 0 THEN 'matched' ELSE 'undecided' END AS outcome, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS target_row FROM orders""")
+@query("""SELECT o_orderkey AS source_row, CASE WHEN o_orderstatus = 'F' THEN 'matched' ELSE 'undecided' END AS outcome, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS target_row FROM orders""")
 def relation_text_decisions(spark, d):
     orders = table(spark, d, "orders")
-    decided = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("source_row"), F.col("o_custkey").alias("target_row")).distinct()
+    decided = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source_row"), F.col("o_custkey").alias("target_row")).distinct()
     plan = relations.RelationPlan("text", "related_to", "o_orderpriority", "c_name", "text", source_row="o_orderkey", target_row="c_custkey")
     return relations.outcomes(orders, table(spark, d, "customer"), plan, decided).select("source_row", "outcome", "target_row")
 
@@ -851,11 +855,11 @@ def evidence_packets(spark, d):
     return packets.packets(items, "o_custkey", "rank", 200, ["p"]).drop("items")
 
 
-@query("SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS task_id FROM orders WHERE o_orderstatus <> 'F'")
 def open_tasks(spark, d):
     orders = table(spark, d, "orders")
     tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("evidence"))
-    before = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") == "P", "changed").otherwise(F.col("o_orderpriority")).alias("evidence"))
+    before = orders.where("o_orderstatus != 'O'").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") == "P", "changed").otherwise(F.col("o_orderpriority")).alias("evidence"))
     done = before.select("task_id", F.sha2(F.to_json(F.struct("evidence")), 256).alias("digest"))
     return packets.open_tasks(tasks, done).select("task_id")
 
@@ -901,8 +905,8 @@ def instance_coverage(spark, d):
     return packets.instance_coverage(made, table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), named)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no_definition' WHEN turn % 3 = 0 THEN 'service_row' END AS reason FROM conversations WHERE text NOT LIKE '%http%' AND text NOT LIKE '%/%' AND NOT regexp_matches(text, '(?i)(GET|POST|PUT|DELETE|PATCH|endpoint|interface|service)')""")
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' GET https://x/api/v1' ELSE text END AS t FROM conversations)
+           SELECT conv_id, turn, CASE WHEN trim(coalesce(t, '')) = '' THEN 'no_definition' WHEN regexp_matches(t, '{gates.SERVICE}') THEN 'service_row' END AS reason FROM c""")
 def quantity_subject_guard(spark, d):
-    rows = table(spark, d, "conversations").where("text NOT LIKE '%http%' AND text NOT LIKE '%/%' AND NOT text RLIKE '(?i)(GET|POST|PUT|DELETE|PATCH|endpoint|interface|service)'")
-    said = rows.withColumn("said", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("")).when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" GET https://x/api/v1"))).otherwise(F.col("text")))
+    said = table(spark, d, "conversations").withColumn("said", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" GET https://x/api/v1"))).otherwise(F.col("text")))
     return gates.quantity_subjects(said, "said").select("conv_id", "turn", "reason")
