@@ -111,29 +111,33 @@ def check(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
         yes & (F.col("ref") != "") & ~usable, yes & usable & ~scoped, yes & eligible, yes & eligible & hit, yes & eligible & one,
         yes & eligible & more, yes & eligible & F.col("multiplicity").isNull(), no & eligible, no & eligible & hit,
     )))
-    keyed = yes & eligible
-    counts = joined.agg(
-        *(F.coalesce(F.sum(F.when(t, F.col("n"))), F.lit(0)).alias(k) for k, t in tests.items()),
-        F.count_if(keyed).alias("distinct_eligible_keys"),
-        F.count_if(keyed & hit).alias("distinct_keys_matched"),
-    )
-    # whether a value stands in the target at all, whatever its scope or selection
-    values = grouped.where(usable).select("ref").distinct()
-    if ref.direct:
-        known = ref.target_keys(target).select("ref").distinct().withColumn("there", F.lit(True))
-        values = values.join(known, "ref", "left").groupBy("ref").agg(F.max("there").alias("there"))
-    else:
-        known = ref.token_keys(target).select("key").distinct().withColumn("there", F.lit(True))
-        values = ref._token_rows(values, "source").join(known, "key", "left").groupBy("ref").agg(F.max("there").alias("there"))
-    whole = values.agg(F.count("*").alias("distinct_source_values"), F.count("there").alias("distinct_source_values_in_target"))
+    tests |= {"distinct_eligible_keys": yes & eligible, "distinct_keys_matched": yes & eligible & hit}
+    # keys are summed up by value first, so that values are counted in the same pass
+    size = lambda k: F.lit(1) if k.startswith("distinct") else F.col("n")
+    sums = [F.coalesce(F.sum(F.when(t, size(k))), F.lit(0)).alias(k) for k, t in tests.items()]
+    total = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in tests]
     keys = ref.target_keys(target) if ref.direct else ref.token_keys(target)
-    stats = keys.agg(
+    stats = [
         F.count("*").alias("target_distinct_keys"),
         F.count_if(F.col("multiplicity") > 1).alias("target_duplicate_key_groups"),
         F.coalesce(F.max("multiplicity"), F.lit(0)).alias("target_max_multiplicity"),
-    )
-    rows = ref.target_keys(target).agg(F.coalesce(F.sum("multiplicity"), F.lit(0)).alias("target_rows_with_complete_key"))
-    one_row = _beside([counts, whole, rows, stats])
+    ]
+    complete = F.coalesce(F.sum("multiplicity"), F.lit(0)).alias("target_rows_with_complete_key")
+    if ref.direct:
+        there = hit
+        if ref.scopes:  # a value may stand in the target under another scope
+            known = ref.target_keys(target).select("ref").distinct().withColumn("there", F.lit(True))
+            joined, there = joined.join(known, "ref", "left"), F.col("there").isNotNull()
+        values = joined.groupBy("ref").agg(*sums, F.bool_or(usable).alias("usable"), F.bool_or(there).alias("there"))
+        counts = values.agg(*total, F.count_if("usable").alias("distinct_source_values"), F.count_if(F.col("usable") & F.col("there")).alias("distinct_source_values_in_target"))
+        parts = [counts, keys.agg(*stats, complete)]
+    else:
+        known = ref.token_keys(target).select("key").distinct().withColumn("there", F.lit(True))
+        values = ref._token_rows(grouped.where(usable).select("ref").distinct(), "source").join(known, "key", "left").groupBy("ref").agg(F.max("there").alias("there"))
+        whole = values.agg(F.count("*").alias("distinct_source_values"), F.count("there").alias("distinct_source_values_in_target"))
+        parts = [joined.agg(*sums), whole, keys.agg(*stats), ref.target_keys(target).agg(complete)]
+    names = [*COUNTS, "distinct_eligible_keys", "distinct_keys_matched", "distinct_source_values", "distinct_source_values_in_target", "target_rows_with_complete_key", "target_distinct_keys", "target_duplicate_key_groups", "target_max_multiplicity"]
+    one_row = _beside(parts).select(*names)
     return one_row.withColumns({
         "distinct_key_inclusion_ratio": ratio(F.col("distinct_keys_matched"), F.col("distinct_eligible_keys")),
         "whole_column_distinct_value_inclusion_ratio": ratio(F.col("distinct_source_values_in_target"), F.col("distinct_source_values")),
