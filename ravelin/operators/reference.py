@@ -98,11 +98,8 @@ class Reference:
         return join_usable(F.col("ref")), all_of([join_usable(F.col(s)) for s in self.scopes])
 
 
-def check(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
-    """One row: the fifteen counts, distinct keys, whole-column inclusion, target statistics, ratios."""
-    usable, scoped = ref.usable()
-    grouped = ref.source_rows(source).groupBy("ref", "selected", *ref.scopes).agg(F.count("*").alias("n"))
-    joined = ref.matched(grouped, target)
+def _tests(usable: Column, scoped: Column) -> dict[str, Column]:
+    """What each count counts, over keys with their multiplicity."""
     yes, no = F.coalesce(F.col("selected"), F.lit(False)), F.coalesce(~F.col("selected"), F.lit(False))
     hit, eligible = F.coalesce(F.col("multiplicity") > 0, F.lit(False)), usable & scoped
     one, more = F.coalesce(F.col("multiplicity") == 1, F.lit(False)), F.coalesce(F.col("multiplicity") > 1, F.lit(False))
@@ -111,7 +108,27 @@ def check(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
         yes & (F.col("ref") != "") & ~usable, yes & usable & ~scoped, yes & eligible, yes & eligible & hit, yes & eligible & one,
         yes & eligible & more, yes & eligible & F.col("multiplicity").isNull(), no & eligible, no & eligible & hit,
     )))
-    tests |= {"distinct_eligible_keys": yes & eligible, "distinct_keys_matched": yes & eligible & hit}
+    return tests | {"distinct_eligible_keys": yes & eligible, "distinct_keys_matched": yes & eligible & hit}
+
+
+def _ratios() -> dict[str, Column]:
+    return {
+        "distinct_key_inclusion_ratio": ratio(F.col("distinct_keys_matched"), F.col("distinct_eligible_keys")),
+        "whole_column_distinct_value_inclusion_ratio": ratio(F.col("distinct_source_values_in_target"), F.col("distinct_source_values")),
+        "reference_hit_ratio": ratio(F.col("matched_references"), F.col("eligible_references")),
+        "unique_match_ratio": ratio(F.col("unique_matches"), F.col("eligible_references")),
+        "ambiguous_match_ratio": ratio(F.col("ambiguous_matches"), F.col("eligible_references")),
+        "missing_in_input_ratio": ratio(F.col("missing_in_input"), F.col("eligible_references")),
+    }
+
+
+def check(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
+    """One row: the fifteen counts, distinct keys, whole-column inclusion, target statistics, ratios."""
+    usable, scoped = ref.usable()
+    grouped = ref.source_rows(source).groupBy("ref", "selected", *ref.scopes).agg(F.count("*").alias("n"))
+    joined = ref.matched(grouped, target)
+    tests = _tests(usable, scoped)
+    hit = F.coalesce(F.col("multiplicity") > 0, F.lit(False))
     # keys are summed up by value first, so that values are counted in the same pass
     size = lambda k: F.lit(1) if k.startswith("distinct") else F.col("n")
     sums = [F.coalesce(F.sum(F.when(t, size(k))), F.lit(0)).alias(k) for k, t in tests.items()]
@@ -138,14 +155,7 @@ def check(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
         parts = [joined.agg(*sums), whole, keys.agg(*stats), ref.target_keys(target).agg(complete)]
     names = [*COUNTS, "distinct_eligible_keys", "distinct_keys_matched", "distinct_source_values", "distinct_source_values_in_target", "target_rows_with_complete_key", "target_distinct_keys", "target_duplicate_key_groups", "target_max_multiplicity"]
     one_row = _beside(parts).select(*names)
-    return one_row.withColumns({
-        "distinct_key_inclusion_ratio": ratio(F.col("distinct_keys_matched"), F.col("distinct_eligible_keys")),
-        "whole_column_distinct_value_inclusion_ratio": ratio(F.col("distinct_source_values_in_target"), F.col("distinct_source_values")),
-        "reference_hit_ratio": ratio(F.col("matched_references"), F.col("eligible_references")),
-        "unique_match_ratio": ratio(F.col("unique_matches"), F.col("eligible_references")),
-        "ambiguous_match_ratio": ratio(F.col("ambiguous_matches"), F.col("eligible_references")),
-        "missing_in_input_ratio": ratio(F.col("missing_in_input"), F.col("eligible_references")),
-    })
+    return one_row.withColumns(_ratios())
 
 
 def _beside(parts: Sequence[DataFrame]) -> DataFrame:
@@ -188,3 +198,51 @@ def dangling(source: DataFrame, target: DataFrame, source_field: str, target_fie
     """Source rows whose usable value has no target (an anti join)."""
     known = target.select(F.col(f"`{target_field}`").alias("__k"))
     return source.where(join_usable(F.col(f"`{source_field}`").cast("string"))).join(known, F.col(f"`{source_field}`") == F.col("__k"), "left_anti")
+
+
+def check_many(frames: dict[str, DataFrame], asked: Sequence[tuple[str, str, str, Reference]]) -> DataFrame:
+    """``check`` for many direct references at once: a row for each (id, source table, target table, reference).
+
+    Every table is read once for all the references that leave it and once for
+    all that reach it; equal targets are counted once.  One join then serves all.
+    """
+    if any(not ref.direct for *_, ref in asked):
+        raise ValueError("references through transforms or paths are checked one by one")
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    specs: dict[tuple, int] = {}
+
+    def spec(t: str, ref: Reference) -> int:
+        return specs.setdefault((t, ref.target_field, tuple(sorted(ref.scope))), len(specs))
+
+    rows = []
+    for t in dict.fromkeys(s for _, s, _, _ in asked):
+        each = [
+            F.struct(
+                F.lit(i).alias("id"), F.lit(spec(to, ref)).alias("spec"), F.lit(spec(to, Reference("", ref.target_field))).alias("plain"), text(ref.source_field).alias("ref"), ref.chosen().alias("selected"),
+                F.array(*(text(s) for _, s in sorted(ref.scope.items()))).cast("array<string>").alias("scopes"),
+            )
+            for i, s, to, ref in asked if s == t
+        ]
+        rows.append(frames[t].select(F.explode(F.array(*each)).alias("x")).select("x.*"))
+    keys = []
+    for t in dict.fromkeys(k[0] for k in specs):
+        each = [F.struct(F.lit(n).alias("spec"), text(c).alias("ref"), F.array(*(text(x) for x in scope)).cast("array<string>").alias("scopes")) for (table, c, scope), n in specs.items() if table == t]
+        keys.append(frames[t].select(F.explode(F.array(*each)).alias("x")).select("x.*"))
+    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionAll(parts[1]), *parts[2:]])
+    scoped = F.forall("scopes", lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    usable = join_usable(F.col("ref"))
+    grouped = union(rows).groupBy("id", "spec", "plain", "ref", "selected", "scopes").agg(F.count("*").alias("n"))
+    targets = union(keys).where(usable & scoped).groupBy("spec", "ref", "scopes").agg(F.count("*").alias("multiplicity"))
+    joined = grouped.join(targets, ["spec", "ref", "scopes"], "left")
+    there = F.coalesce(F.col("multiplicity") > 0, F.lit(False))
+    if any(ref.scope for *_, ref in asked):
+        plain = targets.where(F.size("scopes") == 0).select(F.col("spec").alias("plain"), "ref", F.lit(True).alias("known"))
+        joined, there = joined.join(plain, ["plain", "ref"], "left"), F.col("known").isNotNull()
+    tests = _tests(usable, scoped)
+    size = lambda k: F.lit(1) if k.startswith("distinct") else F.col("n")
+    values = joined.groupBy("id", "spec", "ref").agg(*(F.coalesce(F.sum(F.when(t, size(k))), F.lit(0)).alias(k) for k, t in tests.items()), F.bool_or(usable).alias("usable"), F.bool_or(there).alias("there"))
+    counts = values.groupBy("id", "spec").agg(*(F.sum(k).alias(k) for k in tests), F.count_if("usable").alias("distinct_source_values"), F.count_if(F.col("usable") & F.col("there")).alias("distinct_source_values_in_target"))
+    stats = targets.groupBy("spec").agg(F.sum("multiplicity").alias("target_rows_with_complete_key"), F.count("*").alias("target_distinct_keys"), F.count_if(F.col("multiplicity") > 1).alias("target_duplicate_key_groups"), F.max("multiplicity").alias("target_max_multiplicity"))
+    out = counts.join(stats, "spec", "left").drop("spec")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("target_rows_with_complete_key", "target_distinct_keys", "target_duplicate_key_groups", "target_max_multiplicity")}
+    return out.withColumns(zero).withColumns(_ratios())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from ..functions.names import refers
 from ..operators.profile import profile
 from ..operators.recall import dictionary, shared_values
-from ..operators.reference import Reference, check
+from ..operators.reference import Reference, check, check_many
 from ..sources.snapshot import Snapshot
 from .roles import Column, Table, column_role
 
@@ -96,9 +96,35 @@ def propose(snapshot: Snapshot, tables: dict[str, Table], *, most: int = 2000, p
     return Found(found, {"fields": len(fields), "candidates": len(found), "queued_by_budget": len(ranked) - len(kept), **{f"{k}_queued": n for k, n in queued.items()}})
 
 
+def reference(c: Candidate) -> Reference:
+    return Reference(c.source[1], c.target[1], dict(c.selector), {t: s for s, t in c.scope}, c.transform)
+
+
 def check_candidate(snapshot: Snapshot, c: Candidate) -> DataFrame:
-    ref = Reference(c.source[1], c.target[1], dict(c.selector), {t: s for s, t in c.scope}, c.transform)
-    return check(snapshot.frames[c.source[0]], snapshot.frames[c.target[0]], ref)
+    return check(snapshot.frames[c.source[0]], snapshot.frames[c.target[0]], reference(c))
+
+
+#: Candidates checked in one job.
+TOGETHER = 32
+
+
+def checked(snapshot: Snapshot, candidates: list[Candidate]) -> list[dict | Exception]:
+    """Counts of each candidate, many to a job; where a job fails, each by itself, so that one bad one costs only itself."""
+    out: list[dict | Exception] = []
+    for at in range(0, len(candidates), TOGETHER):
+        group = candidates[at : at + TOGETHER]
+        try:
+            asked = [(str(k), c.source[0], c.target[0], reference(c)) for k, c in enumerate(group)]
+            found = {r["id"]: r.asDict() for r in check_many(snapshot.frames, asked).collect()}
+            # a table without rows gives no row of counts
+            out += [{k: v for k, v in found[i].items() if k != "id"} if (i := str(k)) in found else check_candidate(snapshot, c).first().asDict() for k, c in enumerate(group)]
+        except Exception:  # noqa: BLE001
+            for c in group:
+                try:
+                    out.append(check_candidate(snapshot, c).first().asDict())
+                except Exception as e:  # noqa: BLE001  kept with its candidate
+                    out.append(e)
+    return out
 
 
 def rule_status(counts: dict) -> str:
@@ -112,13 +138,9 @@ def rules(snapshot: Snapshot, found: Found, budget: int = 50) -> tuple[list[dict
     """Checked candidates as rules, declared and named ones first; an error is kept with its candidate."""
     order = sorted(found.candidates, key=lambda c: ("declared_fk" not in c.channels, "metadata" not in c.channels, c.numeric_only, -c.shared, c.source, c.target))
     out = []
-    for c in order[:budget]:
+    for c, counts in zip(order, checked(snapshot, order[:budget])):
         base = {"rule_id": "rule:" + c.id(snapshot.id), "source": c.source, "target": c.target, "channels": c.channels, "selector": dict(c.selector), "scope": dict(c.scope), "transform": c.transform, "meaning": "unresolved"}
-        try:
-            counts = check_candidate(snapshot, c).first().asDict()
-            out.append(base | {"status": rule_status(counts), "checks": counts})
-        except Exception as e:  # noqa: BLE001  one bad candidate does not end the run, and is not forgotten
-            out.append(base | {"status": "check_error", "error": str(e)[:500]})
+        out.append(base | ({"status": "check_error", "error": str(counts)[:500]} if isinstance(counts, Exception) else {"status": rule_status(counts), "checks": counts}))
     status = {s: sum(r["status"] == s for r in out) for s in {r["status"] for r in out}}
     return out, {"checked": len(out), "queued_by_budget": max(0, len(order) - budget), "status": status}
 

@@ -208,6 +208,18 @@ def ref_check_ambiguous(spark, d):
     return reference.check(table(spark, d, "customer"), table(spark, d, "events"), reference.Reference("c_custkey", "user_id", source_row="c_custkey", target_row="event_id"))
 
 
+_MANY = [
+    ("a", "orders", "customer", "o_custkey", "c_custkey", {}, {}), ("b", "events", "customer", "user_id", "c_custkey", {"event_type": "click"}, {}), ("c", "lineitem", "part", "l_partkey", "p_partkey", {}, {}),
+    ("d", "lineitem", "supplier", "l_suppkey", "s_suppkey", {"l_returnflag": "R"}, {}), ("e", "lineitem", "lineitem", "l_orderkey", "l_orderkey", {}, {"l_linenumber": "l_linenumber"}), ("f", "customer", "orders", "c_custkey", "o_custkey", {}, {}),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{i}' AS id, * FROM ({check_sql(s, t, f, g, ' AND '.join(f'{c} = {v!r}' for c, v in sel.items()) or 'TRUE', tuple(scope.items()))})" for i, s, t, f, g, sel, scope in _MANY))
+def ref_check_many(spark, d):
+    frames = {t: table(spark, d, t) for t in {t for _, *ends, _, _, _, _ in _MANY for t in ends}}
+    return reference.check_many(frames, [(i, s, t, reference.Reference(f, g, sel, scope)) for i, s, t, f, g, sel, scope in _MANY])
+
+
 @query("""SELECT coalesce(sum(m), 0)::BIGINT AS target_rows, count(*) AS target_distinct_keys, count(*) FILTER (WHERE m > 1) AS target_duplicate_key_groups, coalesce(max(m), 0) AS target_max_multiplicity
           FROM (SELECT count(*) AS m FROM events WHERE user_id IS NOT NULL GROUP BY user_id)""")
 def ref_target_stats(spark, d):
