@@ -14,7 +14,7 @@ from .functions.templates import bind
 from .functions.units import canonical_unit
 from .operators import cards, facts, graphs, instances, packets, profile, recall, reference, relations, retrieval, types
 from .plans import gates
-from .sources.rows import lookup, number_rows, rows_at, shared_dir
+from .sources.rows import lookup, number_rows, rows_at, scratch
 from .streaming import checks
 
 QUERIES: dict = {}
@@ -828,7 +828,7 @@ def stream_profile(spark, d):
     # as a pattern: a stream takes a plain path for a folder
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
     name = uuid4().hex
-    where = f"{shared_dir(spark)}/stream-{name}"
+    where = f"{scratch(spark)}/stream-{name}"
     profile_ = checks.windowed_profile(stream, "ts", "event_type")
     run = profile_.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{where}/out")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -21,9 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: set[str] = set()
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in shared storage; it goes when the application ends."""
+    context = spark.sparkContext
+    where = f"{shared_dir(spark)}/ravelin-{context.applicationId}"
+    if where not in _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(where)
+    return where
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write to shared storage and read again: a plan without lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
