@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.rows import scratch
+
 #: ASCII white space separates words; every other character belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is configured."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="ravelin-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 class Cut:
     """A DataFrame written to shared storage and read again.
 
@@ -31,7 +23,7 @@ class Cut:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        self.path = f"{scratch(self.spark)}/cut-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
