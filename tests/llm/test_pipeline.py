@@ -65,3 +65,17 @@ def test_queries_equal_their_sql(spark, sf):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_awkward_rows_and_no_rows(spark, awkward, nothing, sf, tmp_path):
+    for label, docs in (("awkward", awkward), ("nothing", nothing)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            out.write.parquet(str(tmp_path / label / name))
+            docs = spark.read.parquet(str(tmp_path / label / name))
+            if name != "byte_bpe":
+                assert docs.columns == columns
+            if name == "language_id" and label == "awkward":
+                assert all(any(c.isalpha() for c in r["text"]) and r["lang"] for r in docs.collect())
+        assert (docs.count() > 0) == (label == "awkward")
