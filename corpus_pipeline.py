@@ -31,9 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also stand earlier are cut out; a document left without a word goes."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.col("text").alias("whole"), "text")
+    rows = docs.select(*rest, F.col("text").alias("__whole"), "text")
     found = substring_dedup.dedup(rows).where("n_removed = 0 OR kept_text != ''")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("doc.whole"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("doc.__whole"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return found.select([new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
