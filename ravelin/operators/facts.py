@@ -114,3 +114,28 @@ def two_paths(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame
     left = first.select(F.col("source_row").alias("row"), F.col("target_row").alias("left_row"))
     right = second.select(F.col("source_row").alias("row"), F.col("target_row").alias("right_row"))
     return rows.select("row").join(left, "row").join(right, "row")
+
+
+#: Above about so many tuples, seeds are verified instead of all tuples grouped.
+MOST_TUPLES = 50_000
+
+
+def fact_candidates(df: DataFrame, coordinates: Sequence[str], values: Sequence[str], limit: int, row: str = "__row", most: int = MOST_TUPLES) -> tuple[DataFrame, dict]:
+    """Tuples of several value columns, an equal share of ``limit`` each, and how each column was covered.
+
+    A column with about ``most`` tuples at most is grouped whole and reports what
+    its share leaves out; beyond that, seeds are taken, and what they leave out is
+    unknown.  Never more coordinates than rows hold.
+    """
+    if limit < 1 or not values:
+        raise ValueError("there is a value column and a limit of one at least")
+    out, report = None, {}
+    for k, value in enumerate(values):
+        share = limit // len(values) + (k < limit % len(values))
+        estimate = estimated_tuples(df, coordinates, value).first()["estimated_tuples"]
+        exact = estimate <= most
+        found = observed_tuples(df, coordinates, value, row, share) if exact else seeded_tuples(df, coordinates, value, share, row)
+        report[value] = {"method": "exact" if exact else "seeded", "estimated_tuples": estimate, "share": share}
+        part = found.select(F.lit(value).alias("value_column"), *coordinates, "observation_value", "source_row_count", "source_row_min", "source_row_max", F.col("distinct_value_count").cast("long").alias("distinct_value_count"))
+        out = part if out is None else out.unionAll(part)
+    return out, report

@@ -84,3 +84,21 @@ def attributes(objects: DataFrame, values: DataFrame, n: int = 8) -> DataFrame:
     )
     out = objects.select("id").join(kept, F.col("id") == F.col("subject"), "left")
     return out.select("id", F.coalesce(F.transform("a", lambda x: F.concat_ws("=", x["attribute"], x["literal"])), F.array().cast("array<string>")).alias("attributes"), F.coalesce("n_attributes", F.lit(0)).alias("n_attributes"))
+
+
+def objects(typed: DataFrame, table: str) -> DataFrame:
+    """(id, type, row): an instance for each row (row, type_id) of one type; rows with several types get none."""
+    one = typed.groupBy("row").agg(F.min("type_id").alias("type"), F.count_distinct("type_id").alias("n")).where("n = 1")
+    return one.select(F.concat(F.lit(f"{table}:"), F.col("row").cast("string")).alias("id"), "type", "row")
+
+
+def edges(links: DataFrame, sources: DataFrame, targets: DataFrame, predicate: str) -> DataFrame:
+    """(subject, predicate, object, source_type, target_type) of links whose two rows are instances; never type by type."""
+    a = sources.select(F.col("row").alias("source_row"), F.col("id").alias("subject"), F.col("type").alias("source_type"))
+    b = targets.select(F.col("row").alias("target_row"), F.col("id").alias("object"), F.col("type").alias("target_type"))
+    return links.join(a, "source_row").join(b, "target_row").select("subject", F.lit(predicate).alias("predicate"), "object", "source_type", "target_type")
+
+
+def slot_assertions(bound: DataFrame, table: str) -> DataFrame:
+    """(subject, attribute, literal) of the slots of template bindings (row, slots)."""
+    return bound.select(F.concat(F.lit(f"{table}:"), F.col("row").cast("string")).alias("subject"), F.explode("slots").alias("attribute", "literal"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -114,6 +115,8 @@ def checked(snapshot: Snapshot, candidates: list[Candidate]) -> list[dict | Exce
     for at in range(0, len(candidates), TOGETHER):
         group = candidates[at : at + TOGETHER]
         try:
+            if not all(reference(c).direct for c in group):
+                raise ValueError("checked one by one")
             asked = [(str(k), c.source[0], c.target[0], reference(c)) for k, c in enumerate(group)]
             found = {r["id"]: r.asDict() for r in check_many(snapshot.frames, asked).collect()}
             # a table without rows gives no row of counts
@@ -134,9 +137,15 @@ def rule_status(counts: dict) -> str:
     return "checked_technical" if counts["unique_matches"] == counts["eligible_references"] else "observed_subset"
 
 
-def rules(snapshot: Snapshot, found: Found, budget: int = 50) -> tuple[list[dict], dict]:
-    """Checked candidates as rules, declared and named ones first; an error is kept with its candidate."""
-    order = sorted(found.candidates, key=lambda c: ("declared_fk" not in c.channels, "metadata" not in c.channels, c.numeric_only, -c.shared, c.source, c.target))
+def rules(snapshot: Snapshot, found: Found, budget: int = 50, proposed: Sequence[Candidate] = ()) -> tuple[list[dict], dict]:
+    """Checked candidates as rules, declared and named ones first; an error is kept with its candidate.
+
+    ``proposed`` are candidates that were thought of elsewhere, with selectors,
+    scopes or transforms; they are checked like the others, after declared ones,
+    and once each.
+    """
+    known = {c.id(snapshot.id): c for c in [*found.candidates, *(replace(c, channels=("proposed",)) for c in proposed)]}
+    order = sorted(known.values(), key=lambda c: ("declared_fk" not in c.channels, "proposed" not in c.channels, "metadata" not in c.channels, c.numeric_only, -c.shared, c.source, c.target, c.selector))
     out = []
     for c, counts in zip(order, checked(snapshot, order[:budget])):
         base = {"rule_id": "rule:" + c.id(snapshot.id), "source": c.source, "target": c.target, "channels": c.channels, "selector": dict(c.selector), "scope": dict(c.scope), "transform": c.transform, "meaning": "unresolved"}
@@ -152,10 +161,10 @@ def run_status(coverage: dict, errors: int = 0) -> str:
     return "partial" if errors or any(v for k, v in coverage.items() if k.endswith("queued") or k.startswith("queued")) else "complete"
 
 
-def discover(snapshot: Snapshot, *, budget: int = 50, **limits: int) -> dict:
+def discover(snapshot: Snapshot, *, budget: int = 50, proposed: Sequence[Candidate] = (), **limits: int) -> dict:
     """The whole run: profile, propose, check, and say how far it came."""
     tables = profiled(snapshot)
     found = propose(snapshot, tables, **limits)
-    checked, coverage = rules(snapshot, found, budget)
+    checked, coverage = rules(snapshot, found, budget, proposed)
     coverage = found.coverage | coverage | {"queued_by_budget": found.coverage["queued_by_budget"] + coverage["queued_by_budget"]}
     return {"snapshot_id": snapshot.id, "rules": checked, "coverage": coverage, "status": run_status(coverage, coverage["status"].get("check_error", 0))}

@@ -922,3 +922,18 @@ def instance_coverage(spark, d):
 def quantity_subject_guard(spark, d):
     said = table(spark, d, "conversations").withColumn("said", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" GET https://x/api/v1"))).otherwise(F.col("text")))
     return gates.quantity_subjects(said, "said").select("conv_id", "turn", "reason")
+
+
+@query()
+def fact_candidates(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("quantity"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"))
+    return facts.fact_candidates(lines, ["l_returnflag", "l_linestatus"], ["quantity", "price"], 200, "l_orderkey")[0]
+
+
+@query("""SELECT o_orderstatus AS source_type, c_mktsegment AS target_type, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+def instance_edges(spark, d):
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    sources = instances.objects(orders.select(F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("type_id")), "orders")
+    targets = instances.objects(customer.select(F.col("c_custkey").alias("row"), F.col("c_mktsegment").alias("type_id")), "customer")
+    found = instances.edges(_order_links(spark, d), sources, targets, "related_to")
+    return found.groupBy("source_type", "target_type").agg(F.count("*").alias("n"))

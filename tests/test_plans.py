@@ -240,3 +240,21 @@ def test_packets(spark):
     assert [(r["key"], r["sources"]) for r in packets.distinct_packets(again, "key").collect()] == [("a", ["a", "k"])]
     rows = spark.createDataFrame([("r1", 1), ("r2", 2)], "record_id string, row long")
     assert {tuple(r) for r in packets.located(spark.createDataFrame([("r1",), ("r9",)], "record_id string"), rows).collect()} == {("r1", 1), ("r9", None)}
+
+
+def test_proposals_from_elsewhere_are_checked_too(snap):
+    c = discovery.Candidate(("demo.records", "ref"), ("demo.catalog", "code"), (), (("kind", "linked"),), (("namespace", "namespace"),))
+    t = discovery.Candidate(("demo.records", "description"), ("demo.catalog", "title"), (), transform="both_alias_items")
+    out, coverage = discovery.rules(snap, discovery.Found([]), proposed=[c, c, t])
+    assert len(out) == coverage["checked"] == 2 and {r["channels"] for r in out} == {("proposed",)}
+    got = {r["transform"]: r["checks"]["unique_matches"] for r in out}
+    assert got == {"identity": 3, "both_alias_items": 0}
+
+
+def test_fact_candidates_say_how_they_were_found(spark):
+    from ravelin.operators import facts
+
+    df = spark.createDataFrame([(i, str(i % 3), str(i), "7") for i in range(30)], "__row long, k string, v string, w string")
+    found, report = facts.fact_candidates(df, ["k"], ["v", "w"], 5, most=10)
+    assert {k: r["method"] for k, r in report.items()} == {"v": "seeded", "w": "exact"}
+    assert Counter(r["value_column"] for r in found.collect()) == {"v": 3, "w": 2}
