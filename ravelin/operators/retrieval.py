@@ -86,3 +86,29 @@ def fuse(ranked: list[DataFrame], k: int, offset: int = 60) -> DataFrame:
         rows = rows.unionByName(r.select("query_id", "doc_id", "rank"))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.lit(1.0) / (offset + F.col("rank"))), 12).alias("score"))
     return top(scored, k)
+
+
+def hashed_weights(docs: DataFrame, id_col: str, text_col: str, dims: int = 256, native: bool = True) -> DataFrame:
+    """(id, bucket, weight): texts as unit vectors of signed term counts, terms dealt to ``dims`` buckets by MD5.
+
+    It needs no model and is the same everywhere; any other (id, bucket, weight)
+    may take its place in ``rerank``.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    terms = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(ascii_terms(text) if native else terms_of(text)).alias("term"))
+    digest = F.md5("term")
+    bucket = (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.substring(digest, 7, 1) < "8", 1).otherwise(-1)
+    counts = terms.select("id", bucket.alias("bucket"), sign.alias("s")).groupBy("id", "bucket").agg(F.sum("s").alias("n")).where("n != 0")
+    size = F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double")).over(Window.partitionBy("id")))
+    return counts.select("id", "bucket", (F.col("n") / size).alias("weight"))
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Candidates (query_id, doc_id) by the cosine of their vectors (id, bucket, weight); only candidates are compared."""
+    q = queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
+    d = docs.select(F.col("id").alias("doc_id"), "bucket", F.col("weight").alias("dw"))
+    scored = candidates.select("query_id", "doc_id").distinct().join(d, "doc_id").join(q, ["query_id", "bucket"])
+    # whole parts of 1e-9, so that sums do not depend on their order
+    part = F.round(F.col("qw") * F.col("dw") * 1e9).cast("long")
+    return top(scored.groupBy("query_id", "doc_id").agg((F.sum(part) / 1e9).alias("score")), k)

@@ -937,3 +937,16 @@ def instance_edges(spark, d):
     targets = instances.objects(customer.select(F.col("c_custkey").alias("row"), F.col("c_mktsegment").alias("type_id")), "customer")
     found = instances.edges(_order_links(spark, d), sources, targets, "related_to")
     return found.groupBy("source_type", "target_type").agg(F.count("*").alias("n"))
+
+
+_HASHED = """w_{t} AS (SELECT id, term, md5(term) AS h FROM (SELECT {i} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM {t})),
+    n_{t} AS (SELECT id, (('0x' || h[1:6])::BIGINT % 256)::INT AS bucket, sum(CASE WHEN h[7] < '8' THEN 1 ELSE -1 END)::BIGINT AS n FROM w_{t} GROUP BY ALL HAVING n <> 0),
+    v_{t} AS (SELECT id, bucket, n / sqrt(sum((n * n)::DOUBLE) OVER (PARTITION BY id)) AS weight FROM n_{t})"""
+
+
+@query(f"""{_BM25}, {_HASHED.format(t='documents', i='doc_id')}, {_HASHED.format(t='benchmark', i='item_id')},
+           s AS (SELECT query_id, doc_id, sum(round(q.weight * d.weight * 1e9)::BIGINT)::BIGINT AS t FROM b JOIN v_documents d ON d.id = doc_id JOIN v_benchmark q ON q.id = query_id AND q.bucket = d.bucket WHERE rank <= 20 GROUP BY ALL)
+           SELECT * FROM (SELECT query_id, doc_id, t::DOUBLE / 1e9::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10""".replace("s AS (SELECT query_id", "sc AS (SELECT query_id").replace("FROM s) WHERE", "FROM sc) WHERE"))
+def snippet_rerank(spark, d):
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return retrieval.rerank(_bm25(spark, d, 20), retrieval.hashed_weights(bench, "item_id", "text"), retrieval.hashed_weights(docs, "doc_id", "text"), 10)
