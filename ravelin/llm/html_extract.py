@@ -38,6 +38,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
+#: A class or id that begins or ends so says what a part has or lacks, not what it is.
+ABOUT_FIRST, ABOUT_LAST = frozenset("has no not is with without".split()), frozenset("free less".split())
 #: What a heading or paragraph is closed by.
 _ENDS_P = BLOCK
 _TAG = re.compile(
@@ -53,7 +55,7 @@ def _apart(name: str, attrs: str, inside: bool) -> bool:
     """Is an element declared to be no part of the article?"""
     if name in APART or name == "header" and not inside:
         return True
-    if not attrs or name in MAIN and inside is None or name in ("html", "body"):
+    if not attrs or name in ("html", "body"):
         return False
     for m in _ATTR.finditer(attrs):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -68,8 +70,15 @@ def _apart(name: str, attrs: str, inside: bool) -> bool:
         elif kind == "role":
             if value.strip().lower() in ROLES:
                 return True
-        elif not MARKS.isdisjoint(_PART.sub(" ", value).lower().split()):
-            return True
+        else:
+            for each in value.split():
+                parts = [p for p in _PART.sub(" ", each).lower().split() if p]
+                if not parts or parts[0] in ABOUT_FIRST or parts[-1] in ABOUT_LAST:
+                    continue
+                marked = [p in MARKS for p in parts]
+                # an article is a comment or an advert only where a class says nothing else of it
+                if all(marked) if name in MAIN else any(marked):
+                    return True
     return False
 
 

@@ -50,6 +50,12 @@ def test_no_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
-@pytest.mark.parametrize("name", ["ad", "sidebar widget", "reader-comments", "siteNav"])
-def test_marks(name):
-    assert H._apart("div", f' class="{name}"', True) == (name != "siteNav" or True)
+@pytest.mark.parametrize(("name", "apart"), [("ad", True), ("sidebar widget", True), ("reader-comments", True), ("siteNav", True), ("ad-free", False), ("has-sidebar", False), ("story", False), ("", False)])
+def test_marks(name, apart):
+    assert H._apart("div", f' class="{name}"', True) == apart
+
+
+def test_an_article_with_a_telling_class_is_still_one():
+    assert text('<article class="post has-comments"><p>A</p><article class="comment"><p>B</p></article></article>') == "A"
+    assert text('<article class="blog-post related-story"><p>A</p></article>') == "A"
+    assert text('<article hidden><p>A</p></article><main><p>B</p></main>') == "B"
