@@ -56,9 +56,14 @@ def table_quotas(rows: dict[str, int], weights: dict[str, int], total: int) -> d
 
 def within_quota(cards: DataFrame, quotas: dict[str, int]) -> DataFrame:
     """Cards with ``kept``: the first of each table, by first row, up to its quota; the rest are reported, not lost."""
+    most = max(quotas.values(), default=0)
+    if most < 1:
+        return cards.withColumn("kept", F.lit(False))
+    allowed = F.create_map([F.lit(x) for kv in quotas.items() for x in kv])
     place = F.row_number().over(Window.partitionBy("table_name").orderBy("first_row", "card_id"))
-    allowed = F.create_map([F.lit(x) for kv in quotas.items() for x in kv]) if quotas else F.create_map()
-    return cards.withColumn("kept", F.coalesce(place <= allowed[F.col("table_name")], F.lit(False)))
+    # no rank beyond the largest quota is needed, so Spark drops the rest before it exchanges
+    first = cards.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= allowed[F.col("table_name")])
+    return cards.join(first.select("table_name", "card_id", F.lit(True).alias("kept")), ["table_name", "card_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def patterns(cards: DataFrame, kind: str | None = None) -> DataFrame:
@@ -73,13 +78,14 @@ def patterns(cards: DataFrame, kind: str | None = None) -> DataFrame:
 def pattern_page(found: DataFrame, limit: int, page: int = 0) -> DataFrame:
     """A page of patterns, tables taken in turn, with the cards that stand before each.
 
-    Ranks within tables are computed by table; the order over all is that of
-    (rank, table, pattern).  Cards before a pattern are summed by rank first, so
-    one task sees a row for each rank, not for each pattern.
+    The order over all is that of (rank in the table, table, pattern).  A pattern
+    of the page has no rank above the page's end, so Spark drops all others of a
+    table before it exchanges, and one task sums a row for each of those ranks.
     """
     if not 0 < limit <= 10_000 or page < 0:
         raise ValueError("a page has 1 to 10000 patterns and a number from 0")
     ranked = found.withColumn("table_rank", F.row_number().over(Window.partitionBy("table_name").orderBy("pattern_id")))
+    ranked = ranked.where(F.col("table_rank") <= (page + 1) * limit)
     order = ["table_rank", "table_name", "pattern_id"]
     sums = ranked.groupBy("table_rank").agg(F.sum("cards").alias("n"), F.count("*").alias("m"))
     before = Window.orderBy("table_rank").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,8 +29,8 @@ def observed_tuples(df: DataFrame, coordinates: Sequence[str], value: str, row:
     fields = [*coordinates, value]
     seen = df.where(_complete(fields)).groupBy(*coordinates, F.col(f"`{value}`").alias("observation_value"))
     seen = seen.agg(F.count("*").alias("source_row_count"), F.min(row).alias("source_row_min"), F.max(row).alias("source_row_max"))
-    counts = seen.withColumn("distinct_value_count", F.count("*").over(Window.partitionBy(*coordinates)))
-    out = _with_totals(counts, all_observed_tuples=F.count("*"), all_complete_rows=F.sum("source_row_count"))
+    values = seen.groupBy(*coordinates).agg(F.count("*").alias("distinct_value_count"))
+    out = _with_totals(seen.join(values, list(coordinates)), all_observed_tuples=F.count("*"), all_complete_rows=F.sum("source_row_count"))
     if limit is None:
         return out
     return out.orderBy(ranked_by(*(F.col(f"`{c}`") for c in coordinates), F.col("observation_value")), "observation_value").limit(limit)
@@ -54,9 +54,8 @@ def seeded_tuples(df: DataFrame, coordinates: Sequence[str], value: str, limit:
     there = df.where(_complete([value])).join(F.broadcast(seeds.select(*coordinates).distinct()), list(coordinates), "left_semi")
     grouped = there.groupBy(*coordinates, F.col(f"`{value}`").alias("observation_value"))
     grouped = grouped.agg(F.count("*").alias("source_row_count"), F.min(row).alias("source_row_min"), F.max(row).alias("source_row_max"))
-    grain = Window.partitionBy(*coordinates)
-    grouped = grouped.withColumn("distinct_value_count", F.when(F.min("observation_value").over(grain) == F.max("observation_value").over(grain), 1).otherwise(2))
-    return grouped.join(F.broadcast(seeds), [*coordinates, "observation_value"], "left_semi")
+    values = grouped.groupBy(*coordinates).agg(F.when(F.min("observation_value") == F.max("observation_value"), 1).otherwise(2).alias("distinct_value_count"))
+    return grouped.join(F.broadcast(seeds), [*coordinates, "observation_value"], "left_semi").join(values, list(coordinates))
 
 
 def configuration_pairs(df: DataFrame, left: str, right: str, extra: Sequence[str] = (), row: str = "__row", limit: int | None = None) -> DataFrame:
@@ -84,9 +83,13 @@ def resolve_endpoint(pairs: DataFrame, endpoint: str, target: DataFrame, key: st
 
 
 def one_per_target(links: DataFrame, n: int) -> DataFrame:
-    """The first n links in rounds: the first source of each target, then the second, and so on."""
+    """The first n links in rounds: the first source of each target, then the second, and so on.
+
+    No round after the n-th is reached, so a target with very many sources sends n
+    of each partition to its task at most.
+    """
     turn = Window.partitionBy("target_row").orderBy("source_row")
-    return links.withColumn("turn", F.row_number().over(turn)).orderBy("turn", "target_row").limit(n)
+    return links.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).orderBy("turn", "target_row").limit(n)
 
 
 def adjacency(links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -98,10 +101,11 @@ def adjacency(links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
 
 def neighbours(adjacent: DataFrame, per_seed: int) -> DataFrame:
-    """The first neighbours of each seed, and how many it has in all."""
-    grain = Window.partitionBy("direction", "seed")
-    ranked = adjacent.withColumns({"neighbours": F.count("*").over(grain), "place": F.row_number().over(grain.orderBy("neighbour"))})
-    return ranked.where(F.col("place") <= per_seed)
+    """The first neighbours of each seed, and how many it has in all; counted by partial aggregation, not in a window."""
+    key = ["direction", "seed"]
+    counts = adjacent.groupBy(*key).agg(F.count("*").alias("neighbours"))
+    ranked = adjacent.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("neighbour")))
+    return ranked.where(F.col("place") <= per_seed).join(counts, key).select(*key, "neighbour", "neighbours", "place")
 
 
 def type_alignment(pairs: DataFrame) -> DataFrame:

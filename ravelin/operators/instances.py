@@ -72,8 +72,9 @@ def replay(found: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def preview(objects: DataFrame, per: Sequence[str], n: int = 3, order: str = "id") -> DataFrame:
     """The first n objects of each kind, with how many there are."""
-    grain = Window.partitionBy(*per)
-    return objects.withColumns({"of": F.count("*").over(grain), "place": F.row_number().over(grain.orderBy(order))}).where(F.col("place") <= n)
+    counts = objects.groupBy(*per).agg(F.count("*").alias("of"))
+    first = objects.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(order))).where(F.col("place") <= n)
+    return first.join(counts, list(per))
 
 
 def attributes(objects: DataFrame, values: DataFrame, n: int = 8) -> DataFrame:

@@ -81,8 +81,9 @@ def value_sources(literals: DataFrame, rows: DataFrame, columns: Sequence[str],
     """(literal, column, row): rows where a whole cell is the literal, the first few of each, with how many there are."""
     cells = rows.select(F.col(row).alias("row"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("literal")) for c in columns))).alias("c")).select("row", "c.*")
     found = cells.join(literals.select("literal").where("literal != ''").distinct(), "literal")
-    grain = Window.partitionBy("literal", "column")
-    return found.withColumns({"of": F.count("*").over(grain), "place": F.row_number().over(grain.orderBy("row"))}).where(F.col("place") <= per_literal)
+    counts = found.groupBy("literal", "column").agg(F.count("*").alias("of"))
+    first = found.withColumn("place", F.row_number().over(Window.partitionBy("literal", "column").orderBy("row"))).where(F.col("place") <= per_literal)
+    return first.join(counts, ["literal", "column"])
 
 
 def slot_targets(bindings: DataFrame, names: DataFrame) -> DataFrame:

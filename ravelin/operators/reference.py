@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.conditions import Condition, compiled
 from ..functions.text import TRANSFORMS, folded_items, folded_value
 from ..functions.values import all_of, identity_usable, join_usable, json_leaf, ratio, selected
+from ..sources.rows import materialise
 
 COUNTS = (
     "source_rows selector_true selector_false selector_unknown null_references empty_references whitespace_references missing_scope "
@@ -169,11 +170,15 @@ def _beside(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def _row_matches(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:
-    """Eligible, selected source rows with the multiplicity of their key."""
+    """Eligible, selected source rows with the multiplicity of their key, null where it has no target.
+
+    Keys are written first: then few ones are broadcast, by their size, and many
+    meet the rows in a join whose hot keys can be split.
+    """
     usable, scoped = ref.usable()
     rows = ref.source_rows(source).where(F.col("selected") & usable & scoped)
-    keys = ref.matched(rows.select("ref", *ref.scopes).distinct(), target)
-    return rows.join(keys, ["ref", *ref.scopes])
+    keys = ref.target_keys(target) if ref.direct else ref.matched(rows.select("ref", *ref.scopes).distinct(), target).where("multiplicity IS NOT NULL")
+    return rows.join(materialise(keys), ["ref", *ref.scopes], "left")
 
 
 def links(source: DataFrame, target: DataFrame, ref: Reference) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.conditions import Condition, compiled
 from ..functions.formulas import symbols_of
 from ..functions.values import all_of, json_leaf, ratio
+from ..sources.rows import materialise
 from .reference import Reference, links
 
 MODES = ("identifier", "members", "formula", "text")
@@ -104,7 +105,7 @@ def outcomes(source: DataFrame, target: DataFrame, plan: RelationPlan, decisions
         complete = all_of([F.col(f"`{t}`").isNotNull() for _, t in scopes.values()]) & F.coalesce(F.col(f"`{plan.target_field}`").cast("string") != "", F.lit(False))
         keys = target.where(complete).groupBy(F.col(f"`{plan.target_field}`").cast("string").alias("item"), *(F.col(f"`{t}`").cast("string").alias(k) for k, (_, t) in scopes.items()))
         keys = keys.agg(F.count("*").alias("n"), F.min(plan.target_row).alias("first"))
-        joined = each.join(keys, ["item", *scopes], "left")
+        joined = each.join(materialise(keys), ["item", *scopes], "left")  # written: a hot item can be split, few keys broadcast
         outcome = F.when(F.col("n").isNull(), "missing_target").when(F.col("n") > 1, "ambiguous_identity").otherwise("matched")
         out = joined.select("source_row", "item", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("first")).alias("target_row")).unionByName(bad)
     if witnesses is not None:
