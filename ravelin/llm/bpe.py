@@ -1,9 +1,9 @@
 """Byte-level BPE over many texts by merge replay.
 
 The distinct pieces of a batch of texts are one corpus of symbol sequences.  An
-inverted index maps each adjacent symbol pair to the places where it stands, and
-a heap holds the pairs by merge rank.  The best pair is merged at all its places
-at once, and only the neighbours of those places are touched: their new pairs are
+inverted index maps each merge, that is each rank of an adjacent symbol pair, to
+the places where such a pair stands, and a heap holds the ranks.  The first rank
+is merged at all its places at once, and only the neighbours of those places are touched: their new pairs are
 entered, their old ones found stale when their turn comes.  A piece's merges do not depend on other
 pieces, so the result is the one of merging each piece alone.
 """
@@ -15,6 +15,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,14 +34,16 @@ class Merges:
     """What two tokens make: the id of their joined bytes, looked up once for each pair met."""
 
     SHIFT = 20
-    #: Stands after the last symbol of a piece; it merges with nothing.
+    #: Stands before and after each piece; it merges with nothing.
     END = (1 << SHIFT) - 1
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values(), default=0) >= self.END:
             raise ValueError(f"ids are below {self.END}")
         self.ranks, self.bytes_of = ranks, {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: rank of two bytes, at 256 * left + right
+        self.two = np.array([ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)], np.int64)
         self.made: dict[int, int] = {}
 
     def look(self, pair: int) -> int:
@@ -51,87 +54,101 @@ class Merges:
         return made
 
 
-def replay(pieces: Iterable[bytes], merges: Merges) -> dict[bytes, list[int]]:
-    """Token ids of each distinct piece, by replaying merges over all of them.
+def replay_raw(pieces: list[bytes], merges: Merges) -> tuple[bytes, np.ndarray]:
+    """Ids of nonempty pieces, four bytes each, and where each piece's end among them.
 
-    Places whose symbols have changed since they were entered are passed over when
-    their pair's turn comes.  A merge may open a pair of an earlier rank; then the
+    ``turn[at]`` is the rank of the pair that starts at symbol ``at``, and ``index``
+    has the places of each rank; a place whose pair has changed since it was
+    entered is passed over.  A merge may open a pair of an earlier rank; then the
     later places of that piece wait until that pair has had its turn.
     """
-    ranks, shift, end, made, look = merges.ranks, merges.SHIFT, merges.END, merges.made, merges.look
-    pieces = list(dict.fromkeys(pieces))
-    done = {p: [ranks[p]] for p in pieces if p in ranks}  # a piece that is a token stays one
-    pieces = [p for p in pieces if p and p not in done]
-    # all pieces in one run of symbols, each ended; links to the neighbours that remain
-    symbol: list[int] = []
-    of: list[int] = []
-    single = merges.single
-    first = []
-    for k, p in enumerate(pieces):
-        first.append(len(symbol))
-        symbol += [single[b] for b in p]
-        symbol.append(end)
-        of += [k] * (len(p) + 1)
-    n = len(symbol)
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    index: dict[int, list[int]] = {}
-    for at, pair in enumerate([a << shift | b for a, b in zip(symbol, symbol[1:])]):
-        places = index.get(pair)
-        if places is None:
-            index[pair] = [at]
-        else:
-            places.append(at)
-    heap = []
-    for pair in index:
-        rank = made.get(pair)
-        if rank is None:
-            rank = look(pair)
-        if rank >= 0:
-            heap.append((rank, pair))
-    heapq.heapify(heap)
+    shift, end, made, look = merges.SHIFT, merges.END, merges.made, merges.look
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    # an END, then each piece and an END after it
+    starts = np.cumsum(sizes + 1) - sizes
+    at = np.arange(len(raw)) + np.repeat(np.arange(1, len(pieces) + 1), sizes)
+    symbols = np.full(len(raw) + len(pieces) + 1, end, np.int64)
+    symbols[at] = merges.single[raw]
+    ranks = np.full(len(symbols), -1, np.int64)
+    inner = np.flatnonzero(np.diff(at) == 1)
+    ranks[at[inner]] = merges.two[256 * raw[inner] + raw[inner + 1]]
+    places = np.flatnonzero(ranks >= 0)
+    places = places[np.argsort(ranks[places], kind="stable")]
+    first = np.flatnonzero(np.diff(ranks[places], prepend=-1))
+    index = {r: p.tolist() for r, p in zip(ranks[places[first]].tolist(), np.split(places, first[1:]))} if len(places) else {}
+    heap = sorted(index)
+    symbol, turn = symbols.tolist(), ranks.tolist()
+    left, right = list(range(-1, len(symbol) - 1)), list(range(1, len(symbol) + 1))
+    push, pop = heapq.heappush, heapq.heappop
+
+    def piece_end(at: int) -> int:
+        k = int(np.searchsorted(starts, at, side="right")) - 1
+        return int(starts[k] + sizes[k])
+
     while heap:
-        rank, pair = heapq.heappop(heap)
-        places = index.pop(pair, None)
-        if places is None:
-            continue
-        a, b = pair >> shift, pair & end
-        waits, later = -1, []
+        rank = pop(heap)
+        places = index.pop(rank)
         if len(places) > 1:
             places.sort()  # from the left, as overlapping places of one piece are merged
+        waits, later = 0, []
         for at in places:
-            to = right[at]
-            if symbol[at] != a or symbol[to] != b:
+            if turn[at] != rank:
                 continue
-            if of[at] == waits:
+            if at < waits:
                 later.append(at)
                 continue
-            symbol[at], symbol[to] = rank, -1
+            to = right[at]
             after, before = right[to], left[at]
+            symbol[at], symbol[to], turn[to] = rank, -1, -1
             right[at], left[after] = after, at
-            for place, new in ((at, rank << shift | symbol[after]), (before, symbol[before] << shift | rank)):
-                if place < 0:
-                    continue
-                opened = made.get(new)
-                if opened is None:
-                    opened = look(new)
-                if opened >= 0:
-                    entered = index.get(new)
-                    if entered is None:
-                        index[new] = [place]
-                        heapq.heappush(heap, (opened, new))
-                    else:
-                        entered.append(place)
-                    if opened < rank:
-                        waits = of[at]
+            new = rank << shift | symbol[after]
+            opened = made.get(new)
+            if opened is None:
+                opened = look(new)
+            turn[at] = opened
+            if opened >= 0:
+                entered = index.get(opened)
+                if entered is None:
+                    index[opened] = [at]
+                    push(heap, opened)
+                else:
+                    entered.append(at)
+                if opened < rank:
+                    waits = piece_end(at)
+            new = symbol[before] << shift | rank
+            opened = made.get(new)
+            if opened is None:
+                opened = look(new)
+            turn[before] = opened
+            if opened >= 0:
+                entered = index.get(opened)
+                if entered is None:
+                    index[opened] = [before]
+                    push(heap, opened)
+                else:
+                    entered.append(before)
+                if opened < rank:
+                    waits = piece_end(at)
         if later:
-            index[pair] = later
-            heapq.heappush(heap, (rank, pair))
-    for p, at in zip(pieces, first):
-        ids = []
-        while symbol[at] != end:
-            ids.append(symbol[at])
-            at = right[at]
-        done[p] = ids
+            index[rank] = later
+            push(heap, rank)
+    symbols = np.array(symbol, np.int64)
+    kept = symbols >= 0
+    kept[symbols == end] = False
+    ends = np.cumsum(kept)[starts + sizes - 1] if len(pieces) else sizes
+    return symbols[kept].astype("<u4").tobytes(), ends
+
+
+def replay(pieces: Iterable[bytes], merges: Merges) -> dict[bytes, bytes]:
+    """Ids of each distinct piece, by replaying merges over all of them; a piece that is a token stays one."""
+    distinct = list(dict.fromkeys(pieces))
+    done = {p: merges.ranks[p].to_bytes(4, "little") if p in merges.ranks else b"" for p in distinct}
+    rest = [p for p in distinct if p and p not in merges.ranks]
+    if rest:
+        raw, ends = replay_raw(rest, merges)
+        stops = (4 * ends).tolist()
+        done.update((p, raw[s:e]) for p, s, e in zip(rest, [0, *stops], stops))
     return done
 
 
@@ -149,8 +166,7 @@ class Encoder:
         self.known.update((p, self.older[p]) for p in again)
         new -= again
         by_bytes = {p.encode(): p for p in new}
-        for b, ids in replay(by_bytes, self.merges).items():
-            self.known[by_bytes[b]] = b"".join(i.to_bytes(4, "little") for i in ids)
+        self.known.update((by_bytes[b], ids) for b, ids in replay(by_bytes, self.merges).items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
