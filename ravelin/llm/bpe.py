@@ -182,6 +182,17 @@ class Encoder:
         return b"".join([token[i] for i in memoryview(ids).cast("I")])
 
 
+#: The encoder a Python worker keeps from task to task, under its key; never more than one.
+_kept: dict[str, Encoder] = {}
+
+
+def worker_encoder(key: str, ranks, pattern: str) -> Encoder:
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(ranks.value, pattern)
+    return _kept[key]
+
+
 #: Characters of text replayed as one corpus.
 TOGETHER = 2_000_000
 
@@ -194,14 +205,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     the decoded bytes are returned too.  The rank file is read on the driver and
     its table, of a size fixed by the file, is sent to the executors.
     """
-    spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(path))
-    held: list[Encoder] = []
+    table = load_ranks(path)
+    ranks = docs.sparkSession.sparkContext.broadcast(table)
+    key = hashlib.sha256(repr((sorted(table.items()), pattern)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Encoder(ranks.value, pattern))
-        encoder = held[0]
+        encoder = worker_encoder(key, ranks, pattern)
         for batch in batches:
             sizes = batch.column(1).nbytes // max(1, batch.num_rows) + 1
             step = max(1, TOGETHER // sizes)
