@@ -73,16 +73,40 @@ def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(breaks))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Numbered slices of about ``limit`` bytes of text; the same for the same partition."""
-    number = TaskContext.get().partitionId() << 32
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(number, place in the chunk of its first row, rows) of slices of chunks of about ``limit`` bytes of text.
+
+    Numbers and places follow from the rows of a partition and their order alone:
+    how they are cut into batches only decides into how many slices a chunk falls.
+    """
+    number, place, total, now = (TaskContext.get().partitionId() << 32) - 1, 0, 0, -1
     for batch in batches:
-        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(text_at)).to_pylist()], np.int64)
-        group = np.cumsum(sizes) // limit if len(sizes) else sizes
-        starts, ends = runs(np.append(True, group[1:] != group[:-1])) if len(group) else ([], [])
-        for s, e in zip(starts, ends):
-            yield number, batch.slice(int(s), int(e - s))
-            number += 1
+        # a row weighs something without text too, so that a chunk has no end of empty ones
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(text_at)).to_pylist()], np.int64) + 16
+        if not len(sizes):
+            continue
+        group = (total + np.cumsum(sizes)) // limit
+        total += int(sizes.sum())
+        starts, ends = runs(np.append(True, group[1:] != group[:-1]))
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            if group[s] != now:
+                number, place, now = number + 1, 0, int(group[s])
+            yield number, place, batch.slice(s, e - s)
+            place += e - s
+
+
+def whole_chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Numbered chunks, their slices put together."""
+    now, held = -1, []
+    for number, _, part in chunks(batches, text_at, limit):
+        if number != now and held:
+            yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        now = number
+        # a slice's buffers are those of the whole batch until it is copied
+        held.append(part.take(pa.array(np.arange(part.num_rows))))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def ship(number: int, ids: list, texts: list[bytes | None], words: _Words) -> tuple[dict, dict]:
@@ -134,7 +158,7 @@ def _flow(n: int, **cols) -> pa.RecordBatch:
 def _ship_all(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for number, part in chunks(batches, 1, limit):
+        for number, part in whole_chunks(batches, 1, limit):
             ids = part.column(0).to_pylist()
             sent, paths = ship(number, ids, part.column(1).cast(pa.binary()).to_pylist(), words)
             doc = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
@@ -221,12 +245,12 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _pack(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for number, part in chunks(batches, 0, limit):
+        for number, place, part in chunks(batches, 0, limit):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 # a slice's buffers are those of the whole batch until it is copied
                 out.write_batch(part.take(pa.array(np.arange(part.num_rows))))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([place], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "place", "pack"])
 
     return run
 
@@ -243,13 +267,13 @@ def cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
     for batch in batches:
-        for blob, spans in zip(batch.column("pack"), batch.column("spans")):
+        for place, blob, spans in zip(batch.column("place").to_pylist(), batch.column("pack"), batch.column("spans")):
             part = pa.ipc.open_stream(press.decompress(blob.as_py())).read_all().combine_chunks().to_batches()[0]
             own: dict[int, list[tuple[int, int]]] = {}
             if spans.values is not None:
                 fields = [spans.values.field(k).to_pylist() for k in range(3)]
                 for idx, pos, count in zip(*fields):
-                    own.setdefault(idx, []).append((pos, count))
+                    own.setdefault(idx - place, []).append((pos, count))
             words, removed, kept = [], [], []
             for i, text in enumerate(part.column("__text").cast(pa.binary()).to_pylist()):
                 ws = (text or b"").split()
@@ -269,14 +293,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     A null or empty text has no words and keeps none; texts under WINDOW words lose
     none; of repeated rows the later lose what the first has.  Other columns, of
     any name, travel inside ``doc``.  ``docs`` should be read from files, as rows
-    are told apart by their place in the scan.
+    are told apart by their place in the partitions of the scan; how Spark cuts
+    these into Arrow batches makes no difference.
     """
     paths = repeated_paths(docs, id_col, text_col, chunk).groupBy("chunk").agg(F.collect_list(F.struct("idx", "pos", "len")).alias("spans"))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *others)
-    packs = rows.mapInArrow(_pack(chunk), "chunk long, pack binary")
+    packs = rows.mapInArrow(_pack(chunk), "chunk long, place int, pack binary")
     kind = docs.select(F.struct(*others).alias("doc")).schema["doc"].dataType.simpleString()
-    joined = packs.join(paths, "chunk", "left").select("pack", "spans")
+    joined = packs.join(paths, "chunk", "left").select("place", "pack", "spans")
     return joined.mapInArrow(_remove, f"doc {kind}, n_words long, n_removed long, kept_text string")
 
 

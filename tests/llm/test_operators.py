@@ -151,6 +151,23 @@ def test_substring_dedup(awkward, chunk):
     assert found[0]["doc"].asDict().keys() == set(awkward.columns) - {"text"}
 
 
+@pytest.mark.parametrize(("setting", "value"), [("maxBytesPerBatch", "3000"), ("maxRecordsPerBatch", "7")])
+def test_substring_dedup_does_not_depend_on_arrow_batches(spark, tmp_path, setting, value):
+    """The text twice over and a wide column: the packing scan is cut elsewhere than the shipping scan."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs = [(i, " ".join(f"d{i}x{k}" for k in range(20 + i % 9)) + (f" {passage}" if i % 3 == 0 else "")) for i in range(60)]
+    spark.createDataFrame([(i, t, t, "y" * 300) for i, t in docs], "doc_id long, __whole string, text string, wide string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    key = f"spark.sql.execution.arrow.{setting}"
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        found = rows(substring_dedup.dedup(spark.read.parquet(str(tmp_path / "d")).select("doc_id", "__whole", "wide", "text"), chunk=2000))
+    finally:
+        spark.conf.set(key, before)
+    own = Counter((r["doc"]["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found)
+    assert own == Counter(brute_dedup(docs))
+
+
 def test_edges_equal_only_for_equal_windows():
     h = np.array([xxhash.xxh3_64_intdigest(str(i % 7).encode()) for i in range(60)], np.uint64)
     wide, low = substring_dedup.edges(h)
