@@ -1,12 +1,19 @@
-"""Main text of web pages, with a suffix array of each host's boilerplate.
-
-A page is cut into blocks of text.  Blocks inside the page's article (or main)
-element, outside whatever its mark-up declares to be something else, are its main
-text.  A page that declares no article keeps those of its other blocks of which
-less than half repeats across its host: the token streams of up to ``TOGETHER`` pages of the
-host are concatenated, their suffixes sorted to the depth of ``RUN`` tokens, and
-tokens covered by a substring of that length on ``PAGES`` or more distinct pages
-are boilerplate.  Large hosts are dealt into several such groups.
+"""Main text of web pages, without what their host repeats.
+
+A page is cut into blocks of text, and its blocks in turn are one stream of tokens.
+A run of ``RUN`` tokens that stands on ``PAGES`` or more distinct pages of a host
+is boilerplate, whatever the mark-up says, and the tokens it covers go: inside a
+block those of runs that lie in it, and a block as a whole where runs that reach
+across blocks cover all of it.  Of the rest, mark-up decides what is kept: blocks
+in the page's article (or main) element, or any block where a page declares none,
+outside whatever is declared to be something else.
+
+Runs are counted over all pages of the host.  Pages are read in chunks; in each a
+suffix array finds equal runs, and every distinct one is sent, as a hash of host
+and run, with up to ``PAGES`` of its pages to the task of its bucket.  There
+distinct pages are counted, and runs that have enough go back to the chunks they
+stand in.  A chunk sends a run a few times at most, however large the host is, and
+a host's runs lie in all buckets.
 """
 
 from __future__ import annotations
@@ -17,13 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_group, cut
+from .shared import by_group
+from .substring_dedup import _ODD, _Words, chunks, mix, runs
 
-#: Tokens of the shortest repeat, distinct pages it is on, and pages of a group, about.
-RUN, PAGES, TOGETHER = 8, 3, 128
+#: Tokens of the shortest repeat (a power of two), and distinct pages it is on.
+RUN, PAGES = 8, 3
+#: Bytes of HTML in a chunk, but for a single longer page.
+CHUNK = 2_000_000
+#: Bits of a run's hash that tell its bucket, and bits sent beside it.
+BUCKET_BITS, KEY_BITS = 12, 40
 
 #: HTML elements by their part in a page.
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed".split())
@@ -170,92 +184,174 @@ def suffix_classes(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(streams: list[list[list[str]]]) -> list[list[np.ndarray]]:
-    """For each page's blocks of tokens, which tokens a repeated substring covers."""
-    number: dict[str, int] = {}
-    tokens, page = [], []
-    for p, found in enumerate(streams):
-        for block in found:
-            tokens += [number.setdefault(t, len(number)) for t in block]
-            page += [p] * len(block)
-        tokens.append(-1 - p)  # a token of its own ends a page
-        page.append(p)
-    token, of = np.array(tokens), np.array(page)
-    covered = np.zeros(len(token) + 1, np.int64)
-    if len(token) > RUN:
-        rank = suffix_classes(token, RUN)
-        inside = np.flatnonzero(of[: len(of) - RUN + 1] == of[RUN - 1 :])
-        inside = inside[(np.convolve(token < 0, np.ones(RUN, int))[RUN - 1 : len(token)] == 0)[inside]]
-        pairs = np.unique(np.stack([rank[inside], of[inside]]), axis=1)
-        classes, pages = np.unique(pairs[0], return_counts=True)
-        hit = inside[np.isin(rank[inside], classes[pages >= PAGES])]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + RUN, -1)
-    flags = np.cumsum(covered)[: len(token)] > 0
-    out, at = [], 0
-    for found in streams:
-        own = []
-        for block in found:
-            own.append(flags[at : at + len(block)])
-            at += len(block)
-        at += 1
-        out.append(own)
+def run_keys(streams: list[list[list[str]]], hosts: np.ndarray, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hash of each token, page of each token, where runs start, their keys by host).
+
+    A run lies in one page; it may reach across blocks.
+    """
+    h = np.fromiter((words[t] for page in streams for block in page for t in block), np.uint64)
+    of = np.repeat(np.arange(len(streams)), [sum(map(len, page)) for page in streams])
+    if len(h) < RUN:
+        return h, of, np.array([], np.int64), np.array([], np.uint64)
+    wide, n = h, 1
+    while n < RUN:
+        wide, n = wide[:-n] * np.uint64(pow(int(_ODD), n, 1 << 64)) + wide[n:], 2 * n
+    starts = np.flatnonzero(of[: len(wide)] == of[RUN - 1 :])
+    return h, of, starts, mix(wide[starts] ^ hosts[of[starts]]) >> np.uint64(64 - BUCKET_BITS - KEY_BITS)
+
+
+def distinct_runs(streams: list[list[list[str]]], hosts: np.ndarray, pages: np.ndarray, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, page) of each distinct run of a host with up to PAGES of its distinct pages, in order of keys."""
+    h, of, starts, keys = run_keys(streams, hosts, words)
+    if not len(starts):
+        return keys, np.array([], np.uint32)
+    alike = suffix_classes(h, RUN)[starts]
+    host = np.unique(hosts, return_inverse=True)[1][of[starts]]
+    page = np.unique(pages, return_inverse=True)[1][of[starts]]
+    order = np.lexsort((page, host, alike, keys))
+    k, c, o, p = keys[order], alike[order], host[order], page[order]
+    fresh = np.append(True, (c[1:] != c[:-1]) | (o[1:] != o[:-1]) | (k[1:] != k[:-1]))
+    once = fresh | np.append(True, p[1:] != p[:-1])
+    order, fresh = order[once], fresh[once]
+    at = np.arange(len(order))
+    nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    chosen = order[nth < PAGES]
+    return keys[chosen], pages[of[starts[chosen]]]
+
+
+def without_runs(streams: list[list[list[str]]], hosts: np.ndarray, gone: np.ndarray, words: dict[str, int]) -> list[list[str]]:
+    """The text left of each page's blocks when runs whose keys are in ``gone`` are taken out."""
+    h, of, starts, keys = run_keys(streams, hosts, words)
+    sizes = [len(block) for page in streams for block in page]
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    hit = starts[np.isin(keys, gone)]
+    own = hit[block[hit] == block[hit + RUN - 1]]
+
+    def cover(found: np.ndarray) -> np.ndarray:
+        step = np.zeros(len(h) + 1, np.int64)
+        np.add.at(step, found, 1)
+        np.add.at(step, found + RUN, -1)
+        return np.cumsum(step)[: len(h)] > 0
+
+    whole = np.bincount(block[cover(hit)], minlength=len(sizes)) == sizes if sizes else np.array([], bool)
+    flags = (cover(own) | whole[block]).tolist()
+    out, at, some = [], 0, bool(len(hit))
+    for page in streams:
+        left = []
+        for tokens in page:
+            left.append(" ".join([t for t, f in zip(tokens, flags[at : at + len(tokens)]) if not f] if some else tokens))
+            at += len(tokens)
+        out.append(left)
     return out
 
 
-def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = [article(blocks(h or "")) for h in part.column("html").to_pylist()]
-            rows = pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-            yield rows.filter(pa.array([t is not None for t in texts]))
+def _host_hashes(hosts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in hosts], np.uint64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands outside articles: evidence of boilerplate, and whole pages without one (``open``)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [blocks(h or "") for h in part.column("html").to_pylist()]
-            whole = [not any(i for _, i, _ in x) for x in found]
-            texts = [[t for t, i, _ in x if not i] for x in found]
-            apart = [[a for _, i, a in x if not i] for x in found]
-            cols = [part.column("host"), part.column("page_id"), part.column("url"), pa.array(whole), pa.array(texts, pa.list_(pa.string())), pa.array(apart, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "page_id", "url", "open", "texts", "apart"])
+def _ship(limit: int):
+    """Rows of (host, page, html) to (bucket, chunk, keys, pages): the distinct runs of a chunk, a row a bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for number, _, part in chunks(batches, 2, limit):
+            streams = [[t.split(" ") for t, _, _ in blocks(x or "")] for x in part.column("html").to_pylist()]
+            pages = part.column("page").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).astype(np.uint32)
+            keys, of = distinct_runs(streams, _host_hashes(part.column("host").to_pylist()), pages, words)
+            if not len(keys):
+                continue
+            bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
+            s, e = runs(np.append(True, bucket[1:] != bucket[:-1]))
+            raw, pages = _bytes(keys), of.astype("<u4").tobytes()
+            n = KEY_BITS // 8
+            cols = [pa.array(bucket[s]), pa.array(np.full(len(s), number)), pa.array([raw[n * a : n * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary()), pa.array([pages[4 * a : 4 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "keys", "pages"])
 
-def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in by_group(batches, ["host", "part"]):
-        opened = rows.column("open").to_pylist()
-        if not any(opened):
+    return run
+
+
+def _bytes(keys: np.ndarray) -> bytes:
+    """The KEY_BITS low bits of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // (KEY_BITS // 8), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: the keys on PAGES or more distinct pages, back to each chunk that has them."""
+    for (bucket,), rows in by_group(batches, ["bucket"]):
+        raw = rows.column("keys").to_pylist()
+        key = _keys(b"".join(raw))
+        page = np.frombuffer(b"".join(rows.column("pages").to_pylist()), "<u4")
+        chunk = np.repeat(rows.column("chunk").to_numpy(), [len(x) // (KEY_BITS // 8) for x in raw])
+        order = np.lexsort((page, key))
+        k, p = key[order], page[order]
+        once = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+        found, pages = np.unique(k[once], return_counts=True)
+        hit = np.flatnonzero(np.isin(key, found[pages >= PAGES]))
+        if not len(hit):
             continue
-        texts, apart = rows.column("texts").to_pylist(), rows.column("apart").to_pylist()
-        streams = [[t.split(" ") for t in page] for page in texts]
-        flags = repeated(streams)
-        out = []
-        for page, gone, away, whole in zip(streams, flags, apart, opened):
-            kept = [" ".join(block) for block, gs, a in zip(page, gone, away) if not a and 2 * gs.sum() < len(gs)]
-            out.append("\n".join(kept) if whole else None)
-        chosen = rows.select(["page_id", "url"]).append_column("text", pa.array(out, pa.string())).filter(pa.array(opened))
-        yield from chosen.combine_chunks().to_batches()
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+        hit = hit[np.lexsort((key[hit], chunk[hit]))]
+        c, k = chunk[hit], key[hit]
+        once = np.append(True, (c[1:] != c[:-1]) | (k[1:] != k[:-1]))
+        c, k = c[once], k[once]
+        s, e = runs(np.append(True, c[1:] != c[:-1]))
+        cols = [pa.array(c[s]), pa.array(np.full(len(s), bucket, np.int32)), pa.array([_bytes(k[a:b]) for a, b in zip(s, e)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "keys"])
+
+
+def _pack(limit: int):
+    """Rows of (page_id, url, html, host) to (chunk, pack): their blocks, and which of them mark-up keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for number, _, part in chunks(batches, 2, limit):
+            found = [blocks(x or "") for x in part.column("html").to_pylist()]
+            texts = [[t for t, _, _ in x] for x in found]
+            declared = [any(i for _, i, _ in x) for x in found]
+            kept = [[not a and (i or not d) for _, i, a in x] for x, d in zip(found, declared)]
+            cols = [*(part.column(k).take(pa.array(np.arange(part.num_rows))) for k in ("page_id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_()))]
+            sheet = pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "texts", "kept"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, sheet.schema) as out:
+                out.write_batch(sheet)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "pack"])
+
+    return run
+
+
+def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press, words = zstandard.ZstdDecompressor(), _Words()
+    for batch in batches:
+        for blob, hits in zip(batch.column("pack"), batch.column("hits").to_pylist()):
+            part = pa.ipc.open_stream(press.decompress(blob.as_py())).read_all().combine_chunks().to_batches()[0]
+            gone = [_keys(x["keys"]) | np.uint64(x["bucket"] << KEY_BITS) for x in hits or []]
+            gone = np.concatenate(gone) if gone else np.array([], np.uint64)
+            streams = [[t.split(" ") for t in page] for page in part.column("texts").to_pylist()]
+            left = without_runs(streams, _host_hashes(part.column("host").to_pylist()), gone, words)
+            text = ["\n".join([t for t, k in zip(page, kept) if k and t]) for page, kept in zip(left, part.column("kept").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = CHUNK) -> DataFrame:
     """A row per input row: page_id, url, text (empty if none), n_chars (code points).
 
     A null or empty html has the empty text.  Null ids and urls are kept; pages
-    without a host share the host of no name; repeated rows keep a row each.
-    Other columns are not read.
+    without a host share the host of no name; repeated rows (by id and url) keep a
+    row each and count as one page.  Other columns are not read.  ``pages`` should
+    be read from files, as chunks are told apart by their place in the scan.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     hosted = rows.withColumn("host", host)
     kind = rows.schema["page_id"].dataType.simpleString()
-    sizes = cut(hosted.groupBy("host").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups")))
-    streams = hosted.select("host", "page_id", "url", "html").mapInArrow(_streams, f"host string, page_id {kind}, url string, open boolean, texts array<string>, apart array<boolean>")
-    # by url, so that a page fetched twice is in one group
-    dealt = streams.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.col("groups")).cast("int"))
-    opened = dealt.drop("groups").repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
-    declared = rows.mapInArrow(_articles, f"page_id {kind}, url string, text string")
-    return declared.unionAll(opened).withColumn("n_chars", F.length("text").cast("long"))
+    sent = hosted.select("host", F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(_ship(chunk), "bucket int, chunk long, keys binary, pages binary")
+    hits = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "chunk long, bucket int, keys binary")
+    hits = hits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("hits"))
+    packs = hosted.select("page_id", "url", "html", "host").mapInArrow(_pack(chunk), "chunk long, pack binary")
+    found = packs.join(hits, "chunk", "left").select("pack", "hits").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -46,6 +46,29 @@ def test_pages_without_an_article_lose_what_their_host_repeats(spark, tmp_path):
     assert by[11]["text"] == "A b" and by[11]["n_chars"] == 3
 
 
+def test_an_article_loses_what_its_host_repeats(spark, tmp_path):
+    """Boilerplate without a telling class, a block of its own or within one; what is unique stays."""
+    line = "Read more stories like this one in our app"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    pages = [(i, f"https://h.example/{i}", f"<article><p>{body(i)}</p><p>{line}</p><div>{body(i + 50)} {line} end{i}</div></article>") for i in range(3)]
+    pages += [(7, "https://two.example/7", f"<article><p>{line}</p></article>")] * 4  # one page, four times over
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    by = {r["page_id"]: r["text"] for r in H.extract(spark.read.parquet(str(tmp_path / "p"))).collect()}
+    assert [by[i] for i in range(3)] == [f"{body(i)}\n{body(i + 50)} end{i}" for i in range(3)]
+    assert by[7] == line
+
+
+def test_repeats_are_counted_over_a_whole_host(spark, tmp_path):
+    """Three of 600 pages share a line: no deal into groups, chunks or partitions may hide it."""
+    line = "This story first ran in our Sunday paper edition"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(9))
+    pages = [(i, f"https://h.example/{i}", f"<div>{own(i)}</div>" + (f"<div>{line}</div>" if i % 200 == 0 else "")) for i in range(600)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).write.parquet(str(tmp_path / "p"))
+    for chunk in (H.CHUNK, 2000):
+        by = {r["page_id"]: r["text"] for r in H.extract(spark.read.parquet(str(tmp_path / "p")), chunk=chunk).collect()}
+        assert by == {i: own(i) for i in range(600)}
+
+
 def test_no_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
