@@ -10,7 +10,10 @@ A linear classifier is trained on the model's posterior labels, and its output
 set to the labels' scale.
 
 The model is fitted on at most ``FIT`` labelled rows of each label, the first by a
-hash of the id, with whole texts.  All texts are scored.
+hash of the id, with whole texts.  A row of it weighs as much as its label has
+learnable rows for each in the sample, so that the share of toxic rows, and with
+it what a mined feature must show and what a score means, is that of the table
+and not of the sample.  All texts are scored.
 """
 
 from __future__ import annotations
@@ -92,25 +95,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, trusted: int = 0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, trusted: int = 0, rounds: int = 60, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of label 1, each voter's rates by label and vote, conditional correlations).
 
     votes: rows x voters of 1 (toxic), 0 (clean), -1 (abstains); start: first posterior;
-    trusted: so many of the last voters count in full, however much others agree with them.
+    trusted: so many of the last voters count in full, however much others agree with them;
+    mass: what each row weighs, 1 on average.
     """
     post = start.astype(float)
+    mass = np.ones(len(post)) if mass is None else mass
     heard = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # vote, row, voter
     for _ in range(rounds):
-        rates = np.stack([(np.einsum("vrj,r->jv", heard, w) + 0.5) / (w.sum() + 1.5) for w in (1 - post, post)])
+        rates = np.stack([(np.einsum("vrj,r->jv", heard, w) + 0.5) / (w.sum() + 1.5) for w in (mass * (1 - post), mass * post)])
         signed = votes.astype(float)
         expect = np.stack([rates[y, :, 2] - rates[y, :, 0] for y in (0, 1)])
         rest = signed - (1 - post)[:, None] * expect[0] - post[:, None] * expect[1]
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        corr = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
+        weighed = rest * mass[:, None]
+        spread = np.sqrt((rest * weighed).mean(axis=0)) + 1e-9
+        corr = (rest.T @ weighed) / len(rest) / np.outer(spread, spread)
         weight = 1 / (1 + np.clip(np.abs(corr) - np.eye(len(corr)) - 0.1, 0, None).sum(axis=0))
         weight[len(weight) - trusted :] = 1
         say = np.log(rates[1] / rates[0]) * weight[:, None]  # voter, vote
-        prior = np.clip(post.mean(), 0.01, 0.99)
+        prior = np.clip((mass * post).mean(), 0.01, 0.99)
         log = np.log(prior / (1 - prior)) + np.einsum("vrj,jv->r", heard, say)
         new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
@@ -134,22 +140,23 @@ def linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400)
     return w
 
 
-def platt(logit: np.ndarray, gold: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+def platt(logit: np.ndarray, gold: np.ndarray, rounds: int = 100, mass: np.ndarray | None = None) -> tuple[float, float]:
     """(a, b) of sigmoid(a * logit + b) fitted to the labels, each class smoothed by a row; Newton steps, halved while they do not help."""
-    n1 = gold.sum()
-    y = np.where(gold == 1, (n1 + 1) / (n1 + 2), 1 / (len(gold) - n1 + 2))
+    mass = np.ones(len(gold)) if mass is None else mass
+    n1 = (mass * gold).sum()
+    y = np.where(gold == 1, (n1 + 1) / (n1 + 2), 1 / (mass.sum() - n1 + 2))
     x = np.stack([logit, np.ones_like(logit)], axis=1)
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.05 * w[0] ** 2)
+        return float((mass * (np.logaddexp(0, z) - y * z)).sum() + 0.05 * w[0] ** 2)
 
     w = np.array([0.5, 0.0])
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + np.array([0.1 * w[0], 0])
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.1, 1e-6]), g)
+        g = x.T @ (mass * (p - y)) + np.array([0.1 * w[0], 0])
+        move = np.linalg.solve((x * (mass * p * (1 - p))[:, None]).T @ x + np.diag([0.1, 1e-6]), g)
         step = 1.0
         while step > 1e-4 and loss(w - step * move) > now:
             step /= 2
@@ -176,6 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     i = F.col(id_col)
     known = labels.where(i.isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(i)).groupBy(i.alias("i"))
     known = known.agg(F.min(label_col).cast("int").alias("toxic"), F.max(label_col).alias("most")).where("toxic = most")
+    # a label without its document is no learnable row
+    known = cut(known.join(docs.select(i.alias("i")), "i", "left_semi").select("i", "toxic"))
+    true = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("toxicity"), "i"), "i").limit(FIT[y]) for y in (0, 1)]
     picked = cut(pick[0].unionAll(pick[1]).select("i", "toxic"))  # sum(FIT) rows at most
     text = docs.select(i.alias("i"), F.col(text_col).cast("string").alias("text"))
@@ -183,8 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
-    base = sizes[1] / (sizes[0] + sizes[1])
-    mined = _featured(sample).select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n"))
+    base = true[1] / (true[0] + true[1])
+    # of a row of the sample, by label; 1 on average, as the sample's evidence is that of its own size
+    mass = [true[y] / sizes[y] * (sizes[0] + sizes[1]) / (true[0] + true[1]) for y in (0, 1)]
+    mined = _featured(sample).select("toxic", F.explode("found").alias("f")).groupBy("f").agg((F.count_if(F.col("toxic") == 1) * F.lit(mass[1])).alias("p"), (F.count_if(F.col("toxic") == 0) * F.lit(mass[0])).alias("n"))
     pure = F.col("p") / (F.col("p") + F.col("n"))
     sure = F.col("p") * F.log(pure / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - pure) / (1 - base))).otherwise(0)
     mined = mined.where((pure >= PURITY) & (sure >= SURE)).orderBy(F.desc("p"), "f").limit(MINED)
@@ -210,10 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     quiet = np.where(speak.any(axis=1), -1, 0)
     # who labelled the sample is one more voter; the classifier below never hears it
     votes = np.hstack([votes, quiet[:, None], gold[:, None]])
-    post, _, _ = label_model(votes, 0.05 + 0.9 * gold, trusted=1)
+    post, _, _ = label_model(votes, 0.05 + 0.9 * gold, trusted=1, mass=np.array(mass)[gold])
+    # the label's share moves the bias only, which the scale sets anew
     model.weights = linear(x, post)
     logit = x @ model.weights[:-1] + model.weights[-1]
-    model.scale = platt(logit, gold)
+    model.scale = platt(logit, gold, mass=np.array(mass)[gold])
     return model
 
 

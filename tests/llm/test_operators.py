@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from ravelin.llm import bpe, components, langid, license_scan, mixing, quality, simhash, substring_dedup, topk, toxicity
 
@@ -280,6 +281,20 @@ def test_toxicity(spark, sf, awkward, nothing):
     assert rows(toxicity.predict(nothing, labels)) == []
 
 
+def test_toxicity_keeps_to_the_share_of_toxic_rows(spark, monkeypatch, tmp_path):
+    """Caps that bind unevenly: what is mostly clean in the table is not toxic because the sample has few clean rows."""
+    kinds = [(i, int(i % 4 == 0)) for i in range(600)]
+    docs = [(i, ("zzvile blarg" if y else "calm blarg" if i % 3 == 0 else "calm") + f" n{chr(97 + i % 26)}") for i, y in kinds]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([*kinds, *((10_000 + i, 1) for i in range(2000))], "doc_id long, toxic int")  # and labels of no document
+    monkeypatch.setattr(toxicity, "FIT", (20, 90))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    model = toxicity.fit(table, labels)
+    assert "zzvile" in model.place and "blarg" not in model.place
+    scores = [r["score"] for r in rows(toxicity.score(table, model, F.col("doc_id")))]
+    assert abs(np.mean(scores) - 0.25) < 0.05
+
+
 def test_label_model_finds_good_and_bad_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.3
