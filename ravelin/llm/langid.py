@@ -24,7 +24,7 @@ BUCKETS, GRAMS = 1 << 15, (1, 2, 3)
 FIT_PER_LANGUAGE = 3000
 #: Added to every count.
 SMOOTH = 0.5
-#: N-grams' worth of evidence that the score may rest on.
+#: N-grams' worth of evidence that the score, not the decision, may rest on.
 EVIDENCE = 60
 #: Characters scored together.
 TOGETHER = 1_000_000
@@ -123,8 +123,9 @@ def identify(docs: DataFrame, model: Model, keep: Column, text_col: str = "text"
     """(keep, lang_pred, score) of each row.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
-    learned; else the likelier language, ties to the smaller name, and its
-    posterior on at most EVIDENCE n-grams' worth of the text's evidence.
+    learned; else the likelier language by all n-grams and the prior, ties to the
+    smaller name, and its posterior on at most EVIDENCE n-grams' worth of the
+    text's evidence, which a strong prior of another language can hold under a half.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,8 +143,9 @@ def identify(docs: DataFrame, model: Model, keep: Column, text_col: str = "text"
                         ends = np.append(0, np.cumsum(m.matrix[buckets, k], dtype=np.float64))
                         total[:, k] = np.round((ends[starts[1:]] - ends[starts[:-1]]) / n, 9)
                     log = total * np.minimum(n, EVIDENCE)[:, None] + m.prior
-                    best = log.argmax(axis=1)
-                    post = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
+                    best = (total * n[:, None] + m.prior).argmax(axis=1)
+                    top = log.max(axis=1)
+                    post = np.exp(log[np.arange(len(texts)), best] - top) / np.exp(log - top[:, None]).sum(axis=1)
                     for i, t in enumerate(texts):
                         if _LETTER.search(t):
                             lang[i], score[i] = m.languages[best[i]], post[i]

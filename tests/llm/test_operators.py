@@ -251,6 +251,19 @@ def brute_top(vectors, k=20, every=20):
     return out
 
 
+def test_a_long_text_outweighs_the_prior(spark):
+    """Evidence under log(prior ratio) / EVIDENCE an n-gram decides where there is enough of it; the score stays tempered."""
+    text = "lorem ipsum " * 500
+    at = np.unique(langid.Grams()([text])[0])
+    counts = np.full((langid.BUCKETS, 2), 10.0)
+    counts[at, 1] = 11.0
+    model = langid.Model(["common", "rare"], np.array([100_000.0, 1.0]), counts)
+    docs = spark.createDataFrame([(1, text), (2, "lorem ipsum")], "doc_id long, text string")
+    found = {r["keep"]: r for r in rows(langid.identify(docs, model, F.col("doc_id")))}
+    assert found[1]["lang_pred"] == "rare" and found[1]["score"] < 0.5
+    assert found[2]["lang_pred"] == "common" and found[2]["score"] > 0.5
+
+
 @pytest.mark.parametrize("shard", [8192, 37])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
