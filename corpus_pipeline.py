@@ -16,9 +16,15 @@ from ravelin.llm.shared import cut, held_out
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no language go; a null ``lang`` takes the predicted one."""
+    """Documents of no language go; a null ``lang`` takes the predicted one.
+
+    Where no row teaches a language, none is predicted: documents with a letter
+    stay, with ``lang`` as it is.
+    """
     out = held_out(F.col("doc_id"))
     model = langid.fit(docs, ~out & F.col("doc_id").isNotNull())
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, model, F.struct("*")).where("lang_pred != 'und'")
     return found.select([F.coalesce("keep.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"keep.`{c}`") for c in docs.columns])
 

@@ -79,3 +79,10 @@ def test_awkward_rows_and_no_rows(spark, awkward, nothing, sf, tmp_path):
             if name == "language_id" and label == "awkward":
                 assert all(any(c.isalpha() for c in r["text"]) and r["lang"] for r in docs.collect())
         assert (docs.count() > 0) == (label == "awkward")
+
+
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "日本語", None), (3, "12 34 !?", None), (4, "", None), (5, None, None)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["lang"]) for r in kept.collect()} == {(1, None), (2, None)}
