@@ -10,8 +10,10 @@ back to the documents they stand in, where adjoining ones cover the words to
 remove.
 
 Two edges are taken as equal when the 64-bit hash of the minimizer and 48 further
-bits of the window's own hash agree, 112 bits in all, and a path holds together
-only where source and copy coordinates advance in step.
+bits of the window's own hash agree, 112 bits in all; inside a chunk by the 64-bit
+hash of the window alone.  That is not verified: the words of a path are not
+compared with those at its source, whose coordinates only tell where one path ends
+and the next begins, and edges are compacted into paths in each task, not by joins.
 
 Texts are dealt with in chunks of some megabytes.  Equal edges inside a chunk are
 settled there and only its first is shipped, so an edge that a third of all
