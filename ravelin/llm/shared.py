@@ -21,10 +21,10 @@ class Cut:
     of its sides, which lets adaptive execution split a hot key.
     """
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, codec: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch(self.spark)}/cut-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -53,6 +53,37 @@ def share(key: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / float(1 << 30)
 
 
+def by_bytes(batches, column: str, limit: int):
+    """Batches of about ``limit`` bytes in a string column, but for a single longer row, whatever batches come in."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def together() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        # a row weighs something without text too, so that a chunk has no end of empty ones
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()], np.int64) + 16
+        at = 0
+        while at < len(sizes):
+            fit = int(np.searchsorted(np.cumsum(sizes[at:]), limit - total, side="right"))
+            if not fit and held:
+                yield together()
+                held, total = [], 0
+                continue
+            fit = max(fit, 1)
+            # a slice's buffers are those of the whole batch until it is copied
+            held.append(batch.slice(at, fit).take(pa.array(np.arange(fit))))
+            total += int(sizes[at : at + fit].sum())
+            at += fit
+    if held:
+        yield together()
+
+
 def by_group(batches, keys: list[str]):
     """Tables of one group each from batches sorted by ``keys``; a group may span batches."""
     import numpy as np

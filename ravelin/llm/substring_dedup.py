@@ -1,51 +1,70 @@
 """Removal of repeated word sequences over a De Bruijn graph of 20-word edges.
 
-Every window of WINDOW words is an edge of the graph.  A document is a path; its
-edges are cut into stretches that share a minimizer (the least hash of the
-SEED_WORDS-word sequences in the window), and a stretch is shipped as one row to
-the task of its minimizer.  There equal edges meet, the first coordinate of each
-is found, and later edges that follow each other and whose first coordinates
-follow each other are compacted into one nonbranching path.  Paths are joined
-back to the documents they stand in, where adjoining ones cover the words to
-remove.
-
-Two edges are taken as equal when the 64-bit hash of the minimizer and 48 further
-bits of the window's own hash agree, 112 bits in all; inside a chunk by the 64-bit
-hash of the window alone.  That is not verified: the words of a path are not
-compared with those at its source, whose coordinates only tell where one path ends
-and the next begins, and edges are compacted into paths in each task, not by joins.
+Every window of WINDOW words is an edge of the graph, and a document is a path.
+Rows are written to shared storage under a number first, so that every later step
+means the same row by it.  The edges of a document are cut into stretches that share a
+minimizer (the least hash of the SEED_WORDS-word sequences in the window, common
+ones last), and a stretch is shipped as one row to the task of its minimizer.
+There equal edges meet, and the first coordinate of each is found.  Later edges
+that follow each other, and whose first coordinates follow each other, are one
+nonbranching path: pieces of it are found in each task, and pieces on one diagonal
+of two documents that adjoin are joined by Spark.
+
+Edges meet by hashes (the 64 bits of the minimizer and 48 of the window's own; inside a
+chunk by 64 of the window).  Source coordinates then verify: the words at a path and
+those at its source are read from the rows, joined to both, and the SHA-256 of their words must agree for every path.
+Where one does not, all paths are found anew under other hashes.
 
 Texts are dealt with in chunks of some megabytes.  Equal edges inside a chunk are
 settled there and only its first is shipped, so an edge that a third of all
-documents hold reaches its task once for a chunk at most.
+documents hold reaches its task once for a chunk at most.  A word sequence that
+many different windows share, so that its task would hold them all, is looked for in
+a bounded number of rows and used as a minimizer only where a window has no other;
+which are found so decides where edges meet, never what is found.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .shared import Cut, by_bytes
 
 WINDOW, SEED_WORDS = 20, 4
 #: Bytes of text in a chunk, but for a single longer text.
 CHUNK = 2_000_000
 #: Words whose hashes a worker remembers.
 REMEMBER = 300_000
+#: Where common minimizers are looked for: files of the written rows, the first rows of each, one window in so many
+#: (by its hash); a minimizer of so many distinct ones of these windows is common.
+LOOK_FILES, LOOK_ROWS, LOOK_SHARE, COMMON = 64, 1000, 64, 4
+#: Paths up to which they are broadcast to the rows; beyond, both sides are exchanged.
+BROADCAST_PATHS = 200_000
+#: Times that paths are found anew under other hashes before giving up.
+ATTEMPTS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Words(dict):
+    """Hashes of words under a seed."""
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
 
-class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBER:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return value
 
 
@@ -56,17 +75,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def edges(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window hash, minimizer) of each WINDOW-word window of the word hashes ``h``."""
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def edges(h: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(window hash, minimizer) of each WINDOW-word window of the word hashes ``h``.
+
+    Both follow from the window's words and ``common`` alone; a window all of whose
+    seeds are common has a minimizer of its own.
+    """
     power = lambda n: np.uint64(pow(int(_ODD), n, 1 << 64))
     n, w = len(h), {1: h}
     for k in (1, 2, 4, 8):
         w[2 * k] = w[k][:-k] * power(k) + w[k][k:]
     wide = mix(w[16][: n - WINDOW + 1] * power(4) + w[4][16 : 16 + n - WINDOW + 1])
     low = mix(w[SEED_WORDS] ^ _ODD)
+    if common is not None and len(common):
+        low = np.where(among(low, common), _TOP, low)
     for k in (1, 2, 4, 8):
         low = np.minimum(low[:-k], low[k:])
-    return wide, np.minimum(low[:-1], low[1:])  # 17 seeds: the last 16 and one more
+    low = np.minimum(low[:-1], low[1:])  # 17 seeds: the last 16 and one more
+    return wide, np.where(low == _TOP, mix(wide ^ _ODD), low)
 
 
 def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,116 +108,78 @@ def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(breaks))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(number, place in the chunk of its first row, rows) of slices of chunks of about ``limit`` bytes of text.
-
-    Numbers and places follow from the rows of a partition and their order alone:
-    how they are cut into batches only decides into how many slices a chunk falls.
-    """
-    number, place, total, now = (TaskContext.get().partitionId() << 32) - 1, 0, 0, -1
-    for batch in batches:
-        # a row weighs something without text too, so that a chunk has no end of empty ones
-        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(text_at)).to_pylist()], np.int64) + 16
-        if not len(sizes):
-            continue
-        group = (total + np.cumsum(sizes)) // limit
-        total += int(sizes.sum())
-        starts, ends = runs(np.append(True, group[1:] != group[:-1]))
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if group[s] != now:
-                number, place, now = number + 1, 0, int(group[s])
-            yield number, place, batch.slice(s, e - s)
-            place += e - s
-
-
-def whole_chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Numbered chunks, their slices put together."""
-    now, held = -1, []
-    for number, _, part in chunks(batches, text_at, limit):
-        if number != now and held:
-            yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        now = number
-        # a slice's buffers are those of the whole batch until it is copied
-        held.append(part.take(pa.array(np.arange(part.num_rows))))
-    if held:
-        yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def ship(number: int, ids: list, texts: list[bytes | None], words: _Words) -> tuple[dict, dict]:
-    """Stretches to send and paths settled inside the chunk, as columns."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
-    hs, which, place = [], [], []
-    for i in order:
-        ws = (texts[i] or b"").split()
+def windows(texts: list[bytes | None], words: Words, common: np.ndarray | None = None):
+    """(window hash, minimizer, index of the text, first word) of every window of the texts."""
+    hs, which = [], []
+    for i, text in enumerate(texts):
+        ws = (text or b"").split()
         if len(ws) >= WINDOW:
             hs.append(np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws)))
             which.append(i)
-    nothing = {k: np.array([], np.int64) for k in ("idx", "pos", "len", "src_chunk", "src_idx", "src_pos")}
     if not hs:
-        return {}, nothing
+        none = np.array([], np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     sizes = np.array([len(x) for x in hs])
     h = np.concatenate(hs)
-    doc = np.repeat(np.arange(len(hs)), sizes)
+    doc = np.repeat(np.array(which), sizes)
     place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    wide, low = edges(h)
+    wide, low = edges(h, common)
     valid = np.flatnonzero(doc[: len(wide)] == doc[WINDOW - 1 :])
-    wide, low, doc, place = wide[valid], low[valid], doc[valid], place[valid]
+    return wide[valid], low[valid], doc[valid], place[valid]
+
+
+_FLOW = "m long, doc long, rid long, pos int, ws binary, len int, src_rid long, src_pos int"
+_PATHS = "rid long, pos int, len int, src_rid long, src_pos int"
+_KINDS = {"m": pa.int64(), "doc": pa.int64(), "rid": pa.int64(), "pos": pa.int32(), "ws": pa.binary(), "len": pa.int32(), "src_rid": pa.int64(), "src_pos": pa.int32()}
+
+
+def _flow(n: int, **cols) -> pa.RecordBatch:
+    full = [cols[k] if isinstance(cols.get(k), pa.Array) else pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in _KINDS.items()]
+    return pa.RecordBatch.from_arrays(full, list(_KINDS))
+
+
+def ship(rid: np.ndarray, ids: list, texts: list[bytes | None], words: Words, common: np.ndarray | None = None) -> list[pa.RecordBatch]:
+    """Of a chunk's rows the stretches to send, and the paths settled inside it."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, rid[i]))
+    wide, low, doc, place = windows([texts[i] for i in order], words, common)
+    if not len(wide):
+        return []
+    rid, ids = rid[order], pa.array([ids[i] for i in order], pa.int64())
     _, first, back = np.unique(wide, return_index=True, return_inverse=True)
     source = first[back]
-    here = np.arange(len(wide))
-    which = np.array(which)
-    # later edges of this chunk, compacted into paths
+    out, here = [], np.arange(len(wide))
     later = np.flatnonzero(source != here)
-    paths = nothing
     if len(later):
         d, p, sd, sp = doc[later], place[later], doc[source[later]], place[source[later]]
         s, e = runs(np.append(True, (np.diff(d) != 0) | (np.diff(p) != 1) | (np.diff(sd) != 0) | (np.diff(sp) != 1)))
-        paths = {"idx": which[d[s]], "pos": p[s], "len": e - s, "src_chunk": np.full(len(s), number), "src_idx": which[sd[s]], "src_pos": sp[s]}
+        # settled paths pass through the same exchange, spread by their place
+        spread = mix((np.arange(len(s)) + rid[0]).astype(np.uint64)).view(np.int64)
+        out.append(_flow(len(s), m=spread, rid=rid[d[s]], pos=p[s], len=e - s, src_rid=rid[sd[s]], src_pos=sp[s]))
     sent = np.flatnonzero(source == here)
     d, p, m = doc[sent], place[sent], low[sent]
     s, e = runs(np.append(True, (np.diff(d) != 0) | (np.diff(p) != 1) | (m[1:] != m[:-1])))
     raw = wide[sent].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return {"m": m[s].view(np.int64), "idx": which[d[s]], "pos": p[s], "ws": (raw, s, e)}, paths
-
-
-_FLOW = "m long, doc long, chunk long, idx int, pos int, ws binary, len int, src_doc long, src_chunk long, src_idx int, src_pos int"
-
-
-def _flow(n: int, **cols) -> pa.RecordBatch:
-    kinds = {"m": pa.int64(), "doc": pa.int64(), "chunk": pa.int64(), "idx": pa.int32(), "pos": pa.int32(), "ws": pa.binary(), "len": pa.int32(), "src_doc": pa.int64(), "src_chunk": pa.int64(), "src_idx": pa.int32(), "src_pos": pa.int32()}
-    full = [cols[k].cast(t) if k in cols and isinstance(cols[k], pa.Array) else pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()]
-    return pa.RecordBatch.from_arrays(full, list(kinds))
+    ws = pa.array([raw[6 * a : 6 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())
+    out.append(_flow(len(s), m=m[s].view(np.int64), doc=ids.take(pa.array(d[s])), rid=rid[d[s]], pos=p[s], ws=ws))
+    return out
 
 
-def _ship_all(limit: int):
+def _ship_all(limit: int, seed: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for number, part in whole_chunks(batches, 1, limit):
-            ids = part.column(0).to_pylist()
-            sent, paths = ship(number, ids, part.column(1).cast(pa.binary()).to_pylist(), words)
-            doc = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-            if sent:
-                raw, s, e = sent.pop("ws")
-                ws = pa.array([raw[6 * a : 6 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())
-                yield _flow(len(s), doc=doc[sent["idx"]], chunk=np.full(len(s), number), ws=ws, **sent)
-            if n := len(paths["idx"]):
-                # settled paths pass through the same exchange, spread by their place
-                yield _flow(n, m=mix((np.arange(n) + number).astype(np.uint64)).view(np.int64), doc=doc[paths["idx"]], chunk=np.full(n, number), src_doc=doc[paths["src_idx"]], **paths)
+        words = Words(seed)
+        for part in by_bytes(batches, "text", limit):
+            rid = part.column("rid").to_numpy()
+            yield from ship(rid, part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), words, common.value)
 
     return run
 
 
-_PATHS = "chunk long, idx int, pos int, len int, src_doc long, src_chunk long, src_idx int, src_pos int"
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (m, doc, chunk, idx, pos): the paths of later edges.
+    """Rows sorted by (m, doc, rid, pos): pieces of the paths of later edges.
 
     A minimizer's rows may span batches; of those before only the first
     coordinate of each distinct edge is held.
     """
-    at = ("doc", "chunk", "idx", "pos")
     held_m, held = None, None  # minimizer, and its edges' hashes with their first coordinates
     names = _PATHS.replace(" long", "").replace(" int", "").split(", ")
     for batch in batches:
@@ -199,10 +194,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.zeros((int(n.sum()), 8), np.uint8)
         raw[:, :6] = np.frombuffer(b"".join(ws.to_pylist()), np.uint8).reshape(-1, 6)
         row = np.repeat(np.arange(len(n)), n)
-        col = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[row] for k in ("m", *at)}
+        col = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[row] for k in ("m", "rid", "pos")}
         col["pos"] += np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         col["w"] = raw.view("<u8").ravel().astype(np.uint64)
-        fresh = len(row)
         extra = 0
         if held is not None and held_m == col["m"][0]:
             extra = len(held["w"])
@@ -217,44 +211,103 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (col["m"] == col["m"][-1]) & (source == here)
         held_m, held = col["m"][-1], {k: v[last] for k, v in col.items()}
         later = np.flatnonzero((source != here) & (here >= extra))
-        if not len(later) or not fresh:
+        if not len(later):
             continue
         src = source[later]
-        breaks = np.zeros(len(later), bool)
-        breaks[0] = True
-        for k in ("m", "chunk", "idx"):
-            breaks[1:] |= np.diff(col[k][later]) != 0
-        for k in ("chunk", "idx"):
-            breaks[1:] |= np.diff(col[k][src]) != 0
-        breaks[1:] |= (np.diff(col["pos"][later]) != 1) | (np.diff(col["pos"][src]) != 1)
+        breaks = np.append(True, (np.diff(col["rid"][later]) != 0) | (np.diff(col["rid"][src]) != 0) | (np.diff(col["pos"][later]) != 1) | (np.diff(col["pos"][src]) != 1))
         s, e = runs(breaks)
         a, b = later[s], src[s]
-        cols = [col["chunk"][a], col["idx"][a], col["pos"][a], e - s, col["doc"][b], col["chunk"][b], col["idx"][b], col["pos"][b]]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        cols = [col["rid"][a], col["pos"][a], e - s, col["rid"][b], col["pos"][b]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(cols, names)], names)
 
 
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Paths of edges that also start earlier: (chunk, idx) tells the row, ``pos`` the
-    first window, ``len`` the windows; ``src_*`` is where the sequence starts first.
+def common_minimizers(stored: Cut, limit: int, seed: int) -> np.ndarray:
+    """Minimizers that very many different windows share, in order; COMMON and the rows looked at bound their number."""
+    files = sorted(stored.df.inputFiles())
+    if not files:
+        return np.array([], np.uint64)
+    files = files[:: -(-len(files) // LOOK_FILES)]
+    rows = stored.spark.read.schema(stored.df.schema).parquet(*files).where(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)) < LOOK_ROWS).select("rid", "text")
 
-    Earlier is a smaller id (null last), then an earlier row, then an earlier word.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_ship_all(chunk), _FLOW).repartition("m").sortWithinPartitions("m", "doc", "chunk", "idx", "pos").mapInArrow(_meet, _PATHS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(seed)
+        for part in by_bytes(batches, "text", limit):
+            wide, low, _, _ = windows(part.column("text").cast(pa.binary()).to_pylist(), words)
+            looked = np.unique(np.stack([low, wide])[:, wide % np.uint64(LOOK_SHARE) == 0], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(looked[k].view(np.int64)) for k in (0, 1)], ["m", "w"])
 
+    found = rows.mapInArrow(run, "m long, w long").groupBy("m").agg(F.count_distinct("w").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["m"] for r in found.select("m").toLocalIterator()], np.int64).view(np.uint64))
 
-def _pack(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for number, place, part in chunks(batches, 0, limit):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema) as out:
-                # a slice's buffers are those of the whole batch until it is copied
-                out.write_batch(part.take(pa.array(np.arange(part.num_rows))))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([place], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "place", "pack"])
 
-    return run
+def _compacted(pieces: DataFrame) -> DataFrame:
+    """Paths out of their pieces: those that adjoin on a diagonal of two rows are one."""
+    diagonal = F.col("pos") - F.col("src_pos")
+    here = Window.partitionBy("rid", "src_rid", "diagonal").orderBy("pos")
+    starts = F.when(F.lag(F.col("pos") + F.col("len")).over(here) == F.col("pos"), 0).otherwise(1)
+    rows = pieces.withColumn("diagonal", diagonal).withColumn("starts", starts).withColumn("path", F.sum("starts").over(here))
+    rows = rows.groupBy("rid", "src_rid", "diagonal", "path").agg(F.min("pos").alias("pos"), F.sum("len").cast("int").alias("len"), F.min("src_pos").alias("src_pos"))
+    return rows.select("rid", "pos", "len", "src_rid", "src_pos")
+
+
+def _sized(small: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(small) if n <= BROADCAST_PATHS else small
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (rid, text, spots) to (rid, pos, len, digest) of each spot's words."""
+    for batch in batches:
+        rid, pos, size, digest = [], [], [], []
+        for r, text, spots in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spots").to_pylist()):
+            ws = (text.as_py() or b"").split()
+            for x in spots:
+                rid.append(r)
+                pos.append(x["pos"])
+                size.append(x["len"])
+                digest.append(hashlib.sha256(b" ".join(ws[x["pos"] : x["pos"] + x["len"] + WINDOW - 1])).digest())
+        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], ["rid", "pos", "len", "digest"])
+
+
+def unlike(rows: DataFrame, paths: DataFrame, n: int) -> int:
+    """How many of the n paths have other words than their source; ``rows`` has (rid, text)."""
+    spots = paths.select("rid", "pos", "len").unionAll(paths.select("src_rid", "src_pos", "len")).distinct()
+    # a row's spots, in lists that no row of many sources can make long
+    asked = spots.groupBy("rid", (F.col("pos") % 64).alias("deal")).agg(F.collect_list(F.struct("pos", "len")).alias("spots")).select("rid", "spots")
+    read = rows.join(_sized(asked, 2 * n), "rid").mapInArrow(_digests, "rid long, pos int, len int, digest binary")
+    read = Cut(read)
+    own = read.df.withColumnRenamed("digest", "own")
+    source = read.df.select(F.col("rid").alias("src_rid"), F.col("pos").alias("src_pos"), "len", F.col("digest").alias("theirs"))
+    both = paths.join(own, ["rid", "pos", "len"], "left").join(source, ["src_rid", "src_pos", "len"], "left")
+    wrong = both.where("own IS NULL OR theirs IS NULL OR own != theirs").count()
+    read.drop()
+    return wrong
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> Cut:
+    """(rid, id, text, doc) of each row, written once: rid tells rows apart, in order of the scan."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*others).alias("doc"))
+    return Cut(rows, codec="zstd")
+
+
+def repeated_paths(stored: Cut, chunk: int = CHUNK) -> tuple[DataFrame, int]:
+    """Verified paths of edges that also start earlier, and their number: ``rid`` tells
+    the row, ``pos`` the first window, ``len`` the windows; ``src_*`` is where the
+    sequence starts first in the chunk or among the chunks' firsts.
+
+    Earlier is a smaller id (null last), then an earlier row, then an earlier word.
+    """
+    spark, rows = stored.spark, stored.df.select("rid", "id", "text")
+    for seed in range(ATTEMPTS):
+        common = spark.sparkContext.broadcast(common_minimizers(stored, chunk, seed))
+        sent = rows.mapInArrow(_ship_all(chunk, seed, common), _FLOW)
+        pieces = sent.repartition("m").sortWithinPartitions("m", F.asc_nulls_last("doc"), "rid", "pos").mapInArrow(_meet, _PATHS)
+        paths = Cut(_compacted(pieces))
+        n = paths.df.count()
+        if not n or not unlike(rows.select("rid", "text"), paths.df, n):
+            return paths.df, n
+        paths.drop()
+    raise RuntimeError(f"window hashes collided under {ATTEMPTS} seeds")
 
 
 def cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -267,44 +320,36 @@ def cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor()
     for batch in batches:
-        for place, blob, spans in zip(batch.column("place").to_pylist(), batch.column("pack"), batch.column("spans")):
-            part = pa.ipc.open_stream(press.decompress(blob.as_py())).read_all().combine_chunks().to_batches()[0]
-            own: dict[int, list[tuple[int, int]]] = {}
-            if spans.values is not None:
-                fields = [spans.values.field(k).to_pylist() for k in range(3)]
-                for idx, pos, count in zip(*fields):
-                    own.setdefault(idx - place, []).append((pos, count))
-            words, removed, kept = [], [], []
-            for i, text in enumerate(part.column("__text").cast(pa.binary()).to_pylist()):
-                ws = (text or b"").split()
-                gone = cover(len(ws), own[i]) if i in own else None
-                words.append(len(ws))
-                removed.append(0 if gone is None else int(gone.sum()))
-                kept.append(b" ".join(ws if gone is None else [w for w, g in zip(ws, gone.tolist()) if not g]).decode())
-            whole = part.drop_columns(["__text"])
-            doc = pa.StructArray.from_arrays(whole.columns, fields=list(whole.schema))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "kept_text"])
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+        words, removed, kept = [], [], []
+        for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist()):
+            ws = (text.as_py() or b"").split()
+            gone = cover(len(ws), [(x["pos"], x["len"]) for x in spans]) if spans else None
+            words.append(len(ws))
+            removed.append(0 if gone is None else int(gone.sum()))
+            kept.append(b" ".join(ws if gone is None else [w for w, g in zip(ws, gone.tolist()) if not g]).decode())
+        new = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+        # the text again only where it was asked for
+        whole = [batch.column("whole")] if "whole" in batch.schema.names else []
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *new, *whole], ["doc", "n_words", "n_removed", "kept_text", "whole"][: 4 + len(whole)])
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, whole: bool = False) -> DataFrame:
     """A row per input row: ``doc`` (a struct of its columns but the text), n_words,
-    n_removed and kept_text, the kept words joined by one space.
+    n_removed and kept_text, the kept words joined by one space; with ``whole``
+    the text as it was, too.
 
     A null or empty text has no words and keeps none; texts under WINDOW words lose
-    none; of repeated rows the later lose what the first has.  Other columns, of
-    any name, travel inside ``doc``.  ``docs`` should be read from files, as rows
-    are told apart by their place in the partitions of the scan; how Spark cuts
-    these into Arrow batches makes no difference.
+    none, and a very long text is a chunk of its own; of repeated rows the later lose
+    what the first has; an empty table gives no rows.  Other columns, of any name,
+    travel inside ``doc``.
     """
-    paths = repeated_paths(docs, id_col, text_col, chunk).groupBy("chunk").agg(F.collect_list(F.struct("idx", "pos", "len")).alias("spans"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *others)
-    packs = rows.mapInArrow(_pack(chunk), "chunk long, place int, pack binary")
-    kind = docs.select(F.struct(*others).alias("doc")).schema["doc"].dataType.simpleString()
-    joined = packs.join(paths, "chunk", "left").select("place", "pack", "spans")
-    return joined.mapInArrow(_remove, f"doc {kind}, n_words long, n_removed long, kept_text string")
+    stored = numbered(docs, id_col, text_col)
+    paths, n = repeated_paths(stored, chunk)
+    spans = paths.groupBy("rid").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
+    joined = stored.df.join(_sized(spans, n), "rid", "left").select("doc", "text", "spans", *([F.col("text").alias("whole")] if whole else []))
+    kind = stored.df.schema["doc"].dataType.simpleString()
+    return joined.mapInArrow(_remove, f"doc {kind}, n_words long, n_removed long, kept_text string" + (", whole string" if whole else ""))
 
 
 def oracle() -> str:

@@ -12,6 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ravelin.llm import bpe, components, langid, license_scan, mixing, quality, simhash, substring_dedup, topk, toxicity
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -152,21 +153,60 @@ def test_substring_dedup(awkward, chunk):
     assert found[0]["doc"].asDict().keys() == set(awkward.columns) - {"text"}
 
 
-@pytest.mark.parametrize(("setting", "value"), [("maxBytesPerBatch", "3000"), ("maxRecordsPerBatch", "7")])
-def test_substring_dedup_does_not_depend_on_arrow_batches(spark, tmp_path, setting, value):
-    """The text twice over and a wide column: the packing scan is cut elsewhere than the shipping scan."""
+def deduped(df, **more):
+    return Counter((r["doc"]["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in rows(substring_dedup.dedup(df, **more)))
+
+
+@pytest.fixture(scope="module")
+def passages(spark, tmp_path_factory):
+    """(documents, DataFrame): a passage in every third, a phrase in all, and columns with clashing names."""
     passage = " ".join(f"p{k}" for k in range(30))
-    docs = [(i, " ".join(f"d{i}x{k}" for k in range(20 + i % 9)) + (f" {passage}" if i % 3 == 0 else "")) for i in range(60)]
-    spark.createDataFrame([(i, t, t, "y" * 300) for i, t in docs], "doc_id long, __whole string, text string, wide string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = [(i, " ".join(f"d{i}x{k}" if k % 9 else "of the said one" for k in range(20 + i % 9)) + (f" {passage}" if i % 3 == 0 else "")) for i in range(60)]
+    path = str(tmp_path_factory.mktemp("passages") / "d")
+    spark.createDataFrame([(i, t, t, "y" * 300, i, i) for i, t in docs], "doc_id long, whole string, text string, doc string, rid long, spans long").coalesce(1).write.parquet(path)
+    return docs, spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(("setting", "value"), [("maxBytesPerBatch", "3000"), ("maxBytesPerBatch", "65536"), ("maxRecordsPerBatch", "7")])
+def test_substring_dedup_does_not_depend_on_arrow_batches(spark, passages, setting, value):
+    docs, df = passages
     key = f"spark.sql.execution.arrow.{setting}"
     before = spark.conf.get(key)
     spark.conf.set(key, value)
     try:
-        found = rows(substring_dedup.dedup(spark.read.parquet(str(tmp_path / "d")).select("doc_id", "__whole", "wide", "text"), chunk=2000))
+        assert deduped(df, chunk=2000) == Counter(brute_dedup(docs))
+        kept = corpus_pipeline.drop_repeated_passages(spark, df, "")
+        brute = {i: h for i, _, _, h in brute_dedup(docs)}
+        assert kept.columns == df.columns
+        for r in rows(kept):
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == brute[r["doc_id"]] and r["rid"] == r["doc_id"] and r["whole"] == docs[r["doc_id"]][1]
     finally:
         spark.conf.set(key, before)
-    own = Counter((r["doc"]["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found)
-    assert own == Counter(brute_dedup(docs))
+
+
+@pytest.mark.parametrize(("limit", "common"), [(0, 4), (200_000, 1), (0, 1)])
+def test_substring_dedup_with_common_seeds_and_large_results(passages, monkeypatch, limit, common):
+    """Every minimizer looked at is common, and paths are exchanged, not broadcast."""
+    docs, df = passages
+    monkeypatch.setattr(substring_dedup, "BROADCAST_PATHS", limit)
+    monkeypatch.setattr(substring_dedup, "COMMON", common)
+    monkeypatch.setattr(substring_dedup, "LOOK_SHARE", 1 if common == 1 else 64)
+    assert deduped(df, chunk=3000) == Counter(brute_dedup(docs))
+
+
+def test_paths_with_other_words_than_their_source_are_found(passages):
+    docs, df = passages
+    stored = substring_dedup.numbered(df, "doc_id", "text")
+    paths, n = substring_dedup.repeated_paths(stored, 2000)
+    paths = paths.cache()
+    assert n == paths.count() > 0 and substring_dedup.unlike(stored.df, paths, n) == 0
+    assert substring_dedup.unlike(stored.df, paths.withColumn("src_pos", F.col("src_pos") - 1), n) == n
+
+
+def test_adjoining_pieces_are_one_path(spark):
+    pieces = [(1, 0, 3, 0, 10), (1, 3, 2, 0, 13), (1, 6, 1, 0, 16), (1, 5, 1, 0, 30), (2, 3, 2, 0, 13)]
+    found = rows(substring_dedup._compacted(spark.createDataFrame(pieces, substring_dedup._PATHS)))
+    assert {tuple(r.values()) for r in found} == {(1, 0, 5, 0, 10), (1, 6, 1, 0, 16), (1, 5, 1, 0, 30), (2, 3, 2, 0, 13)}
 
 
 def test_edges_equal_only_for_equal_windows():
