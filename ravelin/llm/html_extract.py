@@ -6,38 +6,44 @@ is boilerplate, whatever the mark-up says, and the tokens it covers go: inside a
 block those of runs that lie in it, and a block as a whole where runs that reach
 across blocks cover all of it.  Of the rest, mark-up decides what is kept: blocks
 in the page's article (or main) element, or any block where a page declares none,
-outside whatever is declared to be something else.
-
-Runs are counted over all pages of the host.  Pages are read in chunks; in each a
-suffix array finds equal runs, and every distinct one is sent, as a hash of host
-and run, with up to ``PAGES`` of its pages to the task of its bucket.  There
-distinct pages are counted, and runs that have enough go back to the chunks they
-stand in.  A chunk sends a run a few times at most, however large the host is, and
-a host's runs lie in all buckets.
+outside whatever is declared to be something else.  Pages of one host whose blocks
+kept by mark-up have the same text count as one: an article fetched or published many times stays.
+
+Runs are counted over all pages of the host.  Pages are parsed once, into chunks on shared
+storage.  A run on enough pages holds seeds of ``SEED`` tokens that stand on as many, so chunks first
+send the least seed of each run, as a hash with a count of pages, to the task of its bucket;
+only runs whose least seed is common enough are then sorted by a suffix array, and each
+distinct one is sent with up to ``PAGES`` of its pages to be counted exactly.  Seeds and runs
+that have enough pages go back to the chunks they stand in, or, where there are few
+in all, to every task.  A chunk sends a run a few times at most, however large the host is, and
+a host's runs lie in all buckets; neither chunks nor hosts' sizes change the result.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_group
-from .substring_dedup import _ODD, _Words, chunks, mix, runs
+from .shared import Cut, by_bytes, by_group
+from .substring_dedup import _ODD, Words, among, mix, runs
 
-#: Tokens of the shortest repeat (a power of two), and distinct pages it is on.
-RUN, PAGES = 8, 3
+#: Tokens of the shortest repeat (a power of two), distinct pages it is on, and tokens of a seed.
+RUN, PAGES, SEED = 8, 3, 4
 #: Bytes of HTML in a chunk, but for a single longer page.
 CHUNK = 2_000_000
-#: Bits of a run's hash that tell its bucket, and bits sent beside it.
+#: Bits of a hash that tell its bucket, and bits sent beside it.
 BUCKET_BITS, KEY_BITS = 12, 40
+#: Hashes up to which they are sent to every task; beyond, each chunk gets its own by an exchange.
+BROADCAST_KEYS = 2_000_000
 
 #: HTML elements by their part in a page.
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed".split())
@@ -184,88 +190,103 @@ def suffix_classes(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def run_keys(streams: list[list[list[str]]], hosts: np.ndarray, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash of each token, page of each token, where runs start, their keys by host).
-
-    A run lies in one page; it may reach across blocks.
-    """
-    h = np.fromiter((words[t] for page in streams for block in page for t in block), np.uint64)
-    of = np.repeat(np.arange(len(streams)), [sum(map(len, page)) for page in streams])
-    if len(h) < RUN:
-        return h, of, np.array([], np.int64), np.array([], np.uint64)
-    wide, n = h, 1
-    while n < RUN:
-        wide, n = wide[:-n] * np.uint64(pow(int(_ODD), n, 1 << 64)) + wide[n:], 2 * n
-    starts = np.flatnonzero(of[: len(wide)] == of[RUN - 1 :])
-    return h, of, starts, mix(wide[starts] ^ hosts[of[starts]]) >> np.uint64(64 - BUCKET_BITS - KEY_BITS)
-
-
-def distinct_runs(streams: list[list[list[str]]], hosts: np.ndarray, pages: np.ndarray, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, page) of each distinct run of a host with up to PAGES of its distinct pages, in order of keys."""
-    h, of, starts, keys = run_keys(streams, hosts, words)
-    if not len(starts):
-        return keys, np.array([], np.uint32)
-    alike = suffix_classes(h, RUN)[starts]
-    host = np.unique(hosts, return_inverse=True)[1][of[starts]]
-    page = np.unique(pages, return_inverse=True)[1][of[starts]]
-    order = np.lexsort((page, host, alike, keys))
-    k, c, o, p = keys[order], alike[order], host[order], page[order]
-    fresh = np.append(True, (c[1:] != c[:-1]) | (o[1:] != o[:-1]) | (k[1:] != k[:-1]))
-    once = fresh | np.append(True, p[1:] != p[:-1])
-    order, fresh = order[once], fresh[once]
-    at = np.arange(len(order))
-    nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
-    chosen = order[nth < PAGES]
-    return keys[chosen], pages[of[starts[chosen]]]
-
-
-def without_runs(streams: list[list[list[str]]], hosts: np.ndarray, gone: np.ndarray, words: dict[str, int]) -> list[list[str]]:
-    """The text left of each page's blocks when runs whose keys are in ``gone`` are taken out."""
-    h, of, starts, keys = run_keys(streams, hosts, words)
-    sizes = [len(block) for page in streams for block in page]
-    block = np.repeat(np.arange(len(sizes)), sizes)
-    hit = starts[np.isin(keys, gone)]
-    own = hit[block[hit] == block[hit + RUN - 1]]
-
-    def cover(found: np.ndarray) -> np.ndarray:
-        step = np.zeros(len(h) + 1, np.int64)
+class Sheet:
+    """The pages of a chunk as streams of tokens, with the hashes of their words, hosts and kept texts."""
+
+    def __init__(self, blob: bytes, words: Words):
+        self.rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks().to_batches()[0]
+        self.streams = [[t.split(" ") for t in page] for page in self.rows.column("texts").to_pylist()]
+        self.pages = self.rows.column("page").to_numpy().view(np.uint32)
+        hosts = np.array([xxhash.xxh3_64_intdigest(x) for x in self.rows.column("host").to_pylist()], np.uint64)
+        self.h = h = np.fromiter((words[t.encode()] for page in self.streams for block in page for t in block), np.uint64)
+        self.of = np.repeat(np.arange(len(self.streams)), [sum(map(len, page)) for page in self.streams])
+        self.hosts = hosts[self.of]
+        #: Where runs start (a run lies in one page; it may reach across blocks), their keys, and those of their least seeds.
+        self.starts = self.keys = self.seeds = np.array([], np.uint64)
+        if len(h) >= RUN:
+            wide, n = h, 1
+            while n < RUN:
+                wide, n = wide[:-n] * np.uint64(pow(int(_ODD), n, 1 << 64)) + wide[n:], 2 * n
+                if n == SEED:
+                    low = mix(wide ^ self.hosts[: len(wide)])
+            low = np.min(np.lib.stride_tricks.sliding_window_view(low, RUN - SEED + 1), axis=1)
+            self.starts = np.flatnonzero(self.of[: len(wide)] == self.of[RUN - 1 :])
+            self.keys = self.key(mix(wide[self.starts] ^ self.hosts[self.starts]))
+            self.seeds = self.key(low[self.starts])
+
+    @staticmethod
+    def key(x: np.ndarray) -> np.ndarray:
+        return x >> np.uint64(64 - BUCKET_BITS - KEY_BITS)
+
+    def covered(self, found: np.ndarray) -> np.ndarray:
+        """Which tokens the runs that start at ``found`` cover."""
+        step = np.zeros(len(self.h) + 1, np.int64)
         np.add.at(step, found, 1)
         np.add.at(step, found + RUN, -1)
-        return np.cumsum(step)[: len(h)] > 0
-
-    whole = np.bincount(block[cover(hit)], minlength=len(sizes)) == sizes if sizes else np.array([], bool)
-    flags = (cover(own) | whole[block]).tolist()
-    out, at, some = [], 0, bool(len(hit))
-    for page in streams:
-        left = []
-        for tokens in page:
-            left.append(" ".join([t for t, f in zip(tokens, flags[at : at + len(tokens)]) if not f] if some else tokens))
-            at += len(tokens)
-        out.append(left)
-    return out
+        return np.cumsum(step)[: len(self.h)] > 0
+
+    def distinct_seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, distinct pages, PAGES at most) of each least seed, in order of keys."""
+        order = np.lexsort((self.pages[self.of[self.starts]], self.seeds))
+        k, p = self.seeds[order], self.pages[self.of[self.starts[order]]]
+        once = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))[: len(k)]
+        keys, n = np.unique(k[once], return_counts=True)
+        return keys, np.minimum(n, PAGES).astype(np.uint8)
+
+    def distinct_runs(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, page) of each distinct run of a host whose least seed is ``common``, with up to PAGES of its distinct pages, in order of keys."""
+        open_ = among(self.seeds, common)
+        starts, keys = self.starts[open_], self.keys[open_]
+        if not len(starts):
+            return keys, np.array([], np.uint32)
+        kept = self.covered(starts)
+        alike = suffix_classes(self.h[kept], RUN)[(np.cumsum(kept) - 1)[starts]]
+        host, page = self.hosts[starts], self.pages[self.of[starts]]
+        order = np.lexsort((page, host, alike, keys))
+        k, c, o, p = keys[order], alike[order], host[order], page[order]
+        fresh = np.append(True, (c[1:] != c[:-1]) | (o[1:] != o[:-1]) | (k[1:] != k[:-1]))
+        once = fresh | np.append(True, p[1:] != p[:-1])
+        order, fresh = order[once], fresh[once]
+        at = np.arange(len(order))
+        nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        chosen = order[nth < PAGES]
+        return keys[chosen], page[chosen]
+
+    def without(self, gone: np.ndarray) -> list[list[str]]:
+        """The text left of each page's blocks when runs whose keys are in ``gone`` are taken out."""
+        sizes = [len(block) for page in self.streams for block in page]
+        block = np.repeat(np.arange(len(sizes)), sizes)
+        hit = self.starts[among(self.keys, gone)]
+        own = hit[block[hit] == block[hit + RUN - 1]]
+        whole = np.bincount(block[self.covered(hit)], minlength=len(sizes)) == sizes if sizes else np.array([], bool)
+        flags = (self.covered(own) | whole[block]).tolist()
+        out, at, some = [], 0, bool(len(hit))
+        for page in self.streams:
+            left = []
+            for tokens in page:
+                left.append(" ".join([t for t, f in zip(tokens, flags[at : at + len(tokens)]) if not f] if some else tokens))
+                at += len(tokens)
+            out.append(left)
+        return out
 
 
-def _host_hashes(hosts: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in hosts], np.uint64)
-
-
-def _ship(limit: int):
-    """Rows of (host, page, html) to (bucket, chunk, keys, pages): the distinct runs of a chunk, a row a bucket."""
+def _pack(limit: int):
+    """Rows of (page_id, url, html, host) to (chunk, pack): their blocks, and which of them mark-up keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for number, _, part in chunks(batches, 2, limit):
-            streams = [[t.split(" ") for t, _, _ in blocks(x or "")] for x in part.column("html").to_pylist()]
-            pages = part.column("page").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).astype(np.uint32)
-            keys, of = distinct_runs(streams, _host_hashes(part.column("host").to_pylist()), pages, words)
-            if not len(keys):
-                continue
-            bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
-            s, e = runs(np.append(True, bucket[1:] != bucket[:-1]))
-            raw, pages = _bytes(keys), of.astype("<u4").tobytes()
-            n = KEY_BITS // 8
-            cols = [pa.array(bucket[s]), pa.array(np.full(len(s), number)), pa.array([raw[n * a : n * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary()), pa.array([pages[4 * a : 4 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "keys", "pages"])
+        press = zstandard.ZstdCompressor(level=3)
+        for n, part in enumerate(by_bytes(batches, "html", limit)):
+            found = [blocks(x or "") for x in part.column("html").to_pylist()]
+            texts = [[t for t, _, _ in x] for x in found]
+            declared = [any(i for _, i, _ in x) for x in found]
+            kept = [[not a and (i or not d) for _, i, a in x] for x, d in zip(found, declared)]
+            page = np.array([xxhash.xxh3_64_intdigest("\n".join([t for t, k in zip(x, y) if k])) & 0xFFFFFFFF for x, y in zip(texts, kept)], np.uint32)
+            cols = [*(part.column(k) for k in ("page_id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_())), pa.array(page)]
+            sheet = pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "texts", "kept", "page"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, sheet.schema) as out:
+                out.write_batch(sheet)
+            yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "pack"])
 
     return run
 
@@ -275,83 +296,120 @@ def _bytes(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
 
 
-def _keys(raw: bytes) -> np.ndarray:
+def _keys(raw: bytes, bucket: int) -> np.ndarray:
     out = np.zeros((len(raw) // (KEY_BITS // 8), 8), np.uint8)
     out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: the keys on PAGES or more distinct pages, back to each chunk that has them."""
-    for (bucket,), rows in by_group(batches, ["bucket"]):
-        raw = rows.column("keys").to_pylist()
-        key = _keys(b"".join(raw))
-        page = np.frombuffer(b"".join(rows.column("pages").to_pylist()), "<u4")
-        chunk = np.repeat(rows.column("chunk").to_numpy(), [len(x) // (KEY_BITS // 8) for x in raw])
-        order = np.lexsort((page, key))
-        k, p = key[order], page[order]
-        once = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
-        found, pages = np.unique(k[once], return_counts=True)
-        hit = np.flatnonzero(np.isin(key, found[pages >= PAGES]))
-        if not len(hit):
-            continue
-        hit = hit[np.lexsort((key[hit], chunk[hit]))]
-        c, k = chunk[hit], key[hit]
-        once = np.append(True, (c[1:] != c[:-1]) | (k[1:] != k[:-1]))
-        c, k = c[once], k[once]
-        s, e = runs(np.append(True, c[1:] != c[:-1]))
-        cols = [pa.array(c[s]), pa.array(np.full(len(s), bucket, np.int32)), pa.array([_bytes(k[a:b]) for a, b in zip(s, e)], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "keys"])
+    return out.view("<u8").ravel().astype(np.uint64) | np.uint64(bucket << KEY_BITS)
 
 
-def _pack(limit: int):
-    """Rows of (page_id, url, html, host) to (chunk, pack): their blocks, and which of them mark-up keeps."""
+_SENT = "bucket int, chunk long, keys binary, beside binary"
+
+
+def _by_bucket(chunk: int, keys: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row a bucket of keys in order, with as many numbers beside them."""
+    if len(keys):
+        bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
+        s, e = runs(np.append(True, bucket[1:] != bucket[:-1]))
+        cuts = list(zip(s.tolist(), e.tolist()))
+        raw, other, n, k = _bytes(keys), beside.tobytes(), KEY_BITS // 8, beside.itemsize
+        cols = [pa.array(bucket[s]), pa.array(np.full(len(s), chunk)), pa.array([raw[n * a : n * b] for a, b in cuts], pa.binary()), pa.array([other[k * a : k * b] for a, b in cuts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "keys", "beside"])
+
+
+#: Stands for all chunks.
+_ALL = -1
+
+
+def _repeated(counts: bool):
+    """Rows sorted by bucket: the keys on PAGES or more distinct pages, to each chunk that has them, and once to all.
+
+    Beside the keys stand counts of pages of a chunk, whose sum may be too high, or pages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for number, _, part in chunks(batches, 2, limit):
-            found = [blocks(x or "") for x in part.column("html").to_pylist()]
-            texts = [[t for t, _, _ in x] for x in found]
-            declared = [any(i for _, i, _ in x) for x in found]
-            kept = [[not a and (i or not d) for _, i, a in x] for x, d in zip(found, declared)]
-            cols = [*(part.column(k).take(pa.array(np.arange(part.num_rows))) for k in ("page_id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_()))]
-            sheet = pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "texts", "kept"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, sheet.schema) as out:
-                out.write_batch(sheet)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "pack"])
+        for (bucket,), rows in by_group(batches, ["bucket"]):
+            key = np.concatenate([_keys(x, bucket) for x in rows.column("keys").to_pylist()])
+            beside = np.frombuffer(b"".join(rows.column("beside").to_pylist()), np.uint8 if counts else np.uint32)
+            chunk = np.repeat(rows.column("chunk").to_numpy(), [len(x) // (KEY_BITS // 8) for x in rows.column("keys").to_pylist()])
+            order = np.lexsort((beside, key))
+            k, p = key[order], beside[order].astype(np.int64)
+            fresh = np.append(True, k[1:] != k[:-1])
+            if not counts:
+                p = (fresh | np.append(True, p[1:] != p[:-1])).astype(np.int64)
+            first = np.flatnonzero(fresh)
+            found = k[first][np.add.reduceat(p, first) >= PAGES]
+            hit = np.flatnonzero(among(key, found))
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((key[hit], chunk[hit]))]
+            c, k = chunk[hit], key[hit]
+            once = np.append(True, (c[1:] != c[:-1]) | (k[1:] != k[:-1]))
+            c, k = c[once], k[once]
+            s, e = runs(np.append(True, c[1:] != c[:-1]))
+            cols = [pa.array([_ALL, *c[s].tolist()]), pa.array(np.full(len(s) + 1, bucket, np.int32)), pa.array([_bytes(found), *(_bytes(k[a:b]) for a, b in zip(s, e))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "keys"])
 
     return run
 
 
-def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press, words = zstandard.ZstdDecompressor(), _Words()
+class Repeated:
+    """Keys on PAGES or more pages, and the way they reach the chunks."""
+
+    def __init__(self, sent: DataFrame, counts: bool):
+        found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(counts), "chunk long, bucket int, keys binary")
+        self.cut = Cut(found)
+        self.few = (self.cut.df.where(F.col("chunk") == _ALL).agg(F.sum(F.length("keys"))).first()[0] or 0) <= BROADCAST_KEYS * KEY_BITS // 8
+        if self.few:
+            rows = [_keys(r["keys"], r["bucket"]) for r in self.cut.df.where(F.col("chunk") == _ALL).toLocalIterator()]
+            self.all = sent.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(rows)) if rows else np.array([], np.uint64))
+            self.cut.drop()
+
+    def over(self, packs: DataFrame, each: Callable[[int, Sheet, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """``each`` of (chunk, its sheet, keys in order) over all chunks."""
+        shared = self.all if self.few else None
+        if not self.few:
+            own = self.cut.df.where(F.col("chunk") != _ALL).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("hits"))
+            packs = packs.join(own, "chunk", "left").select("chunk", "pack", "hits")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Words()
+            for batch in batches:
+                hits = batch.column("hits").to_pylist() if shared is None else [None] * batch.num_rows
+                for chunk, blob, own in zip(batch.column("chunk").to_pylist(), batch.column("pack"), hits):
+                    keys = shared.value if shared else np.sort(np.concatenate([np.array([], np.uint64), *(_keys(x["keys"], x["bucket"]) for x in own or [])]))
+                    yield from each(chunk, Sheet(blob.as_py(), words), keys)
+
+        return packs.mapInArrow(run, schema)
+
+
+def _send_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words()
     for batch in batches:
-        for blob, hits in zip(batch.column("pack"), batch.column("hits").to_pylist()):
-            part = pa.ipc.open_stream(press.decompress(blob.as_py())).read_all().combine_chunks().to_batches()[0]
-            gone = [_keys(x["keys"]) | np.uint64(x["bucket"] << KEY_BITS) for x in hits or []]
-            gone = np.concatenate(gone) if gone else np.array([], np.uint64)
-            streams = [[t.split(" ") for t in page] for page in part.column("texts").to_pylist()]
-            left = without_runs(streams, _host_hashes(part.column("host").to_pylist()), gone, words)
-            text = ["\n".join([t for t, k in zip(page, kept) if k and t]) for page, kept in zip(left, part.column("kept").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("pack")):
+            yield from _by_bucket(chunk, *Sheet(blob.as_py(), words).distinct_seeds())
+
+
+def _send_runs(chunk: int, sheet: Sheet, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _by_bucket(chunk, *sheet.distinct_runs(common))
+
+
+def _unique_runs(chunk: int, sheet: Sheet, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+    text = ["\n".join([t for t, k in zip(page, kept) if k and t]) for page, kept in zip(sheet.without(gone), sheet.rows.column("kept").to_pylist())]
+    yield pa.RecordBatch.from_arrays([sheet.rows.column("page_id"), sheet.rows.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = CHUNK) -> DataFrame:
     """A row per input row: page_id, url, text (empty if none), n_chars (code points).
 
-    A null or empty html has the empty text.  Null ids and urls are kept; pages
-    without a host share the host of no name; repeated rows (by id and url) keep a
-    row each and count as one page.  Other columns are not read.  ``pages`` should
-    be read from files, as chunks are told apart by their place in the scan.
+    A null or empty html has the empty text; a very long one is a chunk of its own.  Null ids and urls are kept; pages
+    without a host share the host of no name; repeated rows keep a row each and
+    count as one page, as do all with one kept text; an empty table gives no rows.  Other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    hosted = rows.withColumn("host", host)
     kind = rows.schema["page_id"].dataType.simpleString()
-    sent = hosted.select("host", F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(_ship(chunk), "bucket int, chunk long, keys binary, pages binary")
-    hits = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "chunk long, bucket int, keys binary")
-    hits = hits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("hits"))
-    packs = hosted.select("page_id", "url", "html", "host").mapInArrow(_pack(chunk), "chunk long, pack binary")
-    found = packs.join(hits, "chunk", "left").select("pack", "hits").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    packs = Cut(rows.withColumn("host", host).mapInArrow(_pack(chunk), "chunk long, pack binary"), codec="none").df
+    common = Repeated(packs.mapInArrow(_send_seeds, _SENT), counts=True)
+    gone = Repeated(common.over(packs, _send_runs, _SENT), counts=False)
+    found = gone.over(packs, _unique_runs, f"page_id {kind}, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,3 +1,6 @@
+import collections
+import random
+
 import pytest
 
 from ravelin.llm import html_extract as H
@@ -69,6 +72,75 @@ def test_repeats_are_counted_over_a_whole_host(spark, tmp_path):
         assert by == {i: own(i) for i in range(600)}
 
 
+def brute(pages):
+    """Texts by counting every run of tokens over the pages of its host."""
+    parsed = {}
+    for i, url, page in pages:
+        found = H.blocks(page or "")
+        declared = any(inside for _, inside, _ in found)
+        parsed[i] = (url or "").split("/")[2:3], [t.split(" ") for t, _, _ in found], [not apart and (inside or not declared) for _, inside, apart in found]
+    on = collections.defaultdict(set)
+    spots = {}
+    for i, (host, found, kept) in parsed.items():
+        main = tuple(tuple(t) for t, k in zip(found, kept) if k)
+        flat = [(b, t) for b, tokens in enumerate(found) for t in tokens]
+        spots[i] = [(s, (tuple(host), tuple(t for _, t in flat[s : s + H.RUN]))) for s in range(len(flat) - H.RUN + 1)]
+        for _, run in spots[i]:
+            on[run].add(main)
+    out = {}
+    for i, (_, found, kept) in parsed.items():
+        flat = [b for b, tokens in enumerate(found) for _ in tokens]
+        hit = [s for s, run in spots[i] if len(on[run]) >= H.PAGES]
+        across = {k for s in hit for k in range(s, s + H.RUN)}
+        gone = {k for s in hit if flat[s] == flat[s + H.RUN - 1] for k in range(s, s + H.RUN)}
+        lines, at = [], 0
+        for tokens, k in zip(found, kept):
+            own = range(at, at + len(tokens))
+            left = [] if across.issuperset(own) else [t for p, t in zip(own, tokens) if p not in gone]
+            if k and left:
+                lines.append(" ".join(left))
+            at += len(tokens)
+        out[i] = "\n".join(lines)
+    return out
+
+
+@pytest.fixture(scope="module")
+def hosts():
+    """Hosts of 3, 200 and 2000 pages: menus, notices in articles, near copies, repeats that are too rare, pages of one text."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    pages = []
+    for host, n in (("three", 3), ("some", 200), ("many", 2000)):
+        menu, notice, rare, copied = some(12), some(9), some(10), some(40)
+        for k in range(n):
+            body = f"<p>{some(rng.randint(1, 40))}</p>" + (f"<div>{some(5)} {notice} {some(5)}</div>" if k % 7 == 0 else "") + (f"<p>{rare}</p>" if k in (1, 2) else "")
+            if k % 50 == 3:
+                body = f"<p>{copied}</p>"
+            main = f"<article>{body}</article>" if k % 3 else body
+            pages.append((len(pages), f"https://{host}.example/{k}", (f"<ul><li>{menu[:40]}<li>{menu}</ul>" if k % 50 == 0 or n == 3 else "") + main + f"<footer>{some(3)}</footer>"))
+    return pages
+
+
+VOCABULARY = [f"w{k}" for k in range(400)]
+
+
+@pytest.mark.parametrize(("chunk", "keys"), [(H.CHUNK, H.BROADCAST_KEYS), (20_000, H.BROADCAST_KEYS), (30_000, 0)])
+def test_repeats_equal_brute_force(spark, tmp_path, monkeypatch, hosts, chunk, keys):
+    monkeypatch.setattr(H, "BROADCAST_KEYS", keys)
+    spark.createDataFrame([(*p, "x", 1) for p in hosts], "page_id long, url string, html string, host string, chunk int").repartition(5).write.parquet(str(tmp_path / "p"))
+    found = {r["page_id"]: r["text"] for r in H.extract(spark.read.parquet(str(tmp_path / "p")), chunk=chunk).collect()}
+    expected = brute(hosts)
+    assert found == expected
+    assert sum(t == "" for t in expected.values()) < 20
+
+
+def test_a_very_long_page(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    spark.createDataFrame([(1, None, f"<p>{long}</p>"), (2, None, "<p>a")], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    by = {r["page_id"]: (r["text"], r["n_chars"]) for r in H.extract(spark.read.parquet(str(tmp_path / "p"))).collect()}
+    assert by == {1: (long, len(long)), 2: ("a", 1)}
+
+
 def test_no_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
