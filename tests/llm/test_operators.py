@@ -315,6 +315,35 @@ def test_top_k(spark, monkeypatch, shard):
     found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(df))]
     same(found, brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()]))
     assert rows(topk.top_k(df.limit(0))) == []
+    clashing = df.selectExpr("vec_id", "embedding", "'x' AS norm", "1 AS shard", "2 AS v", "3 AS block", "4 AS floor")
+    same([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(clashing))], found)
+
+
+def test_top_k_multiplies_few_pairs_and_sends_few_vectors(spark, monkeypatch):
+    """Vectors of unequal length and of few large axes: most pairs are settled by their bounds, most shards reach no query."""
+    rng = np.random.default_rng(5)
+    scale = 8 * rng.pareto(2.0, (6000, 1)) + 0.5
+    v = np.floor(64 * scale * rng.normal(0, 0.8 ** np.arange(32), (6000, 32))).astype(np.int64)
+    norm, ids = np.linalg.norm(v.astype(float), axis=1), np.arange(6000)
+    axes = np.linalg.eigh((v.T @ v).astype(float))[1][:, ::-1]
+    q, work = slice(0, 6000, 20), topk.Work()
+    at, found, score = topk.best((ids[q], v[q], norm[q], np.full(300, topk.LEAST)), (ids, v, norm), axes, 20, work)
+    brute = v[q] @ v.T
+    brute[np.arange(300), ids[q]] = topk.LEAST
+    expected = [(i, int(j), int(brute[i, j])) for i in range(300) for j in np.lexsort((ids, -brute[i]))[:20]]
+    assert sorted(zip(at.tolist(), found.tolist(), score.tolist())) == sorted(expected)
+    assert work.pairs == 300 * 6000 and work.exact < 0.05 * work.pairs and work.axes < 0.2 * 32 * work.pairs
+
+    monkeypatch.setattr(topk, "SHARD", 500)
+    monkeypatch.setattr(topk, "ASKED", 60)
+    seen = []
+    real = topk.reach
+    monkeypatch.setattr(topk, "reach", lambda asked, longest: seen.append(real(asked, longest)) or seen[-1])
+    df = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = rows(topk.top_k(df))
+    assert sorted((r["query_id"] // 20, r["vec_id"], r["score"]) for r in got) == sorted(expected)
+    reached = [r["reach"] for r in seen[0].select("reach").collect()]
+    assert sum(reached) < 0.5 * 300 * 11
 
 
 # toxicity
