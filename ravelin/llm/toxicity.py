@@ -2,18 +2,21 @@
 
 Many voters look at a text: fixed lexicons, pattern voters, lexicons mined from
 labelled rows (whole words, word beginnings, and beginnings dense in a text, that
-stand almost only in toxic texts, dealt into ``FAMILIES`` voters), and a voter that finds nothing amiss.  A
-generative label model estimates by expectation-maximisation how often each voter
-speaks and is right given the hidden label; the correlation of voters given the
-label is estimated too, and a voter counts the less the more it repeats others.
-A linear classifier is trained on the model's posterior labels, and its output
-set to the labels' scale.
+stand almost only in toxic texts, dealt into ``FAMILIES`` voters), and a voter that
+speaks where no other does.  A generative label model estimates by
+expectation-maximisation how often each voter speaks given the hidden label, hence
+how far it is right; the correlation of voters given the label is estimated too, and a voter counts
+the less the more it repeats others.  A voter that is silent says nothing.  Known
+labels are no votes: they weigh in as ``ANCHOR`` of the rows where rates are
+estimated, so that the hidden label is toxicity and not some other thing that voters
+share, and what a row's posterior is follows from its votes.  A linear classifier is trained
+on the posterior labels, and its output set to the labels' scale.
 
 The model is fitted on at most ``FIT`` labelled rows of each label, the first by a
 hash of the id, with whole texts.  A row of it weighs as much as its label has
 learnable rows for each in the sample, so that the share of toxic rows, and with
 it what a mined feature must show and what a score means, is that of the table
-and not of the sample.  All texts are scored.
+and not of the sample.  Every feature that passes its test is kept.  All texts are scored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from .shared import cut, held_out
 
 #: Labelled rows, clean and toxic, that the model is fitted on, at most.
 FIT = (6000, 3000)
-#: Mined features kept, at most, and voters they are dealt to.
-MINED, FAMILIES = 2000, 12
+#: Voters that the mined features are dealt to.
+FAMILIES = 12
+#: What the known labels weigh against the rows' own posteriors where rates are estimated.
+ANCHOR = 0.3
 #: A mined feature is at least so pure, and its log-likelihood ratio against standing in texts at random so high:
 #: chance takes hardly any feature so far, however many there are.
 PURITY, SURE = 0.8, 25.0
@@ -95,46 +100,68 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, trusted: int = 0, rounds: int = 60, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, anchor: float = 0.0, rounds: int = 60, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of label 1, each voter's rates by label and vote, conditional correlations).
 
-    votes: rows x voters of 1 (toxic), 0 (clean), -1 (abstains); start: first posterior;
-    trusted: so many of the last voters count in full, however much others agree with them;
-    mass: what each row weighs, 1 on average.
+    votes: rows x voters of 1 (toxic), 0 (clean), -1 (silent); start: first posterior, which
+    goes on to count as ``anchor`` of the rows in rates and prior; mass: what each row weighs, 1 on average.
     """
     post = start.astype(float)
     mass = np.ones(len(post)) if mass is None else mass
     heard = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # vote, row, voter
+    signed = votes.astype(float)
     for _ in range(rounds):
-        rates = np.stack([(np.einsum("vrj,r->jv", heard, w) + 0.5) / (w.sum() + 1.5) for w in (mass * (1 - post), mass * post)])
-        signed = votes.astype(float)
-        expect = np.stack([rates[y, :, 2] - rates[y, :, 0] for y in (0, 1)])
+        held = post + anchor * start
+        rates = np.stack([np.einsum("vrj,r->jv", heard, w) + 0.5 for w in (mass * (1 + anchor - held), mass * held)])
+        rates /= rates.sum(axis=2, keepdims=True)
+        expect = rates[:, :, 2] - rates[:, :, 0]
         rest = signed - (1 - post)[:, None] * expect[0] - post[:, None] * expect[1]
         weighed = rest * mass[:, None]
         spread = np.sqrt((rest * weighed).mean(axis=0)) + 1e-9
         corr = (rest.T @ weighed) / len(rest) / np.outer(spread, spread)
         weight = 1 / (1 + np.clip(np.abs(corr) - np.eye(len(corr)) - 0.1, 0, None).sum(axis=0))
-        weight[len(weight) - trusted :] = 1
         say = np.log(rates[1] / rates[0]) * weight[:, None]  # voter, vote
-        prior = np.clip((mass * post).mean(), 0.01, 0.99)
+        say[:, 0] = 0
+        prior = np.clip((mass * held).mean() / (1 + anchor), 0.01, 0.99)
         log = np.log(prior / (1 - prior)) + np.einsum("vrj,jv->r", heard, say)
         new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        moved, post = np.abs(new - post).max(initial=0), new
+        if moved < 1e-6:
             break
-        post = new
     return post, rates, corr
 
 
-def linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+class Sparse:
+    """Rows of ones at ``places``; a last column, the bias, has a one in every row."""
+
+    def __init__(self, places: list[list[int]], width: int):
+        self.at = np.fromiter((k for x in places for k in x), np.int64)
+        self.row = np.repeat(np.arange(len(places)), [len(x) for x in places])
+        self.rows, self.width = len(places), width
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at], minlength=self.rows) + w[-1]
+
+    def turned(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, v[self.row], minlength=self.width), v.sum())
+
+    def any_of(self, group: np.ndarray, groups: int) -> np.ndarray:
+        """rows x groups: does a place of the group stand in the row?"""
+        out = np.zeros((self.rows, groups), bool)
+        out[self.row, group[self.at]] = True
+        return out
+
+
+def linear(x: Sparse, y: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
     """Ridge logistic regression on soft labels by accelerated gradient steps; bias last."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    step = 4.0 / (float((x.astype(float) ** 2).sum(axis=1).max()) * len(x) + 4 * ridge)
-    step = max(step, 4.0 / (np.linalg.norm(x.T @ x, 2) + 4 * ridge))
-    w = v = np.zeros(x.shape[1])
+    u = np.ones(x.width + 1)
+    for _ in range(50):  # the largest singular value bounds the curvature
+        u = x.turned(x.times(u / np.linalg.norm(u)))
+    step = 4.0 / (1.05 * np.linalg.norm(u) + 4 * ridge)
+    w = v = np.zeros(x.width + 1)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        g = x.T @ (p - y) + ridge * np.append(v[:-1], 0)
-        new = v - step * g
+        p = 1 / (1 + np.exp(-np.clip(x.times(v), -30, 30)))
+        new = v - step * (x.turned(p - y) + ridge * np.append(v[:-1], 0))
         v = new + k / (k + 3) * (new - w)
         w = new
     return w
@@ -189,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("toxicity"), "i"), "i").limit(FIT[y]) for y in (0, 1)]
     picked = cut(pick[0].unionAll(pick[1]).select("i", "toxic"))  # sum(FIT) rows at most
     text = docs.select(i.alias("i"), F.col(text_col).cast("string").alias("text"))
-    sample = cut(text.join(F.broadcast(picked), "i").dropDuplicates(["i"]).select("toxic", "text"))
+    # an id that stands twice teaches once, by the first of its texts in order
+    sample = cut(text.join(F.broadcast(picked), "i").groupBy("i", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
@@ -199,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mined = _featured(sample).select("toxic", F.explode("found").alias("f")).groupBy("f").agg((F.count_if(F.col("toxic") == 1) * F.lit(mass[1])).alias("p"), (F.count_if(F.col("toxic") == 0) * F.lit(mass[0])).alias("n"))
     pure = F.col("p") / (F.col("p") + F.col("n"))
     sure = F.col("p") * F.log(pure / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - pure) / (1 - base))).otherwise(0)
-    mined = mined.where((pure >= PURITY) & (sure >= SURE)).orderBy(F.desc("p"), "f").limit(MINED)
-    names = [r["f"] for r in mined.select("f").collect()]
+    # a feature has to stand in a dozen rows of the sample or so: their number is bounded by the sample's texts
+    names = sorted(r["f"] for r in mined.where((pure >= PURITY) & (sure >= SURE)).select("f").collect())
     model = Model({f: k for k, f in enumerate(names)})
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
@@ -211,22 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sorted((r["toxic"], list(r["at"])) for r in sample.mapInArrow(rows, "toxic int, at array<int>").collect())
     fixed = len(_LEXICONS) + len(_PATTERNS)
-    x = np.zeros((len(got), len(names) + fixed), np.float32)
-    for r, (_, at) in enumerate(got):
-        x[r, at] = 1
+    x = Sparse([at for _, at in got], len(names) + fixed)
     gold = np.array([y for y, _ in got])
-    family = np.array([sum(f[:4].encode()) % FAMILIES for f in names], int)
-    mined_votes = np.stack([x[:, : len(names)][:, family == k].any(axis=1) if (family == k).any() else np.zeros(len(x), bool) for k in range(FAMILIES)], axis=1)
-    speak = np.hstack([mined_votes, x[:, len(names) :] > 0])
-    votes = np.where(speak, 1, -1)
-    quiet = np.where(speak.any(axis=1), -1, 0)
-    # who labelled the sample is one more voter; the classifier below never hears it
-    votes = np.hstack([votes, quiet[:, None], gold[:, None]])
-    post, _, _ = label_model(votes, 0.05 + 0.9 * gold, trusted=1, mass=np.array(mass)[gold])
+    voter = np.array([sum(f[:4].encode()) % FAMILIES for f in names] + list(range(FAMILIES, FAMILIES + fixed)), int)
+    speak = x.any_of(voter, FAMILIES + fixed)
+    votes = np.hstack([np.where(speak, 1, -1), np.where(speak.any(axis=1), -1, 0)[:, None]])
+    post, _, _ = label_model(votes, gold, ANCHOR, mass=np.array(mass)[gold])
     # the label's share moves the bias only, which the scale sets anew
     model.weights = linear(x, post)
-    logit = x @ model.weights[:-1] + model.weights[-1]
-    model.scale = platt(logit, gold, mass=np.array(mass)[gold])
+    model.scale = platt(x.times(model.weights), gold, mass=np.array(mass)[gold])
     return model
 
 
@@ -250,8 +271,8 @@ def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """A row per input row: doc_id, held_out, score, predicted.
 
     Rows with a null id teach nothing and are scored; repeated rows are scored
-    each and teach once; without labels of both kinds every score is low.  Other
-    columns are not read.
+    each and teach once; without labels of both kinds every score is low; an empty
+    table gives no rows.  Texts are read whole, however long.  Other columns are not read.
     """
     model = fit(docs, labels, id_col, text_col)
     found = score(docs, model, F.col(id_col), text_col).withColumnRenamed("keep", "doc_id")

@@ -387,6 +387,56 @@ def test_label_model_finds_good_and_bad_voters():
     assert learned[1, 0, 2] > learned[1, 3, 2]
 
 
+def brute_label_model(votes, known, anchor, rounds, mass):
+    n, m = len(votes), len(votes[0])
+    post = [float(k) for k in known]
+    for _ in range(rounds):
+        share = [[(mass[r] * (1 - post[r] + anchor * (1 - known[r])), mass[r] * (post[r] + anchor * known[r])) for r in range(n)]][0]
+        rate = [[[sum(share[r][y] for r in range(n) if votes[r][j] == v) + 0.5 for v in (-1, 0, 1)] for j in range(m)] for y in (0, 1)]
+        rate = [[[c / sum(cell) for c in cell] for cell in side] for side in rate]
+        rest = [[votes[r][j] - sum(p * (rate[y][j][2] - rate[y][j][0]) for y, p in ((0, 1 - post[r]), (1, post[r]))) for j in range(m)] for r in range(n)]
+        both = lambda i, j: sum(mass[r] * rest[r][i] * rest[r][j] for r in range(n)) / n
+        spread = [both(j, j) ** 0.5 + 1e-9 for j in range(m)]
+        corr = [[both(i, j) / spread[i] / spread[j] for j in range(m)] for i in range(m)]
+        weight = [1 / (1 + sum(max(0.0, abs(corr[i][j]) - (i == j) - 0.1) for i in range(m))) for j in range(m)]
+        prior = min(0.99, max(0.01, sum(s[1] for s in share) / n / (1 + anchor)))
+        post = []
+        for row in votes:
+            log = np.log(prior / (1 - prior)) + sum(weight[j] * np.log(rate[1][j][v + 1] / rate[0][j][v + 1]) for j, v in enumerate(row) if v != -1)
+            post.append(1 / (1 + np.exp(-min(30, max(-30, log)))))
+    return post, rate, corr
+
+
+def test_label_model_equals_brute_force():
+    rng = np.random.default_rng(6)
+    gold = (rng.random(120) < 0.25).astype(int)
+    speak = np.stack([rng.random(120) < np.where(gold == 1, a, 0.05) for a in (0.6, 0.4, 0.3)], axis=1)
+    speak = np.hstack([speak, speak[:, :1] | (rng.random((120, 1)) < 0.05)])  # a voter that repeats another
+    votes = np.hstack([np.where(speak, 1, -1), np.where(speak.any(axis=1), -1, 0)[:, None]])
+    mass = np.where(gold == 1, 0.7, 1.1)
+    for anchor, rounds in ((0.3, 1), (0.3, 5), (0.0, 3)):
+        post, rates, corr = toxicity.label_model(votes, gold, anchor, rounds, mass)
+        p, r, c = brute_label_model(votes.tolist(), gold.tolist(), anchor, rounds, mass.tolist())
+        assert np.allclose(post, p) and np.allclose(rates, r) and np.allclose(corr, c, atol=1e-6)
+    post, _, corr = toxicity.label_model(votes, gold, toxicity.ANCHOR, mass=mass)
+    assert corr[0, 3] > 0.5
+    # the posterior follows from the votes, not from the label: rows that vote alike have one, whatever their label
+    alike = defaultdict(set)
+    for v, p in zip(votes.tolist(), post):
+        alike[tuple(v)].add(round(float(p), 9))
+    assert all(len(x) == 1 for x in alike.values()) and ((post > 0.5) != gold).any()
+
+
+def test_linear_classifier_equals_a_dense_one():
+    rng = np.random.default_rng(7)
+    dense = rng.random((60, 5)) < 0.3
+    y = np.clip(dense[:, 0] * 0.9 + 0.05, 0, 1)
+    w = toxicity.linear(toxicity.Sparse([np.flatnonzero(r).tolist() for r in dense], 5), y, rounds=3000)
+    x = np.hstack([dense, np.ones((60, 1))])
+    slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + np.append(w[:-1], 0)
+    assert np.abs(slope).max() < 1e-6
+
+
 # quality
 
 
