@@ -1,13 +1,15 @@
 """SimHash near-duplicates, linked through BK-trees.
 
 A fingerprint has 64 bits; two within ``RADIUS`` = 2 bits agree on at least one
-of three bands of bits, so the distinct fingerprints are dealt into shards by
-(band, value) and every link lies inside a shard.  A shard is cut into blocks of
-at most ``BLOCK`` fingerprints; each pair of blocks is one task's work: a BK-tree
-of one block, whose children are keyed by their Hamming distance to the parent,
-is walked with the other block's fingerprints along the edges that lie within the
-radius.  What leaves a task is a spanning forest, never a list of pairs; the
-components of all forests are found by star contraction.
+of three bands of bits, so the distinct fingerprints are dealt into shards by the
+bits of a band, and every link lies inside a shard.  A shard of more than ``TREE``
+fingerprints is dealt again, by three bands of the bits that its fingerprints need not
+share, until its trees are small: each turn costs a hot fingerprint three copies, and after
+five turns no shard can be large, as too few bits are left to differ.  A shard's tree, whose children are keyed by
+their Hamming distance to the parent, is grown in one task and walked with the
+shard's fingerprints along the edges that lie within the radius.  What leaves a
+task is a spanning forest, never a list of pairs; the components of all forests are
+found by star contraction.
 """
 
 from __future__ import annotations
@@ -21,13 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Cut, cut
+from .shared import Cut, by_group, cut
 
 RADIUS, SEED, SHINGLE = 2, 42, 3
-#: First bit and number of bits of each band; RADIUS + 1 of them cover the 64 bits.
-BANDS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of a shard that one tree holds.
-BLOCK = 2048
+#: Fingerprints of a shard that one tree holds, and free bits with which a shard is always small enough.
+TREE, FREE = 2048, 9
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def bands(mask: int) -> list[int]:
+    """``mask`` with each of RADIUS + 1 bands of the bits it lacks: within the radius, two that agree on it agree on one of these."""
+    free = [1 << k for k in range(64) if not mask >> k & 1]
+    cuts = [len(free) * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+    return [mask | sum(free[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -107,64 +118,40 @@ def walk(tree: np.ndarray, queries: np.ndarray, shift: int, forest: Forest) -> N
                 todo.append((rest[away == d], follow))
 
 
-def _links(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one block pair; a block paired with itself has i == j."""
-    fps, own, other = rows["fp"].view(np.uint64), rows["block"] == rows["i"], rows["block"] == rows["j"]
-    if own.all():
-        order, tree, asked, shift = np.arange(len(fps)), fps, fps, 0
-    else:
-        order = np.concatenate([np.flatnonzero(own), np.flatnonzero(other)])
-        tree, asked, shift = fps[own], fps[other], int(own.sum())
-    forest = Forest(len(fps))
-    if len(tree) and len(asked):
-        walk(tree, asked, shift, forest)
-    signed = rows["fp"][order]
-    moved = np.flatnonzero(forest.label != np.arange(len(fps)))
-    return signed[moved], signed[forest.label[moved]]
-
-
-def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, value, i, j), group by group; a group has 2 * BLOCK rows at most."""
-    names, keys = ["band", "value", "i", "j", "block", "fp"], ["band", "value", "i", "j"]
-    held: dict[str, np.ndarray] | None = None
-
-    def emit(rows: dict[str, np.ndarray], last: bool):
-        n = len(rows["fp"])
-        change = np.flatnonzero(np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in keys])) + 1 if n > 1 else np.array([], int)
-        cuts = [0, *change.tolist(), n]
-        stop = len(cuts) - 1 if last else len(cuts) - 2
-        a, b = [], []
-        for s, e in zip(cuts[:stop], cuts[1 : stop + 1]):
-            if e - s > 1:
-                x, y = _links({k: v[s:e] for k, v in rows.items()})
-                a.append(x)
-                b.append(y)
-        return a, b, {k: v[cuts[stop] :] for k, v in rows.items()}
-
-    for batch in batches:
-        new = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
-        held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in names}
-        a, b, held = emit(held, False)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-    if held is not None and len(held["fp"]):
-        a, b, _ = emit(held, True)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (mask, value), shard by shard: spanning edges (a, b) of each."""
+    for _, rows in by_group(batches, ["mask", "value"]):
+        signed = rows.column("fp").to_numpy()
+        forest = Forest(len(signed))
+        points = signed.view(np.uint64)
+        walk(points, points, 0, forest)
+        moved = np.flatnonzero(forest.label != np.arange(len(points)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[forest.label[moved]])], ["a", "b"])
+
+
+def shards(distinct: DataFrame) -> DataFrame:
+    """(fp, mask, value): shards of 2 to TREE fingerprints (or of FREE free bits) that hold every link of the distinct ones."""
+    masks, out = bands(0), None
+    rows = distinct.select("fp", F.explode(F.array([F.lit(_signed(m)) for m in masks])).alias("mask"))
+    while True:
+        keyed = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        counts = Cut(keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")).df
+        hot = (F.col("n") > TREE) & (F.bit_count("mask") < 64 - FREE)
+        joined = keyed.join(counts, ["mask", "value"])
+        ready = joined.where(~hot).select("fp", "mask", "value")
+        out = ready if out is None else out.unionAll(ready)
+        if counts.where(hot).isEmpty():
+            return out
+        finer = {m: bands(m) for m in masks}
+        to = F.create_map([x for m, own in finer.items() for x in (F.lit(_signed(m)), F.array([F.lit(_signed(o)) for o in own]))])
+        rows = cut(joined.where(hot).select("fp", F.explode(to[F.col("mask")]).alias("mask")))
+        masks = sorted({o for own in finer.values() for o in own})
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` within RADIUS."""
-    bands = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)).alias("value")) for k, (at, n) in enumerate(BANDS)]
-    shards = distinct.select("fp", F.explode(F.array(bands)).alias("s")).select("fp", "s.*")
-    counts = Cut(shards.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = shards.join(counts.df, ["band", "value"]).select("fp", "band", "value", blocks.alias("blocks"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.col("value").cast("long"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "fp")
-    keys = ["band", "value", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(block_links, "a long, b long")
+    return shards(distinct).repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(shard_links, "a long, b long")
 
 
 def link(docs: DataFrame, key: Column, text_col: str = "text") -> DataFrame:
@@ -186,8 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest doc_id linked, through any number of links, with
     the row, itself included; rows with a null id have a fingerprint and links but
     give no name (null where nothing else does).  A null or empty text has the
-    fingerprint zero and is linked like any other; repeated rows keep a row each.
-    Only the two named columns are read.  ``n_copies`` counts the rows of the same
+    fingerprint zero and is linked like any other; texts count whole, however long; repeated rows keep a row each;
+    an empty table gives no rows.  Only the two named columns are read.  ``n_copies`` counts the rows of the same
     fingerprint.
     """
     fingerprint_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -196,8 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the smallest id, then the first in the scan."""
-    rid = F.monotonically_increasing_id()
-    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), rid.alias("rid"))
-    stay = link(docs, key, text_col).where("keep <=> least").select(F.col("keep.rid").alias("rid"))
-    rows = docs.select(rid.alias("rid"), F.struct("*").alias("doc"))
-    return rows.join(stay, "rid", "left_semi").select("doc.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc"))
+    # written once, so that both readings mean one row by a number
+    stored = Cut(rows, codec="zstd").df
+    own = F.col(f"doc.`{id_col}`")
+    key = F.struct(own.isNull().alias("unnamed"), own.alias("id"), F.col("rid"))
+    stay = link(stored, key, f"doc.`{text_col}`").where("keep <=> least").select(F.col("keep.rid").alias("rid"))
+    return stored.join(stay, "rid", "left_semi").select("doc.*")
