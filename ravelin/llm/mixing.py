@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut, words_of
+from .shared import Cut, cut, words_of
 
 #: Sources in code-point order, nulls last, take these weights in turn.
 WEIGHTS = (3, 1, 2)
@@ -66,15 +66,19 @@ def copies(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col:
     """A row per input row: rid, doc_id, size, source_size, target, copies.
 
     A null or empty text has size 0 and takes no words; a null source is a source
-    of its own, the last; repeated rows are each sampled.  ``rid`` is the row's
-    place in the scan of ``docs``, which should be read from files.
+    of its own, the last; repeated rows are each sampled; a very long text counts whole;
+    an empty table gives no rows.  ``rid`` is the row's place in the scan of ``docs``.
     """
-    slim = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.size(words_of(F.col(text_col))).cast("long").alias("size"),
-        F.xxhash64(F.col(text_col)).alias("tie"),
+    return _copies(docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(f"`{c}`").alias(n) for n, c in (("doc_id", id_col), ("text", text_col), ("source", source_col)))), seed)
+
+
+def _copies(rows: DataFrame, seed: str) -> DataFrame:
+    slim = rows.select(
+        "rid",
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        F.size(words_of(F.col("text"))).cast("long").alias("size"),
+        F.xxhash64("text").alias("tie"),
     ).withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     slim = cut(slim)
     ranges = cut(slim.repartitionByRange("src", "size", "doc_id", "tie", "rid").withColumn("range", F.spark_partition_id()))
@@ -96,11 +100,13 @@ def copies(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col:
     return rows.select("rid", "doc_id", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", **cols: str) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents, with the columns of ``docs``: each row as often as its copies."""
-    taken = copies(docs, seed, **cols).select("rid", "copies").where("copies > 0")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc"))
-    return rows.join(taken, "rid").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+    # written once, so that both readings mean one row by a number
+    stored = Cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc")), codec="zstd").df
+    taken = _copies(stored.select("rid", *(F.col(f"doc.`{c}`").alias(n) for n, c in (("doc_id", id_col), ("text", text_col), ("source", source_col)))), seed)
+    rows = stored.join(taken.select("rid", "copies").where("copies > 0"), "rid")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def oracle(seed: str = "mix") -> str:
