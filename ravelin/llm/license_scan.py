@@ -14,6 +14,8 @@ left out move a match to the next diagonal), and a merged span is verified:
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,8 +60,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null or empty text has no words, no places and score 0; repeated rows and
-    null ids keep a row each (rows are told apart by their place in the scan, so
-    ``docs`` should be read from files).  Only ``id_col`` and ``text_col`` are
+    null ids keep a row each, very long texts are scanned whole, and an empty table gives no rows.  Only ``id_col`` and ``text_col`` are
     read, so further columns of any name do no harm.  ``score`` is the largest
     share of a template's grams found together.  The broadcast side is the
     template table, whose size is fixed by this module.
@@ -67,8 +68,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     grams = spark.createDataFrame(gram_rows(), "t int, label string, exact boolean, grams int, at int, w0 string, w1 string")
     grams = F.broadcast(grams.withColumn("h", F.xxhash64("w0", "w1")))
-    # lower() differs from lower-casing A-Z only on letters beyond ASCII, all of which are word characters
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), GAP), "")
+    # A-Z only: lower() would make ASCII letters of a few others
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.array_remove(F.split(lower, GAP), "")
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words.alias("ws"))
     pairs = F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))).alias("b"))
     rows = base.select("rid", "doc_id", F.size("ws").cast("long").alias("n_words"), F.posexplode_outer(pairs).alias("p", "g"))
