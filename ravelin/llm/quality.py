@@ -71,7 +71,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """A row per input row: doc_id, the measurements and ``fail_bits``.
 
     A null or empty text measures 0 everywhere.  Null ids and repeated rows keep
-    a row each; other columns of ``docs`` are not read.  One pass, no exchange.
+    a row each, very long texts are measured whole, and an empty table gives no rows;
+    other columns of ``docs`` are not read.  One pass, no exchange.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), words_of(F.col(text_col)).alias("ws"))
@@ -120,6 +121,7 @@ def ablation(rows: DataFrame, version: int = 2) -> DataFrame:
 def oracle(version: int = 2) -> str:
     fails = " OR ".join(f"({test})" for name, test in RULES if name in POLICIES[version] + BASE)
     base = " OR ".join(f"({test})" for name, test in RULES if name in BASE)
+    bits = " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, (_, test) in enumerate(RULES))
     return f"""
     WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
     g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS win FROM w WHERE len(ws) > 2),
@@ -130,4 +132,4 @@ def oracle(version: int = 2) -> str:
                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
           FROM w LEFT JOIN c USING (rid)),
     n AS (SELECT doc_id, n_words, word_chars, n_symbols, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words FROM m)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT ({fails}) AS kept FROM n"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT ({fails}) AS kept, ({bits})::BIGINT AS fail_bits FROM n"""
