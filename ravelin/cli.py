@@ -18,7 +18,8 @@ def main(args: list[str] | None = None) -> int:
     d.add_argument("--exclude", action="append", default=[], help="schema.table.column that is never read into results")
     m = commands.add_parser("make-demo", help="write a small folder to try")
     m.add_argument("folder")
-    m.add_argument("--rows", type=int, default=8)
+    m.add_argument("--rows", type=int, default=10)
+    m.add_argument("--scenario", default="linked", choices=("linked", "unrelated", "formula"))
     e = commands.add_parser("export-catalog", help="write a folder's catalogue as metadata proposals")
     e.add_argument("folder")
     e.add_argument("output")
@@ -26,7 +27,7 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "make-demo":
         from .sources.demo import write
 
-        write(a.folder, a.rows)
+        write(a.folder, a.rows, a.scenario)
         return 0
     from pyspark.sql import SparkSession
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,22 +37,23 @@ def card_sources(rows: DataFrame, meaning: Sequence[str], row: str = "__row") ->
 def table_quotas(rows: dict[str, int], weights: dict[str, int], total: int) -> dict[str, int]:
     """Share a number of cards over tables: one each, the rest by weight, never beyond a table's rows.
 
-    Deterministic: heavier tables first, then by name; what a table cannot use goes on.
+    The level at which ``level * weight`` cards a table use up the total, tables stopping at
+    their rows, is found exactly; each takes the whole part, and cards left over go to the largest
+    fractions.  Ties go to heavier tables, then by name; where not even one each is to be had, so do the cards.
     """
-    active = sorted((t for t in rows if rows[t] > 0 and weights.get(t, 0) > 0), key=lambda t: (-weights[t], t))
-    quotas = dict.fromkeys(rows, 0)
-    for t in active[: max(0, total)]:
-        quotas[t] = 1
-    left = total - len(active)
-    while left > 0 and (open_ := [t for t in active if quotas[t] < rows[t]]):
-        weight = sum(weights[t] for t in open_)
-        given = {t: min(rows[t] - quotas[t], left * weights[t] // weight) for t in open_}
-        if not any(given.values()):
-            given = {open_[0]: 1}
-        for t, n in given.items():
-            quotas[t] += n
-            left -= n
-    return quotas
+    able = sorted((t for t, n in rows.items() if n > 0 and weights.get(t, 0) > 0), key=lambda t: (-weights[t], t))
+    if total <= len(able):
+        return {t: int(t in able[: max(0, total)]) for t in rows}
+    left, heavy = Fraction(total - len(able)), sum(weights[t] for t in able)
+    share: dict[str, Fraction] = {}
+    # those that the level reaches first are the ones with least room for their weight
+    for t in sorted(able, key=lambda t: Fraction(rows[t] - 1, weights[t])):
+        share[t] = min(Fraction(rows[t] - 1), left * weights[t] / heavy)
+        left, heavy = left - share[t], heavy - weights[t]
+    whole = {t: int(x) for t, x in share.items()}
+    spare = min(total - len(able), sum(rows[t] - 1 for t in able)) - sum(whole.values())
+    extra = sorted(able, key=lambda t: (whole[t] - share[t], -weights[t], t))[:spare]
+    return {t: 1 + whole[t] + (t in extra) if t in share else 0 for t in rows}
 
 
 def within_quota(cards: DataFrame, quotas: dict[str, int]) -> DataFrame:

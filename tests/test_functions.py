@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,12 +92,21 @@ def test_identifiers():
 
 
 def test_formulas():
-    p = formulas.parse("profit = (X - Y) / X * 5%")
-    assert p["status"] == "parsed" and p["assignment"] == "profit"
-    assert [(s["symbol"], s["role"]) for s in p["symbols"]] == [("X", "minuend"), ("Y", "subtrahend"), ("X", "denominator")]
-    assert formulas.parse("a=X-Y")["signature"] == formulas.parse("b = X  -  Y")["signature"] != formulas.parse("Y-X")["signature"]
-    for bad, reason in [("", "empty_formula"), (None, "empty_formula"), ("a==b", "unsupported_comparison"), ("X + mystery(Y)", "unsupported_syntax"), ("sum of all", "not_arithmetic"), ("__import__('os')", "unsupported_syntax"), ("a[0]", "unsupported_syntax"), ("x" * 40_000, "formula_size_limit"), ("+".join(["a"] * 2000), "expression_node_limit"), ("True + 1", "unsupported_syntax"), ("sum()", "unsupported_syntax")]:
-        assert formulas.parse(bad)["reason"] == reason, bad
+    text = "利润 = (X − Y) / X * 5%"
+    p = formulas.parse(text)
+    assert p["status"] == "parsed" and p["assignment"] == "利润"
+    assert [(s["symbol"], s["path"], s["role"]) for s in p["symbols"]] == [("X", "/0/0/0", "minuend"), ("Y", "/0/0/1", "subtrahend"), ("X", "/0/1", "denominator")]
+    assert [text.encode()[s["start"] : s["end"]].decode() for s in p["symbols"]] == ["X", "Y", "X"]
+    tree = lambda x: json.loads(formulas.parse(x)["tree"])
+    n = lambda x: {"number": x}
+    op = lambda name, *of: {"op": name, "of": list(of)}
+    assert tree("5%") == tree("5 / 100") == op("over", n(5), n(100)) and tree("5 % 3") == op("modulo", n(5), n(3))
+    assert tree("1 - 2 - 3") == op("minus", op("minus", n(1), n(2)), n(3)) and tree("2 ^ 3 ** 2") == op("power", n(2), op("power", n(3), n(2)))
+    assert tree("-2 ^ 2 * 3") == op("times", op("negated", op("power", n(2), n(2))), n(3)) and tree("2^-1") == op("power", n(2), op("negated", n(1)))
+    assert tree("avg(1, .5e1)") == tree("MEAN(1, 5.0)") == {"call": "mean", "of": [n(1), n(5.0)]} and tree("count(1)")["call"] == "count"
+    assert formulas.parse("a=X-Y")["signature"] == formulas.parse("b = X  -  (Y)")["signature"] != formulas.parse("Y-X")["signature"]
+    bad = {"": "empty", None: "empty", " ": "empty", "a==b": "comparison", "a=b=c": "comparison", "=b": "name_missing", "X + mystery(Y)": "unknown_function", "sum of all": "operand_unexpected", "__import__('os')": "unknown_character", "a[0]": "unknown_character", "x" * 40_000: "too_long", "+".join(["a"] * 2000): "too_many_parts", "sum()": "operand_missing", "(a": "bracket_left_open", "a +": "operand_missing", "(" * 500 + "a": "nested_too_deep", "5x": "unknown_character", "a)": "operand_unexpected"}
+    assert {x: formulas.parse(x)["reason"] for x in bad} == bad
 
 
 def test_templates():
@@ -106,6 +117,10 @@ def test_templates():
         templates.match_record({"t": "{a}{b}"}, {"t": "xy"})
     assert templates.match_record({"t": "{a}{b}", "u": "is {a}"}, {"t": "xy", "u": "is x"}) == {"a": "x", "b": "y"}
     assert templates.match_record({"t": "{a}"}, {"t": None}) is None
+    assert templates.match_text("{a} of {b} of {c}", "x of y of z of w", {}) == {"a": "x", "b": "y", "c": "z of w"}
+    assert templates.match_text("{a}x{a}", "axxab", {}) is None and templates.match_text("{a}x{a}", "axxax", {}) == {"a": "ax"} and templates.match_text("{a}x{a}", "axxax" + "x" + "axxax", {}) == {"a": "axxax"}
+    assert templates.match_text("no slot", "no slot", {"k": "v"}) == {"k": "v"} and templates.match_text("{a}", "", {}) is None and templates.match_text("{k}{a}", "vw", {"k": "v"}) == {"k": "v", "a": "w"}
+    assert templates.match_text("{A} {a}", "{A} b", {}) == {"a": "b"} and templates.match_text("{a}{a}b", "ccb", {}) == {"a": "c"}
 
 
 def test_bindings_need_one_type(spark):
@@ -118,6 +133,7 @@ def test_bindings_need_one_type(spark):
 
 
 def test_units_and_lexical():
+    assert [units.unit(x) for x in ("千瓦时", "千瓦·时", "kW·h", "kWh", "m²", "平方米", "square metres", "元/千瓦时", "tons", "毫米", "N·m", "m s^-1", "℃", "摄氏度", "吨每天", " ")] == ["kWh", "kWh", "kWh", "kWh", "m2", "m2", "m2", "CNY/kWh", "t", "mm", "N·m", "m·s-1", "°C", "°C", "t/d", ""]
     assert units.unit("公斤 / 立方米") == "kg/m3" and units.unit("MW") != units.unit("mW") and units.unit(None) == ""
     assert lexical.is_member('["A b", "c"]', "a  B") and lexical.is_member("x; Foo，y", "foo")
     assert not lexical.is_member("not foo; x", "foo") and not lexical.is_member("foobar", "foo") and not lexical.is_member("", "")

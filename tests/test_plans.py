@@ -25,22 +25,40 @@ def snap(spark, folder):
 
 
 def test_import_keeps_values_and_order(snap):
-    got = [tuple(r) for r in snap.frames["demo.records"].orderBy("__row").select("__row", "rid", "kind", "ref").collect()]
-    assert got[4] == (5, "5", None, "A") and got[6] == (7, "7", "linked", "") and [r[0] for r in got] == list(range(1, 9))
-    assert snap.tables["demo.records"].pk == ["rid"] and len(snap.files) == 2
+    got = [tuple(r) for r in snap.frames["harbour.calls"].orderBy("__row").select("__row", "call_id", "stage", "berth").collect()]
+    assert got[5] == (6, "6", None, "1") and got[6] == (7, "7", "moored", "") and [r[0] for r in got] == list(range(1, 11))
+    assert snap.tables["harbour.calls"].pk == ["call_id"] and len(snap.files) == 2
 
 
 def test_the_known_links_are_found(snap):
-    ref = Reference("ref", "code", {"kind": "linked"}, {"namespace": "namespace"})
-    found = links(snap.frames["demo.records"], snap.frames["demo.catalog"], ref)
-    assert sorted(map(tuple, found.collect())) == list(demo.LINKS)
-    c = check(snap.frames["demo.records"], snap.frames["demo.catalog"], ref).first()
+    ref = Reference("berth", "berth_no", {"stage": "moored"}, {"port": "port"})
+    found = links(snap.frames["harbour.calls"], snap.frames["harbour.berths"], ref)
+    assert sorted(map(tuple, found.collect())) == demo.LINKS
+    c = check(snap.frames["harbour.calls"], snap.frames["harbour.berths"], ref).first()
     assert (c["selector_unknown"], c["ambiguous_matches"], c["missing_in_input"], c["empty_references"]) == (1, 1, 1, 1)
 
 
+def test_the_formula_demo_binds_as_known(spark, tmp_path):
+    from ravelin.operators import types
+
+    demo.write(str(tmp_path / "d"), scenario="formula")
+    frames = snapshot.from_files(spark, str(tmp_path / "d")).frames
+    names = frames["harbour.terms"].select(F.concat(F.lit("t"), "term_id").alias("id"), "name")
+    bound = types.bind_formulas(frames["harbour.dues"].select("due_id", F.col("rule").alias("formula")).withColumnRenamed("due_id", "id"), names)
+    assert sorted((r["id"], r["symbol"], r["target_id"] and r["target_id"][1:]) for r in bound.collect()) == sorted(demo.BINDINGS)
+
+
+def test_numbers_that_coincide_mean_nothing(spark, tmp_path):
+    demo.write(str(tmp_path / "d"), scenario="unrelated")
+    found = discovery.discover(snapshot.from_files(spark, str(tmp_path / "d")))
+    assert all(r["meaning"] == "unresolved" for r in found["rules"])
+    with pytest.raises(ValueError):
+        demo.tables("other", 1)
+
+
 def test_snapshot_id_follows_contents(spark, snap, folder, tmp_path):
     assert snapshot.from_files(spark, str(folder)).id == snap.id
-    demo.write(str(tmp_path / "other"), 9)
+    demo.write(str(tmp_path / "other"), 11)
     assert snapshot.from_files(spark, str(tmp_path / "other")).id != snap.id
 
 
@@ -54,8 +72,8 @@ def test_import_is_strict(spark, tmp_path):
         snapshot.load_yaml("a: 1\na: 2\n")
     demo.write(str(tmp_path / "d"))
     with pytest.raises(ValueError, match="do not exist"):
-        snapshot.from_files(spark, str(tmp_path / "d"), ["demo.records.nope"])
-    (tmp_path / "d/data/catalog.csv").write_text("code,title\n")
+        snapshot.from_files(spark, str(tmp_path / "d"), ["harbour.calls.nope"])
+    (tmp_path / "d/data/berths.csv").write_text("berth_no,label\n")
     with pytest.raises(ValueError, match="header"):
         snapshot.from_files(spark, str(tmp_path / "d"))
 
@@ -68,10 +86,10 @@ def test_record_ids_tell_equal_keys_apart(spark):
 
 def test_discovery_end_to_end(spark, tmp_path):
     demo.write(str(tmp_path / "d"), 40)
-    keys = {"foreign_keys": [{"table_schema": "demo", "table_name": "records", "column_name": "ref", "referenced_schema": "demo", "referenced_table": "catalog", "referenced_column": "code"}]}
-    (tmp_path / "d/schema/foreign_keys/records.yaml").write_text(json.dumps(keys))
+    keys = {"foreign_keys": [{"table_schema": "harbour", "table_name": "calls", "column_name": "berth", "referenced_schema": "harbour", "referenced_table": "berths", "referenced_column": "berth_no"}]}
+    (tmp_path / "d/schema/foreign_keys/calls.yaml").write_text(json.dumps(keys))
     found = discovery.discover(snapshot.from_files(spark, str(tmp_path / "d")))
-    rule = next(r for r in found["rules"] if (r["source"], r["target"]) == (("demo.records", "ref"), ("demo.catalog", "code")))
+    rule = next(r for r in found["rules"] if (r["source"], r["target"]) == (("harbour.calls", "berth"), ("harbour.berths", "berth_no")))
     assert {"declared_fk", "value_overlap"} <= set(rule["channels"]) and rule["meaning"] == "unresolved"
     assert rule["status"] == "observed_subset" and found["status"] == "complete" and found["coverage"]["queued_by_budget"] == 0
     few = discovery.discover(snapshot.from_files(spark, str(tmp_path / "d")), budget=1)
@@ -243,12 +261,12 @@ def test_packets(spark):
 
 
 def test_proposals_from_elsewhere_are_checked_too(snap):
-    c = discovery.Candidate(("demo.records", "ref"), ("demo.catalog", "code"), (), (("kind", "linked"),), (("namespace", "namespace"),))
-    t = discovery.Candidate(("demo.records", "description"), ("demo.catalog", "title"), (), transform="both_alias_items")
+    c = discovery.Candidate(("harbour.calls", "berth"), ("harbour.berths", "berth_no"), (), (("stage", "moored"),), (("port", "port"),))
+    t = discovery.Candidate(("harbour.calls", "remark"), ("harbour.berths", "label"), (), transform="both_alias_items")
     out, coverage = discovery.rules(snap, discovery.Found([]), proposed=[c, c, t])
     assert len(out) == coverage["checked"] == 2 and {r["channels"] for r in out} == {("proposed",)}
     got = {r["transform"]: r["checks"]["unique_matches"] for r in out}
-    assert got == {"identity": 3, "both_alias_items": 0}
+    assert got == {"identity": 4, "both_alias_items": 0}
 
 
 def test_fact_candidates_say_how_they_were_found(spark):
