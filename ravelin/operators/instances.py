@@ -79,10 +79,10 @@ def preview(objects: DataFrame, per: Sequence[str], n: int = 3, order: str = "id
 
 def attributes(objects: DataFrame, values: DataFrame, n: int = 8) -> DataFrame:
     """Each object with its first n attributes by name: (id, attributes, n_attributes)."""
-    ranked = values.withColumn("place", F.row_number().over(Window.partitionBy("subject").orderBy("attribute", "literal")))
-    kept = ranked.groupBy("subject").agg(
-        F.array_sort(F.collect_list(F.when(F.col("place") <= n, F.struct("place", "attribute", "literal")))).alias("a"), F.count("*").alias("n_attributes")
-    )
+    # the filter on the rank lets each task keep n of a subject before the exchange; all are counted apart
+    first = values.withColumn("place", F.row_number().over(Window.partitionBy("subject").orderBy("attribute", "literal"))).where(F.col("place") <= n)
+    listed = first.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("place", "attribute", "literal"))).alias("a"))
+    kept = values.groupBy("subject").agg(F.count("*").alias("n_attributes")).join(listed, "subject")
     out = objects.select("id").join(kept, F.col("id") == F.col("subject"), "left")
     return out.select("id", F.coalesce(F.transform("a", lambda x: F.concat_ws("=", x["attribute"], x["literal"])), F.array().cast("array<string>")).alias("attributes"), F.coalesce("n_attributes", F.lit(0)).alias("n_attributes"))
 

@@ -34,14 +34,18 @@ def packets(items: DataFrame, key: str, rank: str, most_bytes: int, fields: Sequ
     Trimming is from the end and is counted.
     """
     body = F.struct(rank, *fields)
+    counts = items.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
     sized = items.withColumn("__b", F.octet_length(F.to_json(body)) + 1)
     grain = Window.partitionBy(key)
+    # an item takes 2 bytes at least: more than half as many as the bytes cannot fit, and go before the exchange
+    sized = sized.withColumn("__place", F.row_number().over(grain.orderBy(rank))).where(F.col("__place") <= most_bytes // 2 + 1)
     run = sized.withColumn("__sum", F.sum("__b").over(grain.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)) + 1)
     fits = F.col("__sum") <= most_bytes
     out = run.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(fits, body))).alias("items"), F.count_if(fits).alias("n_items"), F.count_if(~fits).alias("n_omitted"), F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0)).alias("bytes"),
+        F.array_sort(F.collect_list(F.when(fits, body))).alias("items"), F.count_if(fits).alias("n_items"), F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0)).alias("bytes"),
     )
-    return out.where("n_items > 0")
+    out = out.where("n_items > 0").join(counts, F.col(key).eqNullSafe(F.col("__key")))
+    return out.select(key, "items", "n_items", (F.col("__n") - F.col("n_items")).alias("n_omitted"), "bytes")
 
 
 def distinct_packets(found: DataFrame, key: str) -> DataFrame:

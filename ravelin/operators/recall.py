@@ -47,6 +47,16 @@ def shared_values(words: DataFrame, fanout: int = 32) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.count("*").alias("common_values"), F.bool_and(full_match(F.col("value"), SHAPES["numeric"])).alias("numeric_only"))
 
 
+def narrow(rows: DataFrame, key: Sequence[str], fanout: int) -> DataFrame:
+    """Rows whose key stands in 2 to ``fanout`` of them.
+
+    Keys are counted with partial aggregation first and the rows of all others dropped, so that no
+    task gathers a key that is then thrown away for its size.
+    """
+    counted = rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n").between(2, fanout)).drop("__n")
+    return rows.join(counted, list(key), "left_semi")
+
+
 def widely_held(words: DataFrame, fanout: int = 32) -> DataFrame:
     """One row: the number of values that more than ``fanout`` fields hold."""
     return words.groupBy("value").agg(F.count_distinct("field").alias("n")).where(F.col("n") > fanout).agg(F.count("*").alias("high_fanout_values"))
@@ -81,7 +91,6 @@ def branches(source: DataFrame, target: DataFrame, source_field: str, target_fie
 def json_leaves(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
     """(path, value) of the string leaves of JSON objects in a column; lists are not entered."""
     level = df.select(F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(f"`{column}`").cast("string")).alias("v"))
-    level.createOrReplaceTempView("__ravelin_json_0")
     out = None
     for _ in range(min(depth, 16)):
         level = level.where("schema_of_variant(v) LIKE 'OBJECT%'").selectExpr("path", "v")
@@ -101,6 +110,7 @@ def alias_pairs(values: DataFrame, fanout: int = 8) -> DataFrame:
     names = F.concat_ws(".", "table", "field")
     keys = values.select("table", names.alias("name"), "value", F.explode(folded_items("value")).alias("key")).distinct()
     sides = keys.groupBy("key", "table", "name").agg(F.collect_set("value").alias("raws"))
+    # a key's holders are fields of the catalogue: few, however many rows have it
     held = sides.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "table", "raws"))).alias("h")).where(F.size("h").between(2, fanout))
     pairs = held.select("key", "h", F.posexplode("h").alias("i", "a"))
     pairs = pairs.select("key", "a", F.explode(F.slice("h", F.col("i") + 2, F.size("h"))).alias("b")).where("a.table != b.table")
@@ -119,8 +129,8 @@ def cue_pairs(names: DataFrame, fanout: int = 16, native: bool = False) -> DataF
     more; otherwise also the folded name and Han 2-grams.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{3,})"), F.lit(1)))
-    cues = names.select("id", F.explode(words if native else cues_of("name")).alias("cue"))
-    held = cues.groupBy("cue").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids").between(2, fanout))
+    cues = names.select("id", F.explode(words if native else cues_of("name")).alias("cue")).distinct()
+    held = narrow(cues, ["cue"], fanout).groupBy("cue").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pairs = held.select("cue", "ids", F.posexplode("ids").alias("i", "left"))
     pairs = pairs.select("cue", "left", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("right"))
     return pairs.groupBy("left", "right").agg(F.array_sort(F.collect_set("cue")).alias("cues"), F.count("*").alias("n_cues"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -58,7 +59,8 @@ def _references(plan: RelationPlan, value: Column) -> Column:
     listed = F.from_json(value, "array<string>")
     sound = F.schema_of_variant(F.try_parse_json(value)) == "ARRAY<STRING>"
     empty = F.regexp_replace(value, r"\s", "") == "[]"
-    split = F.split(value, F.lit("\\Q" + plan.delimiter + "\\E")) if plan.delimiter else F.array(value)
+    # re.escape escapes sign by sign, so that no delimiter can end the quotation
+    split = F.split(value, F.lit(re.escape(plan.delimiter))) if plan.delimiter else F.array(value)
     return F.when(F.ltrim(value).startswith("["), F.when(empty, F.array().cast("array<string>")).when(F.coalesce(sound, F.lit(False)), listed)).otherwise(split)
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import terms_of
+from ..sources.rows import materialise
 
 K1, B = 1.2, 0.75
+#: Terms up to which they are looked for in each text before its terms become rows.
+WANTED = 1000
 
 
 def ascii_terms(text: Column) -> Column:
@@ -34,10 +37,17 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
     asked = queries.select(F.col(f"`{query_id}`").alias("query_id"), F.explode(F.array_distinct(ascii_terms(F.col(f"`{query}`")) if native else terms_of(F.col(f"`{query}`")))).alias("term"))
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     terms = source.select("doc_id", (ascii_terms(F.col("t")) if native else terms_of("t")).alias("terms"))
-    corpus = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))  # one row
     wanted = asked.select("term").distinct()
-    found = terms.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term")
-    found = found.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    some = [r["term"] for r in wanted.limit(WANTED + 1).collect()]
+    hits = F.col("terms")
+    if len(some) <= WANTED:
+        among = F.array(*map(F.lit, some)).cast("array<string>")
+        hits = F.filter(hits, lambda x: F.array_contains(among, x))
+    # texts are read once: their length and the terms asked for are kept
+    terms = materialise(terms.select("doc_id", F.size("terms").alias("length"), hits.alias("hits")))
+    corpus = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    found = terms.select("doc_id", "length", F.explode("hits").alias("term"))
+    found = (found if len(some) <= WANTED else found.join(wanted, "term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

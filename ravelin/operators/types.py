@@ -11,13 +11,20 @@ from ..functions.formulas import parsed
 from ..functions.text import folded
 from ..sources.rows import materialise
 from .graphs import cyclic
+from .recall import narrow
 
 
-def equivalent_pairs(types: DataFrame, key: Sequence[str], id_col: str = "id", chain: bool = False) -> DataFrame:
-    """(left, right) of types with equal keys, left < right; with ``chain`` each is paired with the key's least only."""
-    groups = types.groupBy(*key).agg(F.array_sort(F.collect_set(id_col)).alias("ids")).where(F.size("ids") > 1)
+def equivalent_pairs(types: DataFrame, key: Sequence[str], id_col: str = "id", chain: bool = True) -> DataFrame:
+    """(left, right) of types with equal keys, left < right, each paired with the key's least.
+
+    That is membership in a class, a row a type however large the class is.  Without ``chain`` a class is
+    written out as all its pairs, which is for small classes only: one task holds the ids of a key.
+    """
     if chain:
-        return groups.select(F.col("ids")[0].alias("left"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("right"))
+        least = types.where(F.col(f"`{id_col}`").isNotNull()).groupBy(*key).agg(F.min(id_col).alias("left")).withColumnsRenamed({k: f"__{n}" for n, k in enumerate(key)})
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__{n}")) for n, k in enumerate(key)]
+        return types.join(least, same).where(F.col(f"`{id_col}`") != F.col("left")).select("left", F.col(f"`{id_col}`").alias("right")).distinct()
+    groups = types.groupBy(*key).agg(F.array_sort(F.collect_set(id_col)).alias("ids")).where(F.size("ids") > 1)
     rows = groups.select("ids", F.posexplode("ids").alias("i", "left"))
     return rows.select("left", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("right"))
 
@@ -30,8 +37,8 @@ def canonical(types: DataFrame, key: Sequence[str], id_col: str = "id") -> DataF
 
 def generalisations(types: DataFrame, within: Sequence[str], term_col: str, id_col: str = "id", fanout: int = 32, least: int = 2) -> DataFrame:
     """(left, right, shared_terms) of types in one group that share ``least`` terms and more; widely held terms do not count."""
-    terms = types.select(*within, F.col(id_col).alias("id"), F.explode(F.array_distinct(F.col(term_col))).alias("term"))
-    held = terms.groupBy(*within, "term").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids").between(2, fanout))
+    terms = types.select(*within, F.col(id_col).alias("id"), F.explode(F.array_distinct(F.col(term_col))).alias("term")).distinct()
+    held = narrow(terms, [*within, "term"], fanout).groupBy(*within, "term").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     rows = held.select("ids", F.posexplode("ids").alias("i", "left"))
     pairs = rows.select("left", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("right"))
     return pairs.groupBy("left", "right").agg(F.count("*").alias("shared_terms")).where(F.col("shared_terms") >= least)

@@ -110,7 +110,7 @@ def generalisations(children: DataFrame) -> DataFrame:
     Two children and more, of one root other than Measure and one unit, from
     distinct records, whose texts are equal once each loses its own term.
     """
-    rest = folded(F.regexp_replace("text", F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), " "))
+    rest = folded(F.replace("text", F.col("term"), F.lit(" ")))
     rows = children.withColumn("rest", rest).groupBy("parent_id").agg(
         F.count_distinct("type_id").alias("types"), F.count_distinct("record_id").alias("records"), F.count_distinct("term").alias("terms"),
         F.collect_set("root").alias("roots"), F.count_distinct(F.coalesce("unit", F.lit(""))).alias("units"), F.collect_set("rest").alias("rests"),

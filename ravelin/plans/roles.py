@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from ..functions.names import tokens
 
 #: Words of names by the role they tell.
-SENSITIVE = frozenset("password passwd pwd secret token credential credentials account_name connection_url private_key api_key ssn".split())
+SENSITIVE = frozenset("password passwd pwd secret token credential credentials account_name connection_url private_key access_key api_key auth_header authorization dsn ssn id_card passport email mail phone mobile telephone tel bank_card card_no".split())
+SENSITIVE_SAID = ("password", "secret", "credential", "access key", "private key", "e-mail", "email", "phone number", "密码", "口令", "密钥", "凭证", "凭据", "令牌", "身份证", "手机", "电话", "邮箱", "银行卡", "连接串", "隐私", "敏感")
 AUDIT_TIME = frozenset("created updated modified deleted inserted gmt".split())
 AUDIT_BY = frozenset("creator updater modifier operator".split())
 IDENTIFYING = frozenset("id code key uuid no num ref pk fk".split())
@@ -24,6 +25,17 @@ FIELD_WORDS = {
     "unit": frozenset("unit uom currency".split()),
     "scope": frozenset("namespace scope tenant domain category type kind mode".split()),
 }
+#: What a comment says of a column, by field role; the name goes first.
+FIELD_SAID = {
+    "alias": ("alias", "synonym", "also known as", "别名", "同义词", "简称"),
+    "formula": ("formula", "calculated as", "公式", "计算方式"),
+    "description": ("description", "definition of", "meaning of", "定义", "描述", "说明", "口径"),
+    "unit": ("unit of", "currency", "单位", "币种"),
+    "scope": ("namespace", "tenant", "belongs to the", "命名空间", "租户", "所属", "类型", "类别"),
+    "name": ("name of", "display name", "名称", "标题"),
+}
+#: What a comment says of a column that refers to another table.
+REFERS_SAID = ("refers to", "reference to", "foreign key", "identifier of", "关联", "外键", "引用", "编码", "标识")
 TIME_WORDS = frozenset("date time day month year quarter period week ts timestamp".split())
 NUMERIC_TYPE = re.compile(r"\b(?:int|integer|bigint|smallint|tinyint|numeric|decimal|double|float|real|number|long)\b", re.IGNORECASE)
 TEMPORAL_TYPE = re.compile(r"\b(?:date|time|timestamp|datetime)\b", re.IGNORECASE)
@@ -59,8 +71,10 @@ def literal_type(declared: str) -> str:
 
 
 def sensitive(column: Column) -> bool:
+    """Does a column's name or comment say that its values are not to be shown?"""
     words = tokens(column.name)
-    return bool(set(words) & SENSITIVE) or "_".join(words) in SENSITIVE or any(w in column.comment.lower() for w in ("password", "secret", "credential"))
+    pairs = {"_".join(p) for p in zip(words, words[1:])}
+    return bool((set(words) | pairs) & SENSITIVE) or any(w in column.comment.lower() for w in SENSITIVE_SAID)
 
 
 def column_role(column: Column, table: Table, excluded: frozenset[str] = frozenset()) -> tuple[str, str, bool]:
@@ -83,14 +97,48 @@ def column_role(column: Column, table: Table, excluded: frozenset[str] = frozens
     return "unknown", "no rule applies", True
 
 
+def said_role(comment: str) -> str | None:
+    """The field role that a comment tells, if it tells one: of several the one said first."""
+    text = comment.casefold()
+    places = [(at, role) for role, said in FIELD_SAID.items() for word in said if (at := text.find(word)) >= 0]
+    return min(places)[1] if places else None
+
+
+def role_conflicts(table: Table) -> dict[str, tuple[str, str]]:
+    """Columns whose name and comment tell different field roles: (by name, by comment)."""
+    by_name = {c: role for role, columns in field_roles(Table(table.name, [Column(c.name, c.type) for c in table.columns], table.pk)).items() for c in columns}
+    said = {c.name: said_role(c.comment) for c in table.columns if not sensitive(c)}
+    return {c: (by_name[c], r) for c, r in said.items() if r and by_name.get(c) not in (None, r, "reference", "identity")}
+
+
+def context_roles(table: Table) -> dict[str, str]:
+    """What each column that may be shown is in a record: identity, reference, time, quantity, a field role, or unknown."""
+    by_field = {c: role for role, columns in field_roles(table).items() for c in columns}
+    out = {}
+    for c in table.columns:
+        role, _, _ = column_role(c, table)
+        if role in ("sensitive", "empty"):
+            continue
+        if role in ("audit_time", "audit_metadata"):
+            out[c.name] = role
+        elif c.name in by_field:
+            out[c.name] = by_field[c.name]
+        elif any(w in c.comment.casefold() for w in REFERS_SAID):
+            out[c.name] = "reference"
+        else:
+            out[c.name] = "time" if is_temporal(c) else "quantity" if is_numeric(c) else "unknown"
+    return out
+
+
 def field_roles(table: Table) -> dict[str, list[str]]:
-    """Columns by field role; an identifying suffix makes a column a reference, whatever else its name says."""
+    """Columns by field role, by their names, else by their comments; an identifying suffix makes a column a reference,
+    whatever else its name says."""
     out: dict[str, list[str]] = {}
     for c in table.columns:
         if sensitive(c):
             continue
         words = tokens(c.name)
-        role = next((r for r, known in FIELD_WORDS.items() if set(words) & known), None)
+        role = next((r for r, known in FIELD_WORDS.items() if set(words) & known), None) or said_role(c.comment)
         if words and words[-1] in IDENTIFYING or c.name in table.pk:
             role = "identity" if c.name in table.pk else "reference"
         elif role == "formula" and words[-1] in ("type", "mode", "kind"):

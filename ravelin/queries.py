@@ -633,7 +633,7 @@ def rrf_fusion(spark, d):
 
 @query("SELECT a.p_partkey AS \"left\", b.p_partkey AS \"right\" FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def type_equivalence_pairs(spark, d):
-    return types.equivalent_pairs(table(spark, d, "part"), ["p_brand", "p_type", "p_size"], "p_partkey")
+    return types.equivalent_pairs(table(spark, d, "part"), ["p_brand", "p_type", "p_size"], "p_partkey", chain=False)
 
 
 @query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS canonical_id FROM part")

@@ -13,7 +13,7 @@ from pathlib import Path
 BERTHS = [("1", "Ostend", "ferry quay"), ("2", "Ostend", "coal pier"), ("1", "Bergen", "north wall"), ("3", "Bergen", "slip"), ("3", "Bergen", "slip, widened"), ("4", "Bergen", "dry dock")]
 #: Port, stage and berth of ten calls, which further ones repeat: a found berth, one in the other port, one not moored, a missing and
 #: a doubled berth, no stage, an empty reference, and three more.
-CALLS = [("Ostend", "moored", "2"), ("Bergen", "moored", "1"), ("Bergen", "sailing", "4"), ("Ostend", "moored", "9"), ("Bergen", "moored", "3"), ("Ostend", None, "1"), ("Ostend", "moored", ""), ("Bergen", "moored", "4"), ("Ostend", "moored", "1"), ("Ostend", "sailing", "2")]
+CALLS = [("Ostend", "moored", "2"), ("Bergen", "moored", "1"), ("Bergen", "sailing", "H2"), ("Ostend", "moored", "9"), ("Bergen", "moored", "3"), ("Ostend", None, "1"), ("Ostend", "moored", ""), ("Bergen", "moored", "4"), ("Ostend", "moored", "1"), ("Ostend", "sailing", "K1")]
 #: (call, berth) of the first ten calls, by row.
 LINKS = [(1, 2), (2, 3), (8, 6), (9, 1)]
 TERMS = [("1", "tonnage"), ("2", "rate"), ("3", "days"), ("4", "rebate")]

@@ -13,9 +13,11 @@ ROW = "__row"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is configured."""
+    """The folder all executors share; where none is configured, a private one of a local session, else an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

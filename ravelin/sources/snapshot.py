@@ -41,17 +41,33 @@ def snapshot_id(files: dict[str, str]) -> str:
     return hashlib.sha256(canonical(files).encode()).hexdigest()
 
 
-def file_hashes(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """SHA-256 of whole files, read by Spark."""
-    if not paths:
-        return {}
-    rows = spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("h"))
-    return {r["path"]: r["h"] for r in rows.collect()}
+#: Bytes of a file that is hashed in one piece.
+WHOLE = 1 << 28
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; an unquoted empty cell is null, a quoted one ''.  A BOM is dropped."""
-    options = {"header": True, "inferSchema": False, "multiLine": True, "nullValue": NULL, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
+def file_hashes(spark: SparkSession, paths: Sequence[str], whole: int = WHOLE) -> dict[str, str]:
+    """A digest of each file, read by Spark: SHA-256 of its bytes, or, beyond ``whole`` bytes, of its length
+    and of the digests of the lines of each of its splits, put in order, so that no task holds a large file."""
+    if not paths:
+        return {}
+    files = spark.read.format("binaryFile").load(list(paths))
+    sizes = {r["path"]: r["length"] for r in files.select("path", "length").collect()}
+    found = {r["path"]: r["h"] for r in files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("h")).collect()}
+    for path in sorted(sizes.keys() - found.keys()):
+        lines = spark.read.text(path).select("value", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+        # a line counts by its words and its place in its split; sums are the same in any order
+        own = [F.xxhash64(F.lit(k), "value", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) for k in range(4)]
+        digest = lines.groupBy("file_block_start").agg(F.count("*").alias("n"), *(F.sum(h.cast("decimal(38,0)")).alias(f"s{k}") for k, h in enumerate(own)))
+        found[path] = hashlib.sha256(canonical([sizes[path], sorted([str(x) for x in r] for r in digest.collect())]).encode()).hexdigest()  # a row a split
+    return found
+
+
+def read_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+    """All columns as strings; an unquoted empty cell is null, a quoted one ''.  A BOM is dropped.
+
+    Where no cell holds a line break, ``quoted_newlines=False`` lets a file be read by many tasks.
+    """
+    options = {"header": True, "inferSchema": False, "multiLine": quoted_newlines, "nullValue": NULL, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
     df = spark.read.options(**{k: str(v) for k, v in options.items()}).csv(path)
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
@@ -92,7 +108,7 @@ def primary_key(constraint: str) -> list[str]:
     return [c.strip().strip('"`') for c in found[1].split(",")] if found else []
 
 
-def from_files(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> Snapshot:
+def from_files(spark: SparkSession, root: str, exclude: Sequence[str] = (), quoted_newlines: bool = True) -> Snapshot:
     """Import schema/tables/*.yaml with constraints and foreign keys, and data/[schema/]table.csv."""
     base = Path(root)
     named: dict[str, Table] = {}
@@ -125,7 +141,7 @@ def from_files(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> S
         paths[t] = str(inner if inner.exists() else outer)
     frames = {}
     for t, path in paths.items():
-        df = read_csv(spark, path)
+        df = read_csv(spark, path, quoted_newlines)
         if set(df.columns) != {c.name for c in named[t].columns} or len(df.columns) != len(named[t].columns):
             raise ValueError(f"{t}: the header is not the declared columns")
         frames[t] = materialise(in_file_order(df))
@@ -134,20 +150,34 @@ def from_files(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> S
     return Snapshot(snapshot_id(files), frames, named, files)
 
 
-def from_parquet(spark: SparkSession, folder: str, tables: dict[str, list[str]]) -> Snapshot:
+def content_digest(df: DataFrame) -> str:
+    """A digest of a table's schema and rows in any order; repeats count."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    sums = df.agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(k), *names).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4))).first()
+    return hashlib.sha256(canonical([df.schema.simpleString(), *map(str, sums)]).encode()).hexdigest()
+
+
+def from_parquet(spark: SparkSession, folder: str, tables: dict[str, list[str]], places: int | None = None) -> Snapshot:
     """Parquet tables as strings, with rows numbered by the given key columns.
 
-    Doubles and floats become decimals of two places first: their text is not the
-    same everywhere.  The id is that of names and schemas.
+    Numbers are written as Spark writes them, the shortest text that reads back the same; ``places``
+    rounds doubles and floats to so many first, for comparison with systems that write them otherwise.
+    Lists, structs and maps are written as JSON.  The id is that of names, schemas and contents.
     """
-    frames, named = {}, {}
+    frames, named, files = {}, {}, {}
     for t, order in tables.items():
         df = spark.read.parquet(f"{folder}/{t}.parquet")
-        numbered = number_rows(df, order)
-        texts = [(F.col(c).cast("decimal(18,2)") if kind in ("double", "float") else F.col(c)).cast("string").alias(c) for c, kind in df.dtypes if not kind.startswith(("array", "struct", "map"))]
-        frames[t] = numbered.select(ROW, *texts)
-        named[t] = Table(t, [Field(c, kind) for c, kind in df.dtypes if not kind.startswith(("array", "struct", "map"))])
-    return Snapshot(snapshot_id({t: f.schema.simpleString() for t, f in frames.items()}), frames, named, {})
+
+        def text(c: str, kind: str) -> Column:
+            x = F.col(f"`{c}`")
+            if kind.startswith(("array", "struct", "map")):
+                return F.to_json(x, {"ignoreNullFields": "false"})
+            return (x.cast(f"decimal(38,{places})") if places is not None and kind in ("double", "float") else x).cast("string")
+
+        frames[t] = number_rows(df, order).select(ROW, *(text(c, kind).alias(c) for c, kind in df.dtypes))
+        named[t] = Table(t, [Field(c, kind) for c, kind in df.dtypes])
+        files[t] = content_digest(frames[t].drop(ROW))
+    return Snapshot(snapshot_id(files), frames, named, files)
 
 
 def record_id(table: str, key: Sequence[str], snapshot: str, row: str = ROW) -> Column:

@@ -96,6 +96,27 @@ def test_discovery_end_to_end(spark, tmp_path):
     assert few["status"] == "partial" and few["rules"][0]["channels"][0] == "declared_fk"
 
 
+def test_discovery_finds_selector_and_scope_by_itself(snap):
+    found = discovery.discover(snap)
+    mine = [r for r in found["rules"] if (r["source"], r["target"]) == (("harbour.calls", "berth"), ("harbour.berths", "berth_no"))]
+    assert {(tuple(r["selector"].items()), tuple(r["scope"].items())) for r in mine} >= {((), ()), ((), (("port", "port"),)), ((("stage", "moored"),), ()), ((("stage", "moored"),), (("port", "port"),))}
+    best = next(r for r in mine if r["selector"] and r["scope"])
+    assert {"branch", "scope", "value_overlap"} <= set(best["channels"]) and best["checks"]["unique_matches"] == len(demo.LINKS)
+    assert found["purposes"].keys() == snap.tables.keys()
+
+
+def test_discovery_looks_into_json_and_aliases(spark):
+    docs = [(i, json.dumps({"to": {"plant": f"p{i % 3}"}, "n": i}), "x") for i in range(1, 9)]
+    plants = [(1, "p0", "Rose", "rosa; dog-rose"), (2, "p1", "Oak", "quercus"), (3, "p2", "Elm", "ulmus")]
+    sales = [(1, "ROSA"), (2, "oak tree"), (3, "Quercus")]
+    frames = {"notes": spark.createDataFrame(docs, "__row long, body string, kind string"), "plants": spark.createDataFrame(plants, "__row long, code string, name string, aliases string"), "sales": spark.createDataFrame(sales, "__row long, item_name string")}
+    tables = {t: roles.Table(t, [roles.Column(c) for c in f.columns if c != "__row"]) for t, f in frames.items()}
+    found = discovery.discover(snapshot.Snapshot("s", frames, tables, {}))
+    rules = {(r["source"], r["target"], r["path"], r["transform"]): r for r in found["rules"]}
+    assert rules[("notes", "body"), ("plants", "code"), ("to", "plant"), "identity"]["status"] == "checked_technical"
+    assert rules[("sales", "item_name"), ("plants", "aliases"), (), "target_alias_items"]["checks"]["unique_matches"] == 2
+
+
 def test_coincident_numbers_stay_unresolved(spark):
     frames = {t: spark.createDataFrame([(i, str(i)) for i in range(1, 4)], "__row long, code string") for t in ("left", "right")}
     s = snapshot.Snapshot("s", frames, {t: roles.Table(t, [roles.Column("code", "text")]) for t in frames}, {})
@@ -276,3 +297,52 @@ def test_fact_candidates_say_how_they_were_found(spark):
     found, report = facts.fact_candidates(df, ["k"], ["v", "w"], 5, most=10)
     assert {k: r["method"] for k, r in report.items()} == {"v": "seeded", "w": "exact"}
     assert Counter(r["value_column"] for r in found.collect()) == {"v": 3, "w": 2}
+
+
+def test_sensitive_columns_and_roles_by_comment():
+    hidden = ["email", "contactPhone", "mobile", "id_card", "db_dsn", "access_key", "auth_header", "user_password"]
+    shown = ["title", "mailbox_count", "key", "card"]
+    assert all(roles.sensitive(roles.Column(c)) for c in hidden) and not any(roles.sensitive(roles.Column(c)) for c in shown)
+    assert roles.sensitive(roles.Column("c1", comment="用户手机号")) and not roles.sensitive(roles.Column("c1", comment="用户名称"))
+    t = roles.Table("t", [roles.Column("c1", comment="指标名称"), roles.Column("c2", comment="指标的定义"), roles.Column("c3", comment="关联指标"), roles.Column("amount", "decimal"), roles.Column("title", comment="计算公式"), roles.Column("day", "date"), roles.Column("email"), roles.Column("x")])
+    assert roles.context_roles(t) == {"c1": "name", "c2": "description", "c3": "reference", "amount": "quantity", "title": "name", "day": "time", "x": "unknown"}
+    assert roles.role_conflicts(t) == {"title": ("name", "formula")} and roles.row_purpose(t)[0] == "definition_data"
+
+
+def test_parquet_snapshots_keep_numbers_and_follow_contents(spark, tmp_path):
+    rows = [(1, 1.239, [1, None]), (2, 0.001, None), (3, None, [])]
+    ids = []
+    for name, data in (("a", rows), ("b", rows[::-1]), ("c", [(1, 1.24, [1, None]), *rows[1:]])):
+        spark.createDataFrame(data, "k long, x double, l array<int>").write.parquet(str(tmp_path / name / "t.parquet"))
+        ids.append(snapshot.from_parquet(spark, str(tmp_path / name), {"t": ["k"]}))
+    got = [tuple(r) for r in ids[0].frames["t"].orderBy("__row").collect()]
+    assert [(r[0], r[1], r[3]) for r in got] == [(1, "1", "[1,null]"), (2, "2", None), (3, "3", "[]")] and [r[2] and float(r[2]) for r in got] == [1.239, 0.001, None]
+    assert ids[0].id == ids[1].id != ids[2].id
+    assert snapshot.from_parquet(spark, str(tmp_path / "a"), {"t": ["k"]}, places=2).frames["t"].where("k = '1'").first()["x"] == "1.24"
+
+
+def test_large_files_are_hashed_by_their_splits(spark, tmp_path):
+    for name, text in (("a", "x\ny\n" * 500), ("b", "x\ny\n" * 500), ("c", "y\nx\n" * 500)):
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / n) for n in "abc"]
+    small, large = (sorted(snapshot.file_hashes(spark, paths, w).items()) for w in (snapshot.WHOLE, 10))
+    for (_, a), (_, b), (_, c) in (small, large):
+        assert a == b != c
+    assert snapshot.read_csv(spark, paths[0], quoted_newlines=False).count() == 999
+
+
+def test_no_private_folder_on_a_cluster(monkeypatch):
+    from ravelin.sources import rows
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        rows.shared_dir(Session())
