@@ -2,7 +2,8 @@
 
 A unit is a quotient of products of factors.  A factor is a symbol, or a word made of an
 optional power word, an optional prefix word and a base word, with an optional power
-behind it.  Symbols are taken as they stand, since case tells SI symbols apart.
+behind it.  Symbols are taken as they stand, since case tells SI symbols apart; white space
+says nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ PREFIXES = {"千": "k", "兆": "M", "毫": "m", "微": "µ", "厘": "c", "分":
 POWERS = {"平方": 2, "立方": 3, "square": 2, "cubic": 3}
 #: Words that name a prefixed unit without saying so.
 WHOLE = {"公斤": "kg", "公里": "km"}
-_OVER, _TIMES = re.compile(r"/|每|\bper\b"), re.compile(r"[·*⋅∙×]|(?<=\S)\s+(?=\S)")
+_OVER, _TIMES, _SPACE = re.compile(r"/|每|(?<=\s)per(?=\s)"), re.compile(r"[·*⋅∙×]"), re.compile(r"\s+")
 _POWER = re.compile(r"\^?(-?\d+)\Z")
 
 
@@ -35,7 +36,7 @@ def _factor(word: str) -> tuple[str, int]:
         return WHOLE[name], power
     for text, own in POWERS.items():
         if name.startswith(text) and name != text:
-            inner, more = _factor(name[len(text) :].strip())
+            inner, more = _factor(name[len(text) :])
             return inner, own * power * more
     single = name[:-1] if name.endswith("s") and name[:-1] in BASES else name
     if single in BASES:
@@ -72,8 +73,7 @@ def unit(value: str | None) -> str:
     text = unicodedata.normalize("NFKC", value or "").replace("μ", "µ").strip()
     sides = []
     for part in _OVER.split(text):
-        words = [w.strip() for w in _TIMES.split(part.strip()) if w.strip()]
-        words = [words[0] + " " + words[1], *words[2:]] if len(words) > 1 and words[0] in POWERS else words
+        words = [w for w in _TIMES.split(_SPACE.sub("", part)) if w]
         sides.append(_written([_factor(x) for w in words for x in _runs_of_words(w)]))
     return "/".join(sides) if any(sides) else ""
 

@@ -133,7 +133,7 @@ def test_bindings_need_one_type(spark):
 
 
 def test_units_and_lexical():
-    assert [units.unit(x) for x in ("千瓦时", "千瓦·时", "kW·h", "kWh", "m²", "平方米", "square metres", "元/千瓦时", "tons", "毫米", "N·m", "m s^-1", "℃", "摄氏度", "吨每天", " ")] == ["kWh", "kWh", "kWh", "kWh", "m2", "m2", "m2", "CNY/kWh", "t", "mm", "N·m", "m·s-1", "°C", "°C", "t/d", ""]
+    assert [units.unit(x) for x in ("千瓦时", "千瓦·时", "kW·h", "kWh", "m²", "平方米", "square metres", "元/千瓦时", "tons", "毫米", "N·m", "m·s^-1", "kg per m3", "M W", "℃", "摄氏度", "吨每天", " ")] == ["kWh", "kWh", "kWh", "kWh", "m2", "m2", "m2", "CNY/kWh", "t", "mm", "N·m", "m·s-1", "kg/m3", "MW", "°C", "°C", "t/d", ""]
     assert units.unit("公斤 / 立方米") == "kg/m3" and units.unit("MW") != units.unit("mW") and units.unit(None) == ""
     assert lexical.is_member('["A b", "c"]', "a  B") and lexical.is_member("x; Foo，y", "foo")
     assert not lexical.is_member("not foo; x", "foo") and not lexical.is_member("foobar", "foo") and not lexical.is_member("", "")
