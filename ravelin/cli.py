@@ -1,4 +1,4 @@
-"""Command line: discover references in a folder, write a demo, export a catalogue."""
+"""Command line: discover references in a folder, by a configuration, write a demo, export a catalogue."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ def main(args: list[str] | None = None) -> int:
     d.add_argument("--output", default="-")
     d.add_argument("--budget", type=int, default=50)
     d.add_argument("--exclude", action="append", default=[], help="schema.table.column that is never read into results")
+    b = commands.add_parser("build", help="the run that a configuration file describes")
+    b.add_argument("config")
     m = commands.add_parser("make-demo", help="write a small folder to try")
     m.add_argument("folder")
     m.add_argument("--rows", type=int, default=10)
@@ -31,10 +33,15 @@ def main(args: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
+    from .plans.config import Config, load
+    from .plans.progress import stage
     from .sources.snapshot import from_files
 
+    config = load(a.config) if a.command == "build" else Config(a.folder, a.output, budget=getattr(a, "budget", 50), exclude=tuple(getattr(a, "exclude", [])))
     spark = SparkSession.builder.appName("ravelin").getOrCreate()
-    snapshot = from_files(spark, a.folder, getattr(a, "exclude", []))
+    with stage("import") as notes:
+        snapshot = from_files(spark, config.folder, config.exclude, config.quoted_newlines)
+        notes["tables"] = len(snapshot.tables)
     if a.command == "export-catalog":
         from .sources.catalog import proposals
 
@@ -42,8 +49,11 @@ def main(args: list[str] | None = None) -> int:
         return 0
     from .plans.discovery import discover
 
-    text = json.dumps(discover(snapshot, budget=a.budget), ensure_ascii=False, indent=1, default=str)
-    Path(a.output).write_text(text) if a.output != "-" else print(text)
+    with stage("discover") as notes:
+        found = discover(snapshot, budget=config.budget, **config.limits)
+        notes |= {"status": found["status"], "rules": len(found["rules"])}
+    text = json.dumps(found, ensure_ascii=False, indent=1, default=str)
+    Path(config.output).write_text(text) if config.output != "-" else print(text)
     return 0
 
 

@@ -6,6 +6,8 @@ import re
 
 #: Words of an identifier that say that it identifies, not what.
 GENERIC = frozenset("id code key uuid ref fk no num number name pk".split())
+#: Words of fields that hold keys, and of fields that hold names.
+KEYS, NAMES = frozenset("id key code ref field".split()), frozenset("name alias synonym".split())
 _WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_a-zA-Z]+")
 
 
@@ -49,3 +51,10 @@ def refers(source: tuple[str, str], target: tuple[str, str], comment: str = "")
         return True
     named = {table.lower(), singular(table.lower())}
     return own in named and len(b) == 1 and b[0] in GENERIC
+
+
+def plausible(source: tuple[str, str], target: tuple[str, str], comment: str = "") -> bool:
+    """May values that two fields share mean a reference?  Between tables always; within one, by their names only."""
+    a, b = set(tokens(source[1])), set(tokens(target[1]))
+    alike = any(a & words and b & words for words in (KEYS, NAMES))
+    return source != target and (source[0] != target[0] or alike or refers(source, target, comment))

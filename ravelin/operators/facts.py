@@ -42,6 +42,10 @@ def estimated_tuples(df: DataFrame, coordinates: Sequence[str], value: str) -> D
     return df.where(_complete(fields)).agg(F.approx_count_distinct(F.struct(*fields)).alias("estimated_tuples"))
 
 
+#: Seeds up to which their list is broadcast.
+MOST_SEEDS = 10_000
+
+
 def seeded_tuples(df: DataFrame, coordinates: Sequence[str], value: str, limit: int, row: str = "__row") -> DataFrame:
     """``limit`` tuples taken in MD5 order, each verified against every row at its coordinates.
 
@@ -51,11 +55,12 @@ def seeded_tuples(df: DataFrame, coordinates: Sequence[str], value: str, limit:
     rank = ranked_by(*(F.col(f"`{c}`") for c in fields))
     distinct = df.where(_complete(fields)).select(*coordinates, F.col(f"`{value}`").alias("observation_value"), rank.alias("__rank")).distinct()
     seeds = distinct.orderBy("__rank").limit(limit).drop("__rank")  # a seed list of a given length
-    there = df.where(_complete([value])).join(F.broadcast(seeds.select(*coordinates).distinct()), list(coordinates), "left_semi")
+    few = F.broadcast if limit <= MOST_SEEDS else (lambda x: x)
+    there = df.where(_complete([value])).join(few(seeds.select(*coordinates).distinct()), list(coordinates), "left_semi")
     grouped = there.groupBy(*coordinates, F.col(f"`{value}`").alias("observation_value"))
     grouped = grouped.agg(F.count("*").alias("source_row_count"), F.min(row).alias("source_row_min"), F.max(row).alias("source_row_max"))
     values = grouped.groupBy(*coordinates).agg(F.when(F.min("observation_value") == F.max("observation_value"), 1).otherwise(2).alias("distinct_value_count"))
-    return grouped.join(F.broadcast(seeds), [*coordinates, "observation_value"], "left_semi").join(values, list(coordinates))
+    return grouped.join(few(seeds), [*coordinates, "observation_value"], "left_semi").join(values, list(coordinates))
 
 
 def configuration_pairs(df: DataFrame, left: str, right: str, extra: Sequence[str] = (), row: str = "__row", limit: int | None = None) -> DataFrame:
@@ -124,22 +129,32 @@ def two_paths(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame
 MOST_TUPLES = 50_000
 
 
-def fact_candidates(df: DataFrame, coordinates: Sequence[str], values: Sequence[str], limit: int, row: str = "__row", most: int = MOST_TUPLES) -> tuple[DataFrame, dict]:
+def fact_candidates(df: DataFrame, coordinates: Sequence[str], values: Sequence[str], limit: int, row: str = "__row", most: int | None = MOST_TUPLES) -> tuple[DataFrame, dict]:
     """Tuples of several value columns, an equal share of ``limit`` each, and how each column was covered.
 
     A column with about ``most`` tuples at most is grouped whole and reports what
     its share leaves out; beyond that, seeds are taken, and what they leave out is
-    unknown.  Never more coordinates than rows hold.
+    unknown.  Without ``most`` all columns are grouped whole.  Never more coordinates than rows hold.
     """
     if limit < 1 or not values:
         raise ValueError("there is a value column and a limit of one at least")
     out, report = None, {}
     for k, value in enumerate(values):
         share = limit // len(values) + (k < limit % len(values))
-        estimate = estimated_tuples(df, coordinates, value).first()["estimated_tuples"]
-        exact = estimate <= most
+        estimate = None if most is None else estimated_tuples(df, coordinates, value).first()["estimated_tuples"]
+        exact = most is None or estimate <= most
         found = observed_tuples(df, coordinates, value, row, share) if exact else seeded_tuples(df, coordinates, value, share, row)
         report[value] = {"method": "exact" if exact else "seeded", "estimated_tuples": estimate, "share": share}
         part = found.select(F.lit(value).alias("value_column"), *coordinates, "observation_value", "source_row_count", "source_row_min", "source_row_max", F.col("distinct_value_count").cast("long").alias("distinct_value_count"))
         out = part if out is None else out.unionAll(part)
     return out, report
+
+
+def witnesses(links: DataFrame, n: int) -> DataFrame:
+    """The first n links, each target once before any twice, beside the number of targets there are.
+
+    Targets are counted apart by partial aggregation; no window runs over all links.
+    """
+    turn = Window.partitionBy("target_row").orderBy("source_row")
+    first = links.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).orderBy("turn", "source_row", "target_row").limit(n)
+    return first.join(F.broadcast(links.agg(F.count_distinct("target_row").alias("targets"))))  # one row

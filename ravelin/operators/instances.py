@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import decimal_of
+from .cards import signature
 
 
 def fact_instances(rows: DataFrame, tuples: DataFrame, coordinates: Sequence[str], value: str, residual: Sequence[str], type_id: str, row: str = "__row", most: int = 1000) -> DataFrame:
@@ -103,3 +104,19 @@ def edges(links: DataFrame, sources: DataFrame, targets: DataFrame, predicate: s
 def slot_assertions(bound: DataFrame, table: str) -> DataFrame:
     """(subject, attribute, literal) of the slots of template bindings (row, slots)."""
     return bound.select(F.concat(F.lit(f"{table}:"), F.col("row").cast("string")).alias("subject"), F.explode("slots").alias("attribute", "literal"))
+
+
+def replayed_memberships(found: DataFrame, rows: DataFrame, meaning: Sequence[str], row: str = "__row") -> DataFrame:
+    """Memberships (row, type_id, template_row, fingerprint) read again: with ``reason``, null where they hold.
+
+    The fingerprint is ``cards.signature`` of the meaning when the membership was made; both the row
+    and the row that stands for the type must still have it.
+    """
+    now = rows.select(F.col(row).alias("row"), signature(meaning).alias("now"))
+    there = now.select(F.col("row").alias("template_row"), F.col("now").alias("template_now"))
+    both = found.join(now, "row", "left").join(there, "template_row", "left")
+    reason = (
+        F.when(F.col("now").isNull(), "row_gone").when(F.col("template_now").isNull(), "template_gone")
+        .when(F.col("now") != F.col("fingerprint"), "row_changed").when(F.col("template_now") != F.col("fingerprint"), "template_changed")
+    )
+    return both.select(*found.columns, reason.alias("reason"))

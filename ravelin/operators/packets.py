@@ -121,3 +121,14 @@ def instance_coverage(instances: DataFrame, types: DataFrame, assertions: DataFr
     named = assertions.select(F.explode(F.array("subject", "object")).alias("id"))
     alone = instances.join(named, "id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("instances_without_assertions").alias("kind"), "n")
     return kinds.unionAll(bare).unionAll(alone)
+
+
+def proven(bound: DataFrame) -> DataFrame:
+    """Bound slots (binding_id, slot, status, target_id) with a proof: a digest that only the same binding gives again."""
+    return bound.where("status = 'bound'").withColumn("proof", F.sha2(F.to_json(F.struct("binding_id", "slot", "target_id")), 256))
+
+
+def still_proven(earlier: DataFrame, now: DataFrame) -> DataFrame:
+    """Earlier proven slots with ``holds``: whether the bindings made now prove them again."""
+    again = proven(now).select("proof").distinct().withColumn("holds", F.lit(True))
+    return earlier.join(again, "proof", "left").withColumn("holds", F.coalesce("holds", F.lit(False)))

@@ -125,3 +125,38 @@ def even_sample(df: DataFrame, rows: int, n: int, row: str = "__row") -> DataFra
         raise ValueError("a sample has a row at least")
     at = sorted({1 + k * max(0, rows - 1) // max(1, n - 1) for k in range(min(n, rows))})
     return df.where(F.col(row).isin(at))
+
+
+def named_sample(df: DataFrame, names: Sequence[str], n: int, row: str = "__row") -> DataFrame:
+    """Up to n rows with a name, (row, name), in MD5 order of the first of their names that is not blank."""
+    name = F.coalesce(*(F.when(F.trim(c) != "", c) for c in (F.col(f"`{x}`").cast("string") for x in names)))
+    return df.select(F.col(row).alias("row"), name.alias("name")).where("name IS NOT NULL").orderBy(ranked_by(F.col("name")), "row").limit(n)
+
+
+#: A year, a day, a month or a quarter written as text.
+TEMPORAL = r"(?:19|20)[0-9]{2}(?:[-/][0-9]{1,2}(?:[-/][0-9]{1,2})?|[Qq][1-4]|年(?:[0-9]{1,2}月|第?[一二三四1-4]季度)?)?"
+#: Share of usable values, in per cent, that must be of that shape.
+TEMPORAL_SHARE = 80
+
+
+def temporal_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, usable, temporal_values, temporal): do the values of a column say when?  One pass, no exchange of rows."""
+    tests = {c: F.trim(F.col(f"`{c}`").cast("string")) for c in columns}
+    found = df.agg(*(F.struct(F.count_if(v != "").alias("u"), F.count_if(full_match(v, TEMPORAL)).alias("t")).alias(f"c{k}") for k, v in enumerate(tests.values())))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{k}.u").alias("usable"), F.col(f"c{k}.t").alias("temporal_values")) for k, c in enumerate(columns))))
+    out = found.select(rows.alias("r")).select("r.*")
+    return out.withColumn("temporal", (F.col("usable") > 0) & (F.col("temporal_values") * 100 >= F.col("usable") * TEMPORAL_SHARE))
+
+
+def key_probe(df: DataFrame, columns: Sequence[str], separator: str = "|") -> DataFrame:
+    """One row: distinct keys as tuples, as joined text, and whether joining them makes different keys equal."""
+    there = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    text = F.concat_ws(separator, *(F.col(f"`{c}`").cast("string") for c in columns))
+    out = there.agg(F.count_distinct(F.struct(*columns)).alias("tuple_keys"), F.count_distinct(text).alias("joined_keys"))
+    return out.withColumn("joining_is_safe", F.col("tuple_keys") == F.col("joined_keys"))
+
+
+def code_probe(df: DataFrame, column: str, value: str) -> DataFrame:
+    """One row: rows whose cell is the value, and rows whose cell is the same number: 1 is not 001."""
+    v = F.col(f"`{column}`").cast("string")
+    return df.agg(F.count_if(v == value).alias("raw_matches"), F.count_if(F.expr(f"try_cast(`{column}` AS decimal(38,0))") == F.lit(value).try_cast("decimal(38,0)")).alias("number_matches"))

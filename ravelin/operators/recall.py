@@ -9,9 +9,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import cues_of, folded_items
-from ..functions.values import SHAPES, full_match, join_usable
+from ..functions.values import SHAPES, full_match, join_usable, ranked_by
 
 
 def dictionary(tables: dict[str, DataFrame], fields: Sequence[tuple[str, str]], longest: int = 96) -> DataFrame:
@@ -47,6 +48,16 @@ def shared_values(words: DataFrame, fanout: int = 32) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.count("*").alias("common_values"), F.bool_and(full_match(F.col("value"), SHAPES["numeric"])).alias("numeric_only"))
 
 
+def sampled(words: DataFrame, n: int) -> DataFrame:
+    """Up to ``n`` values of each field of a dictionary, in MD5 order, with how many the field has.
+
+    Each task keeps n of a field before the exchange.
+    """
+    sizes = words.groupBy("field").agg(F.count("*").alias("of"))
+    order = Window.partitionBy("field").orderBy(ranked_by(F.col("value")), "value")
+    return words.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= n).drop("__at").join(sizes, "field")
+
+
 def narrow(rows: DataFrame, key: Sequence[str], fanout: int) -> DataFrame:
     """Rows whose key stands in 2 to ``fanout`` of them.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,11 +83,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), F.round(dot(a, b) / size, 9))
 
 
+def among(cards: DataFrame, kinds: Sequence[str] = (), tables: Sequence[str] = (), roots: Sequence[str] = (), scope: str | None = None, without: DataFrame | None = None) -> DataFrame:
+    """Cards (doc_id, kind, table_name, root, scope) that a search may find; nothing said, nothing left out.
+
+    A scope admits its own cards and those of none.  ``without`` holds doc_ids, as a frame of any
+    size.  It goes before the scores, so that the k best are of these.
+    """
+    for column, wanted in (("kind", kinds), ("table_name", tables), ("root", roots)):
+        cards = cards.where(F.col(column).isin(*wanted)) if wanted else cards
+    cards = cards.where(F.col("scope").isNull() | (F.col("scope") == scope)) if scope is not None else cards
+    return cards.join(without.select("doc_id"), "doc_id", "left_anti") if without is not None else cards
+
+
+#: Queries that ``nearest`` compares with all vectors.
+MOST_QUERIES = 10_000
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k vectors of highest cosine for each of a short list of queries, itself left out."""
+    """The k vectors of highest cosine for each of a short list of queries, itself left out.
+
+    The list is broadcast; one of more than ``MOST_QUERIES`` is refused.
+    """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q"))
     v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("__v"))
-    pairs = v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", cosine(F.col("__q"), F.col("__v")).alias("score"))
+    pairs = v.join(F.broadcast(q), F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", cosine(F.col("__q"), F.col("__v")).alias("score"))
     return top(pairs.where("score IS NOT NULL"), k)
 
 

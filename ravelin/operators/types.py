@@ -68,3 +68,9 @@ def calculation_status(bound: DataFrame) -> DataFrame:
     round_ = cyclic(edges).withColumn("circular", F.lit(True)).withColumnRenamed("node", "id")
     status = F.when(~F.col("all_bound"), "unresolved_operands").when(F.col("circular"), "cyclic_dependency").otherwise("accepted")
     return per.join(round_, "id", "left").select("id", status.alias("status"))
+
+
+def retracted(earlier: DataFrame, bound: DataFrame) -> DataFrame:
+    """Earlier dependencies (id, target_id) that the formulas as they are now no longer make."""
+    now = bound.where("status = 'bound'").select("id", "target_id").distinct()
+    return earlier.select("id", "target_id").distinct().join(now, ["id", "target_id"], "left_anti")

@@ -16,13 +16,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import refers
+from ..functions.names import plausible, refers
 from ..operators.profile import profile
 from ..operators.recall import alias_pairs, branches, dictionary, hinted_branches, json_references, shared_values
 from ..operators.reference import Reference, check, check_many
 from ..sources.rows import materialise
 from ..sources.snapshot import Snapshot
-from .budgets import fair_branches, fair_sources, weighted_turns, within_budget
+from .budgets import fair_branches, families_in_turn, targets_in_turn, weighted_turns, within_budget
 from .roles import Column, Table, column_role, field_roles, row_purpose
 
 AWAY = ("sensitive", "empty", "audit_time", "audit_metadata")
@@ -95,7 +95,7 @@ def propose(snapshot: Snapshot, tables: dict[str, Table], *, most: int = 2000, p
     at = {f"{t}.{c}": (t, c) for t, c in fields}
     for r in shared_values(words, fanout).collect():  # a row per pair of fields of the catalogue
         for a, b in ((r["left"], r["right"]), (r["right"], r["left"])):
-            if at[a][0] != at[b][0]:
+            if plausible(at[a], at[b], comments[at[a]]):
                 shared[at[a], at[b]] = r["common_values"], r["numeric_only"]
     for source in fields:
         targets = sorted((b for a, b in shared if a == source), key=lambda b: (-shared[source, b][0], b not in pk, b))
@@ -177,6 +177,7 @@ def _aliased(snapshot: Snapshot, tables: dict[str, Table], at: dict, per_source:
     pairs = sorted(((-r["shared_keys"], at[r["left"]], at[r["right"]]) for r in alias_pairs(values).collect()))  # a row a pair of fields
     # the side that lists aliases answers to them
     found = [Candidate(a, b, ("alias",), shared=-n, transform="target_alias_items" if a not in lists else "both_alias_items") for n, x, y in pairs for a, b in ((x, y), (y, x)) if b in lists]
+    found = targets_in_turn(found, lambda c: c.source, lambda c: c.target[0], lambda c: (-c.shared, c.target, c.transform))
     return found[:per_source], {"alias": max(0, len(found) - per_source)}
 
 
@@ -230,7 +231,9 @@ def rules(snapshot: Snapshot, found: Found, budget: int = 50, proposed: Sequence
     known = {c.id(snapshot.id): c for c in [*found.candidates, *(replace(c, channels=("proposed",)) for c in proposed)]}
     rank = lambda c: ("declared_fk" not in c.channels, "proposed" not in c.channels, "metadata" not in c.channels, c.numeric_only, -c.shared, c.source, c.target, c.selector, c.scope, c.transform, c.path)
     first = lambda c: "declared_fk" in c.channels and not c.conditioned or "proposed" in c.channels
-    order = sorted(filter(first, known.values()), key=rank) + fair_sources([c for c in known.values() if not first(c)], lambda c: c.source, rank)
+    family = lambda c: (c.source, c.target, c.scope)
+    # a family's variants are its selectors; every family has a turn before any has two
+    order = sorted(filter(first, known.values()), key=rank) + families_in_turn([c for c in known.values() if not first(c)], lambda c: ("metadata" not in c.channels, c.numeric_only), family, lambda c: c.source, rank)
     taken, left = within_budget(order, budget, lambda c: c.conditioned, lambda c: c.source[0], budget, lambda c: "declared_fk" in c.channels and not c.conditioned)
     out = []
     for c, counts in zip(taken, checked(snapshot, taken)):

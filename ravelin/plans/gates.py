@@ -269,3 +269,57 @@ def relation_id(root: str, source: str, target: str, parameters: dict[str, str]
     if root not in RELATION_ROOTS:
         raise ValueError(f"unknown relation root {root!r}")
     return "relation:" + hashlib.sha256(json.dumps([root, source, target, parameters or {}], sort_keys=True).encode()).hexdigest()[:24]
+
+
+def resolved(exact: DataFrame, matched: DataFrame) -> DataFrame:
+    """(record_id, type_id, scope, types, scopes): what a record is, by exact alignments (record_id, type_id, scope)
+    where it has any, else by those that templates matched."""
+    both = exact.withColumn("tier", F.lit(0)).unionByName(matched.withColumn("tier", F.lit(1)))
+    per = both.groupBy("record_id", "tier").agg(F.min("type_id").alias("type_id"), F.min("scope").alias("scope"), F.count_distinct("type_id").alias("types"), F.count_distinct("scope").alias("scopes"))
+    best = per.groupBy("record_id").agg(F.min_by(F.struct("type_id", "scope", "types", "scopes"), "tier").alias("r"))
+    return best.select("record_id", "r.*")
+
+
+def business_relations(pairs: DataFrame, types: DataFrame) -> DataFrame:
+    """Checked pairs (pair_id, predicate, source_record, target_record) made relations of types, with errors.
+
+    types: what ``resolved`` gives.  Both ends are of one type and one scope, two known scopes agree, and the ends differ.
+    """
+    end = lambda side: types.select(F.col("record_id").alias(f"{side}_record"), F.col("type_id").alias(f"{side}_type"), F.struct("scope", "types", "scopes").alias(side))
+    rows = pairs.join(end("source"), "source_record", "left").join(end("target"), "target_record", "left")
+    return judged(rows, {
+        "unknown_predicate": ~F.col("predicate").isin(*RELATION_ROOTS),
+        "source_has_no_type": F.col("source").isNull(), "target_has_no_type": F.col("target").isNull(),
+        "source_has_several_types": F.coalesce("source.types", F.lit(1)) > 1, "target_has_several_types": F.coalesce("target.types", F.lit(1)) > 1,
+        "several_scopes": F.greatest(F.coalesce("source.scopes", F.lit(0)), F.coalesce("target.scopes", F.lit(0))) > 1,
+        "scopes_differ": F.coalesce(F.col("source.scope") != F.col("target.scope"), F.lit(False)),
+        "one_type_at_both_ends": F.coalesce(F.col("source_type") == F.col("target_type"), F.lit(False)),
+    }).select("pair_id", "predicate", "source_type", "target_type", "errors", "accepted")
+
+
+#: What says that a field refers, that it does not, and that something defines.
+REFERS = r"(?i)\b(?:refers? to|reference to|references|foreign key|points? to|looks? up)\b|引用|关联|外键|指向"
+REFERS_NOT = r"(?i)\b(?:not|no|never|without)\b(?:\s+\w+){0,3}\s+(?:refer|reference|references|foreign key|point)\b|不引用|不关联|非外键|不指向"
+DEFINES = r"(?i)\b(?:definitions?|defines?|describes?|glossary|dictionary)\b|定义|释义|说明|口径|术语|字典|词典"
+
+
+def definition_references(decisions: DataFrame) -> DataFrame:
+    """Decisions that a record refers to the definition in another, on what is declared and said of both.
+
+    decisions: (decision_id, rule_status, paired, source_declaration, target_declaration, target_table_declaration,
+    source_texts, target_names, target_texts).  The rule is checked and the pair is one of its pairs; the source's
+    key, or a text of it that names the target, speaks of a reference and nothing denies it; the target's table or
+    a text of the target defines; and the target's key does not itself refer elsewhere.
+    """
+    d = decisions
+    says = lambda c, pattern: F.coalesce(F.col(c), F.lit("")).rlike(pattern)
+    names_it = lambda t: t.rlike(REFERS) & ~t.rlike(REFERS_NOT) & F.exists("target_names", lambda n: (F.trim(n) != "") & F.contains(t, n))
+    own_text = F.coalesce(F.exists("target_texts", lambda t: t.rlike(DEFINES) & ~t.rlike(REFERS)), F.lit(False))
+    denied = says("source_declaration", REFERS_NOT)
+    intended = says("source_declaration", REFERS) | F.coalesce(F.exists("source_texts", names_it), F.lit(False))
+    table_defines = says("target_table_declaration", DEFINES) & ~says("target_table_declaration", REFERS)
+    return judged(d, {
+        "rule_not_checked": ~F.col("rule_status").isin("checked_technical", "observed_subset"), "pair_not_checked": ~F.col("paired"),
+        "reference_denied": denied, "reference_not_said": ~intended,
+        "target_refers_elsewhere": says("target_declaration", REFERS) & ~(table_defines & own_text), "target_defines_nothing": ~(table_defines | own_text),
+    }).select("decision_id", "errors", "accepted")

@@ -924,12 +924,6 @@ def quantity_subject_guard(spark, d):
     return gates.quantity_subjects(said, "said").select("conv_id", "turn", "reason")
 
 
-@query()
-def fact_candidates(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("quantity"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"))
-    return facts.fact_candidates(lines, ["l_returnflag", "l_linestatus"], ["quantity", "price"], 200, "l_orderkey")[0]
-
-
 @query("""SELECT o_orderstatus AS source_type, c_mktsegment AS target_type, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def instance_edges(spark, d):
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")

@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.roles import Table, column_role
+from ..operators.retrieval import hashed_weights, rerank
+from ..plans.roles import Table, column_role, sensitive
 
 #: Generic types by the native type's beginning; arrays come before what they are arrays of.
 GENERIC_TYPES = (
@@ -52,3 +53,12 @@ def graph(spark: SparkSession, tables: dict[str, Table]) -> tuple[DataFrame, Dat
 def direct_mapping(tables: dict[str, Table]) -> list[dict]:
     """Every table a record type, every column an attribute of it: nothing of the source is lost."""
     return [{"table": t, "type": f"source_record_type:{t}", "attributes": {f"column:{t}.{c.name}": c.name for c in table.columns}} for t, table in sorted(tables.items())]
+
+
+def similar_tables(spark: SparkSession, tables: dict[str, Table], accepted: list[str], k: int = 5, native: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): for each table the k accepted ones described most alike.  It is context, not a relation."""
+    said = lambda t: " ".join([t.name, t.comment, *(c.comment or c.name for c in t.columns if not sensitive(c))])
+    texts = spark.createDataFrame([(n, said(t)) for n, t in sorted(tables.items())], "id string, text string")
+    weights = hashed_weights(texts, "id", "text", native=native)
+    pairs = [(q, a) for q in sorted(tables) for a in sorted(set(accepted)) if a != q]
+    return rerank(spark.createDataFrame(pairs, "query_id string, doc_id string"), weights, weights, k)

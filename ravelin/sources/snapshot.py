@@ -29,8 +29,8 @@ class Snapshot:
     files: dict[str, str]
 
     def context(self, rows: int = 3) -> dict[str, DataFrame]:
-        """A few rows of each table without sensitive columns."""
-        return {t: self.frames[t].select([c.name for c in table.columns if not sensitive(c)]).limit(rows) for t, table in self.tables.items()}
+        """The first rows of each table without sensitive columns."""
+        return {t: self.frames[t].where(F.col(ROW) <= rows).select([c.name for c in table.columns if not sensitive(c)]) for t, table in self.tables.items()}
 
 
 def canonical(value: object) -> str:
@@ -99,6 +99,23 @@ def load_yaml(text: str) -> object:
     return yaml.load(text, Loader)
 
 
+def sequence_prefix(path: str, limit: int, most_bytes: int = 8 << 20) -> tuple[list, bool]:
+    """(items, whole): the first items of a YAML file that is a list, read up to so many bytes.
+
+    An item that the bytes cut off is left out; ``whole`` says that nothing was.
+    """
+    with open(path, "rb") as f:
+        raw = f.read(most_bytes + 1)
+    cut = len(raw) > most_bytes
+    text = raw[:most_bytes].decode("utf-8-sig", errors="ignore")
+    if cut:
+        text = text[: max((m.start() for m in re.finditer(r"^- ", text, re.MULTILINE)), default=0)]
+    items = load_yaml(text) or []
+    if not isinstance(items, list):
+        raise ValueError(f"{path}: not a list")
+    return items[:limit], not cut and len(items) <= limit
+
+
 _PK = re.compile(r"primary\s+key\s*\(([^)]*)\)", re.IGNORECASE)
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ravelin import queries
+from ravelin import plan_queries, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,6 +27,10 @@ def plain(v):
     return v.replace(tzinfo=None) if isinstance(v, datetime.datetime) else v
 
 
+def test_both_modules_register():
+    assert all(name in queries.QUERIES for name in ("column_roles", "discovered_selectors")) and plan_queries.query is queries.query
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, sf, duck, name):
     df = queries.QUERIES[name](spark, sf)
