@@ -201,7 +201,7 @@ def included(source: DataFrame, target: DataFrame, source_field: str, target_fie
 
 def dangling(source: DataFrame, target: DataFrame, source_field: str, target_field: str) -> DataFrame:
     """Source rows whose usable value has no target (an anti join)."""
-    known = target.select(F.col(f"`{target_field}`").alias("__k"))
+    known = target.select(F.col(f"`{target_field}`").alias("__k")).distinct()  # a hot key is one row before the exchange
     return source.where(join_usable(F.col(f"`{source_field}`").cast("string"))).join(known, F.col(f"`{source_field}`") == F.col("__k"), "left_anti")
 
 

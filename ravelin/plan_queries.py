@@ -21,7 +21,7 @@ from .functions.text import cues_of, terms_of
 from .operators import cards, facts, graphs, instances, packets, profile, recall, reference, relations, retrieval, types
 from .plans import budgets, config, discovery, gates
 from .plans.roles import Column, Table, column_role, context_roles, literal_type, row_purpose
-from .queries import _DICT_SQL, _LINKS, SCHEMA_EDGES, _aliases, _dictionary, _metrics, _order_links, query, slot_bindings, table
+from .queries import _DICT_SQL, _LINKS, SCHEMA_EDGES, _aliases, _dictionary, _metrics, _order_links, query, table
 from .sources import catalog, external
 from .sources.rows import scratch
 from .sources.sinks import Sink, Stages
@@ -266,10 +266,10 @@ def key_probe(spark, d):
     return profile.key_probe(table(spark, d, "part").select(a.alias("a"), b.alias("b")), ["a", "b"])
 
 
-@query("SELECT count(*) FILTER (WHERE v = '007') AS raw_matches, count(*) FILTER (WHERE try_cast(v AS BIGINT) = 7) AS number_matches FROM (SELECT CASE p_size % 3 WHEN 0 THEN '00' || p_size WHEN 1 THEN p_size::VARCHAR ELSE 'no ' || p_size END AS v FROM part)")
+@query("SELECT count(*) FILTER (WHERE v = '007') AS raw_matches, count(*) FILTER (WHERE try_cast(v AS BIGINT) = 7) AS number_matches FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN '00' || p_size WHEN 1 THEN p_size::VARCHAR ELSE 'no ' || p_size END AS v FROM part)")
 def code_probe(spark, d):
-    size = F.col("p_size")
-    v = F.when(size % 3 == 0, F.concat(F.lit("00"), size.cast("string"))).when(size % 3 == 1, size.cast("string")).otherwise(F.concat(F.lit("no "), size.cast("string")))
+    size, third = F.col("p_size"), F.col("p_partkey") % 3
+    v = F.when(third == 0, F.concat(F.lit("00"), size.cast("string"))).when(third == 1, size.cast("string")).otherwise(F.concat(F.lit("no "), size.cast("string")))
     return profile.code_probe(table(spark, d, "part").select(v.alias("v")), "v", "007")
 
 
@@ -412,10 +412,11 @@ def retracted_dependencies(spark, d):
     return types.retracted(earlier, types.bind_formulas(formulas, names))
 
 
-@query("""WITH n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1)
-          SELECT s_suppkey AS binding_id, id AS target_id, s_suppkey % 2 <> 0 AS holds FROM supplier JOIN part ON p_partkey = s_suppkey * 3 JOIN n USING (p_name)""")
+@query("SELECT p_partkey AS binding_id, p_partkey AS target_id, p_partkey % 2 <> 0 AS holds FROM part WHERE p_size % 3 <> 0")
 def proven_slots(spark, d):
-    bound = slot_bindings(spark, d)
+    part, name = table(spark, d, "part"), F.concat_ws(" ", "p_name", "p_partkey")
+    slots = part.select(F.col("p_partkey").alias("binding_id"), F.lit("product").alias("slot"), F.when(F.col("p_size") % 3 == 0, "nothing").otherwise(name).alias("value"))
+    bound = packets.slot_targets(slots, part.select(F.col("p_partkey").alias("id"), name.alias("name")))
     now = bound.withColumn("target_id", F.when(F.col("binding_id") % 2 == 0, F.col("target_id") + 1).otherwise(F.col("target_id")))
     return packets.still_proven(packets.proven(bound), now).select("binding_id", "target_id", "holds")
 

@@ -243,9 +243,9 @@ def semi_inclusion(spark, d):
     return reference.included(table(spark, d, "orders"), table(spark, d, "events"), "o_custkey", "user_id")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT doc_id, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def anti_dangling(spark, d):
-    return reference.dangling(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    return reference.dangling(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "doc_id").select("doc_id", "n_chars")
 
 
 #: Parts as lists of aliases: name, brand and type, separated.

@@ -346,3 +346,76 @@ def test_no_private_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         rows.shared_dir(Session())
+
+
+def test_a_list_read_up_to_some_bytes_drops_what_is_cut(tmp_path):
+    from ravelin.sources.snapshot import sequence_prefix
+
+    path = tmp_path / "x.yaml"
+    path.write_text("- a: 1\n  b: 2\n- a: 3\n- a: 4\n")
+    assert sequence_prefix(str(path), 9) == ([{"a": 1, "b": 2}, {"a": 3}, {"a": 4}], True)
+    assert sequence_prefix(str(path), 2) == ([{"a": 1, "b": 2}, {"a": 3}], False)
+    assert sequence_prefix(str(path), 9, 20) == ([{"a": 1, "b": 2}], False) and sequence_prefix(str(path), 9, 3) == ([], False)
+    path.write_text("a: 1")
+    with pytest.raises(ValueError):
+        sequence_prefix(str(path), 9)
+
+
+def test_a_configuration_says_what_it_does_not_know(tmp_path):
+    from ravelin.plans.config import load
+
+    path = tmp_path / "run.yaml"
+    path.write_text("folder: data\noutput: out.json\nprofile: declared\n")
+    c = load(str(path))
+    assert (c.folder, c.output, c.limits) == (str(tmp_path / "data"), str(tmp_path / "out.json"), {"per_source": 0, "looks": 0})
+    for bad in ("folder: d\nfolders: e\n", "output: x\n", "folder: d\nprofile: wild\n", "folder: d\nlimits: {looks: -1}\n"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            load(str(path))
+
+
+def test_progress_tells_failures_too():
+    import io
+    import json
+
+    from ravelin.plans.progress import stage
+
+    out = io.StringIO()
+    with stage("a", out) as notes:
+        notes["rows"] = 3
+    with pytest.raises(KeyError), stage("b", out):
+        raise KeyError("x")
+    said = [json.loads(line) for line in out.getvalue().splitlines()]
+    assert [(x["stage"], x["event"]) for x in said] == [("a", "begin"), ("a", "done"), ("b", "begin"), ("b", "failed")] and said[1]["rows"] == 3
+
+
+def test_seeds_beyond_the_broadcast_bound_are_the_same(spark, monkeypatch):
+    from ravelin.operators import facts
+
+    df = spark.createDataFrame([(k, str(k % 4), str(k % 7)) for k in range(60)], "__row int, c string, v string")
+    take = lambda: sorted(map(tuple, facts.seeded_tuples(df, ["c"], "v", 9).collect()))
+    small = take()
+    monkeypatch.setattr(facts, "MOST_SEEDS", 1)
+    assert take() == small and len(small) == 9
+
+
+def test_a_long_list_of_queries_is_refused(spark, monkeypatch):
+    from ravelin.operators import retrieval
+
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    with pytest.raises(ValueError):
+        retrieval.nearest(vectors, vectors, 2)
+
+
+def test_a_table_may_refer_to_itself_by_keys(spark):
+    from pyspark.sql import functions as F
+
+    from ravelin.plans.discovery import discover
+    from ravelin.plans.roles import Column, Table
+    from ravelin.sources.snapshot import Snapshot
+
+    df = spark.range(1, 9).select(F.col("id").alias("__row"), F.concat(F.lit("n"), "id").alias("node_key"), F.concat(F.lit("n"), (F.col("id") / 2).cast("int")).alias("above_ref"), F.concat(F.lit("n"), "id").alias("shown"))
+    snapshot = Snapshot("s", {"tree": df}, {"tree": Table("tree", [Column("node_key"), Column("above_ref"), Column("shown")])}, {})
+    found = {(r["source"][1], r["target"][1]): r["checks"]["unique_matches"] for r in discover(snapshot, looks=0)["rules"]}
+    assert found[("above_ref", "node_key")] == 7 and not any("shown" in pair for pair in found)
