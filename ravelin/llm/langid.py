@@ -22,6 +22,8 @@ from .shared import held_out, share
 BUCKETS, GRAMS = 1 << 15, (1, 2, 3)
 #: Documents of a language that the model is fitted on, about, at most.
 FIT_PER_LANGUAGE = 3000
+#: Languages that one model may tell apart; its matrix then has 64 MB.
+MOST_LANGUAGES = 500
 #: Added to every count.
 SMOOTH = 0.5
 #: N-grams' worth of evidence that the score, not the decision, may rest on.
@@ -90,10 +92,15 @@ class Model:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on rows where ``learn`` holds and the language is not null."""
+    """Fit on rows where ``learn`` holds and the language is not null.
+
+    More than ``MOST_LANGUAGES`` different labels are an error: such a column holds something else.
+    """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
     known = known.where("learn AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}  # a row a language
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Model([], np.array([]), np.zeros((BUCKETS, 0)))
     rate = F.create_map([F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, FIT_PER_LANGUAGE / n))])

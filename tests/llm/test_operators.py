@@ -524,3 +524,12 @@ def test_empty_table(run, nothing):
 
 def test_empty_table_for_bpe(nothing):
     assert bpe.encode_decode(nothing, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
+
+
+def test_a_column_of_too_many_languages_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(4)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    assert len(langid.fit(docs, docs.doc_id.isNotNull()).languages) == 4
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.fit(docs, docs.doc_id.isNotNull())
