@@ -36,9 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also stand earlier are cut out; a document left without a word goes."""
-    found = substring_dedup.dedup(docs, whole=True).where("n_removed = 0 OR kept_text != ''")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    found = substring_dedup.dedup(docs, as_is=True).where("n_removed = 0 OR kept_text != ''")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return found.select([new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 

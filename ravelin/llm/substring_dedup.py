@@ -11,8 +11,9 @@ nonbranching path: pieces of it are found in each task, and pieces on one diagon
 of two documents that adjoin are joined by Spark.
 
 Edges meet by hashes (the 64 bits of the minimizer and 48 of the window's own; inside a
-chunk by 64 of the window).  Source coordinates then verify: the words at a path and
-those at its source are read from the rows, joined to both, and the SHA-256 of their words must agree for every path.
+chunk by 64 of the window).  Source coordinates then verify: the pass that removes words
+also reads, of every row, the words of its paths and those that others' paths have as
+their source, and the SHA-256 of all that name one source must agree with the source's.
 Where one does not, all paths are found anew under other hashes.
 
 Texts are dealt with in chunks of some megabytes.  Equal edges inside a chunk are
@@ -48,6 +49,8 @@ REMEMBER = 300_000
 LOOK_FILES, LOOK_ROWS, LOOK_SHARE, COMMON = 64, 1000, 64, 4
 #: Paths up to which they are broadcast to the rows; beyond, both sides are exchanged.
 BROADCAST_PATHS = 200_000
+#: A row's words in whose range sources are asked of one copy of the row (up to 64 copies), so that no list of them is long.
+DEAL = 4096
 #: Times that paths are found anew under other hashes before giving up.
 ATTEMPTS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,6 +132,7 @@ def windows(texts: list[bytes | None], words: Words, common: np.ndarray | None =
 
 
 _FLOW = "m long, doc long, rid long, pos int, ws binary, len int, src_rid long, src_pos int"
+_DIGESTS = pa.list_(pa.struct([("rid", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("own", pa.bool_()), ("digest", pa.binary())]))
 _PATHS = "rid long, pos int, len int, src_rid long, src_pos int"
 _KINDS = {"m": pa.int64(), "doc": pa.int64(), "rid": pa.int64(), "pos": pa.int32(), "ws": pa.binary(), "len": pa.int32(), "src_rid": pa.int64(), "src_pos": pa.int32()}
 
@@ -254,35 +258,6 @@ def _sized(small: DataFrame, n: int) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_PATHS else small
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (rid, text, spots) to (rid, pos, len, digest) of each spot's words."""
-    for batch in batches:
-        rid, pos, size, digest = [], [], [], []
-        for r, text, spots in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spots").to_pylist()):
-            ws = (text.as_py() or b"").split()
-            for x in spots:
-                rid.append(r)
-                pos.append(x["pos"])
-                size.append(x["len"])
-                digest.append(hashlib.sha256(b" ".join(ws[x["pos"] : x["pos"] + x["len"] + WINDOW - 1])).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], ["rid", "pos", "len", "digest"])
-
-
-def unlike(rows: DataFrame, paths: DataFrame, n: int) -> int:
-    """How many of the n paths have other words than their source; ``rows`` has (rid, text)."""
-    spots = paths.select("rid", "pos", "len").unionAll(paths.select("src_rid", "src_pos", "len")).distinct()
-    # a row's spots, in lists that no row of many sources can make long
-    asked = spots.groupBy("rid", (F.col("pos") % 64).alias("deal")).agg(F.collect_list(F.struct("pos", "len")).alias("spots")).select("rid", "spots")
-    read = rows.join(_sized(asked, 2 * n), "rid").mapInArrow(_digests, "rid long, pos int, len int, digest binary")
-    read = Cut(read)
-    own = read.df.withColumnRenamed("digest", "own")
-    source = read.df.select(F.col("rid").alias("src_rid"), F.col("pos").alias("src_pos"), "len", F.col("digest").alias("theirs"))
-    both = paths.join(own, ["rid", "pos", "len"], "left").join(source, ["src_rid", "src_pos", "len"], "left")
-    wrong = both.where("own IS NULL OR theirs IS NULL OR own != theirs").count()
-    read.drop()
-    return wrong
-
-
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> Cut:
     """(rid, id, text, doc) of each row, written once: rid tells rows apart, in order of the scan."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -290,24 +265,18 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> Cut:
     return Cut(rows, codec="zstd")
 
 
-def repeated_paths(stored: Cut, chunk: int = CHUNK) -> tuple[DataFrame, int]:
-    """Verified paths of edges that also start earlier, and their number: ``rid`` tells
-    the row, ``pos`` the first window, ``len`` the windows; ``src_*`` is where the
-    sequence starts first in the chunk or among the chunks' firsts.
+def repeated_paths(stored: Cut, chunk: int = CHUNK, seed: int = 0) -> Cut:
+    """Paths of edges that also start earlier, by hashes of the seed: ``rid`` tells the
+    row, ``pos`` the first window, ``len`` the windows; ``src_*`` is where the sequence
+    starts first in the chunk or among the chunks' firsts.
 
     Earlier is a smaller id (null last), then an earlier row, then an earlier word.
     """
     spark, rows = stored.spark, stored.df.select("rid", "id", "text")
-    for seed in range(ATTEMPTS):
-        common = spark.sparkContext.broadcast(common_minimizers(stored, chunk, seed))
-        sent = rows.mapInArrow(_ship_all(chunk, seed, common), _FLOW)
-        pieces = sent.repartition("m").sortWithinPartitions("m", F.asc_nulls_last("doc"), "rid", "pos").mapInArrow(_meet, _PATHS)
-        paths = Cut(_compacted(pieces))
-        n = paths.df.count()
-        if not n or not unlike(rows.select("rid", "text"), paths.df, n):
-            return paths.df, n
-        paths.drop()
-    raise RuntimeError(f"window hashes collided under {ATTEMPTS} seeds")
+    common = spark.sparkContext.broadcast(common_minimizers(stored, chunk, seed))
+    sent = rows.mapInArrow(_ship_all(chunk, seed, common), _FLOW)
+    pieces = sent.repartition("m").sortWithinPartitions("m", F.asc_nulls_last("doc"), "rid", "pos").mapInArrow(_meet, _PATHS)
+    return Cut(_compacted(pieces))
 
 
 def cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -319,25 +288,72 @@ def cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, removed, kept = [], [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist()):
-            ws = (text.as_py() or b"").split()
-            gone = cover(len(ws), [(x["pos"], x["len"]) for x in spans]) if spans else None
-            words.append(len(ws))
-            removed.append(0 if gone is None else int(gone.sum()))
-            kept.append(b" ".join(ws if gone is None else [w for w, g in zip(ws, gone.tolist()) if not g]).decode())
-        new = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-        # the text again only where it was asked for
-        whole = [batch.column("whole")] if "whole" in batch.schema.names else []
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), *new, *whole], ["doc", "n_words", "n_removed", "kept_text", "whole"][: 4 + len(whole)])
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, whole: bool = False) -> DataFrame:
+def _remove(as_is: bool):
+    """Rows with their own paths (``own``) and what others' paths begin at (``asked``) to what is kept, and to digests for ``unlike``.
+
+    A row that is asked for much comes several times, one after the other; only its ``first`` carries results.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ws = None, []
+        told = lambda x: hashlib.sha256(b" ".join(ws[x["pos"] : x["pos"] + x["len"] + WINDOW - 1])).digest()
+        for batch in batches:
+            at, words, removed, kept, digests = [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("rid", "deal", "own", "asked"))
+            for i, (rid, deal, own, asked, text) in enumerate(zip(*columns, batch.column("text").cast(pa.binary()))):
+                if rid != known:
+                    known, ws = rid, (text.as_py() or b"").split()
+                met = [{"rid": x["src_rid"], "pos": x["src_pos"], "len": x["len"], "own": True, "digest": told(x)} for x in own or []]
+                digests.append(met + [{"rid": rid, "pos": x["pos"], "len": x["len"], "own": False, "digest": told(x)} for x in asked or []])
+                if deal:
+                    at.append(None)
+                    words.append(None)
+                    removed.append(None)
+                    kept.append(None)
+                    continue
+                gone = cover(len(ws), [(x["pos"], x["len"]) for x in own]) if own else None
+                at.append(i)
+                words.append(len(ws))
+                removed.append(0 if gone is None else int(gone.sum()))
+                if gone is None:
+                    kept.append(text.as_py() if as_is else b" ".join(ws))
+                else:
+                    kept.append(b" ".join([w for w, g in zip(ws, gone.tolist()) if not g]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(at, pa.int64())), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([x is not None for x in at]), pa.array(digests, _DIGESTS)],
+                ["doc", "n_words", "n_removed", "kept_text", "first", "digests"],
+            )
+
+    return run
+
+
+def removed(stored: Cut, paths: DataFrame, n: int, as_is: bool = False) -> DataFrame:
+    """What ``_remove`` says of every stored row under the n paths."""
+    spot = lambda prefix, *more: F.struct(F.col(prefix + "pos").alias("pos"), "len", *more)
+    own = paths.select("rid", F.lit(0).cast("long").alias("deal"), spot("", "src_rid", "src_pos").alias("own"), F.lit(None).cast("struct<pos:int,len:int>").alias("asked"))
+    sources = paths.select(F.col("src_rid").alias("rid"), F.expr(f"src_pos div {DEAL} % 64").alias("deal"), spot("src_").alias("asked")).distinct()
+    # each row that is asked for has a deal 0, which carries its results
+    none = F.lit(None).cast(own.schema["own"].dataType)
+    dealt = sources.select("rid", "deal", none.alias("own"), "asked")
+    first = sources.where("deal > 0").select("rid", F.lit(0).cast("long").alias("deal"), none.alias("own"), F.lit(None).cast(sources.schema["asked"].dataType).alias("asked")).distinct()
+    spots = own.unionAll(dealt).unionAll(first).groupBy("rid", "deal").agg(F.collect_list("own").alias("own"), F.collect_list("asked").alias("asked"))
+    joined = stored.df.join(_sized(spots, 2 * n), "rid", "left").select("rid", "deal", "own", "asked", "text", "doc")
+    kind = stored.df.schema["doc"].dataType.simpleString()
+    return joined.mapInArrow(_remove(as_is), f"doc {kind}, n_words long, n_removed long, kept_text string, first boolean, digests array<struct<rid:bigint,pos:int,len:int,own:boolean,digest:binary>>")
+
+
+def unlike(done: DataFrame, n: int) -> int:
+    """How many of the n paths have no source, or stand among other words than their source's, or were not read."""
+    told = done.select(F.explode("digests").alias("x")).select("x.*")
+    met = told.groupBy("rid", "pos", "len").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.bool_or(~F.col("own")).alias("sourced"), F.count_if("own").alias("paths"))
+    right = met.where("sourced AND least = most").agg(F.sum("paths")).head()[0]
+    return n - (right or 0)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, as_is: bool = False) -> DataFrame:
     """A row per input row: ``doc`` (a struct of its columns but the text), n_words,
-    n_removed and kept_text, the kept words joined by one space; with ``whole``
-    the text as it was, too.
+    n_removed and kept_text, the kept words joined by one space; with ``as_is`` a
+    text that loses none stays as it was, white space and all.
 
     A null or empty text has no words and keeps none; texts under WINDOW words lose
     none, and a very long text is a chunk of its own; of repeated rows the later lose
@@ -345,11 +361,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     travel inside ``doc``.
     """
     stored = numbered(docs, id_col, text_col)
-    paths, n = repeated_paths(stored, chunk)
-    spans = paths.groupBy("rid").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
-    joined = stored.df.join(_sized(spans, n), "rid", "left").select("doc", "text", "spans", *([F.col("text").alias("whole")] if whole else []))
-    kind = stored.df.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(_remove, f"doc {kind}, n_words long, n_removed long, kept_text string" + (", whole string" if whole else ""))
+    results = ["doc", "n_words", "n_removed", "kept_text"]
+    for seed in range(ATTEMPTS):
+        paths = repeated_paths(stored, chunk, seed)
+        n = paths.df.count()
+        if not n:
+            return removed(stored, paths.df, n, as_is).select(*results)
+        done = Cut(removed(stored, paths.df, n, as_is), codec="zstd")
+        paths.drop()
+        if not unlike(done.df, n):
+            stored.drop()
+            return done.df.where("first").select(*results)
+        done.drop()
+    raise RuntimeError(f"window hashes collided under {ATTEMPTS} seeds")
 
 
 def oracle() -> str:

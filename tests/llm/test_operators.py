@@ -214,10 +214,29 @@ def test_substring_dedup_with_common_seeds_and_large_results(passages, monkeypat
 def test_paths_with_other_words_than_their_source_are_found(passages):
     docs, df = passages
     stored = substring_dedup.numbered(df, "doc_id", "text")
-    paths, n = substring_dedup.repeated_paths(stored, 2000)
-    paths = paths.cache()
-    assert n == paths.count() > 0 and substring_dedup.unlike(stored.df, paths, n) == 0
-    assert substring_dedup.unlike(stored.df, paths.withColumn("src_pos", F.col("src_pos") - 1), n) == n
+    paths = substring_dedup.repeated_paths(stored, 2000).df
+    n = paths.count()
+    wrong = lambda p: substring_dedup.unlike(substring_dedup.removed(stored, p, n), n)
+    assert n > 0 and wrong(paths) == 0
+    assert wrong(paths.withColumn("src_pos", F.col("src_pos") - 1)) == n
+    assert wrong(paths.withColumn("src_rid", F.lit(-1).cast("long"))) == n
+    assert wrong(paths.withColumn("rid", F.lit(-1).cast("long"))) == n
+
+
+def test_colliding_paths_are_found_anew(passages, monkeypatch):
+    docs, df = passages
+    tried, honest = [], substring_dedup.unlike
+    monkeypatch.setattr(substring_dedup, "unlike", lambda done, n: tried.append(n) or (1 if len(tried) == 1 else honest(done, n)))
+    assert deduped(df, chunk=3000) == Counter(brute_dedup(docs)) and len(tried) == 2
+    monkeypatch.setattr(substring_dedup, "unlike", lambda done, n: 1)
+    with pytest.raises(RuntimeError, match="collided"):
+        deduped(df, chunk=3000)
+
+
+def test_substring_dedup_asks_long_rows_in_deals(passages, monkeypatch):
+    docs, df = passages
+    monkeypatch.setattr(substring_dedup, "DEAL", 3)
+    assert deduped(df, chunk=3000) == Counter(brute_dedup(docs))
 
 
 def test_adjoining_pieces_are_one_path(spark):
