@@ -10,7 +10,7 @@ outside whatever is declared to be something else.  Pages of one host whose bloc
 kept by mark-up have the same text count as one: an article fetched or published many times stays.
 
 Runs are counted over all pages of the host.  Pages are parsed once, into chunks on shared
-storage.  A run on enough pages holds seeds of ``SEED`` tokens that stand on as many, so chunks first
+storage that hold each distinct token once and its number wherever it stands.  A run on enough pages holds seeds of ``SEED`` tokens that stand on as many, so chunks first
 send the least seed of each run, as a hash with a count of pages, to the task of its bucket;
 only runs whose least seed is common enough are then sorted by a suffix array, and each
 distinct one is sent with up to ``PAGES`` of its pages to be counted exactly.  Seeds and runs
@@ -22,11 +22,13 @@ a host's runs lie in all buckets; neither chunks nor hosts' sizes change the res
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Cut, by_bytes, by_group
-from .substring_dedup import _ODD, Words, among, mix, runs
+from .substring_dedup import _ODD, among, mix, runs
 
 #: Tokens of the shortest repeat (a power of two), distinct pages it is on, and tokens of a seed.
 RUN, PAGES, SEED = 8, 3, 4
@@ -191,25 +193,35 @@ def suffix_classes(tokens: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Sheet:
-    """The pages of a chunk as streams of tokens, with the hashes of their words, hosts and kept texts."""
-
-    def __init__(self, blob: bytes, words: Words):
-        self.rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks().to_batches()[0]
-        self.streams = [[t.split(" ") for t in page] for page in self.rows.column("texts").to_pylist()]
+    """The pages of a chunk as one stream of numbers of tokens, with the hashes of their words, hosts and kept texts."""
+
+    def __init__(self, blob: bytes):
+        source = pa.BufferReader(zstandard.ZstdDecompressor().decompress(blob))
+        self.rows, stream = (pa.ipc.open_stream(source).read_all().combine_chunks().to_batches()[0] for _ in range(2))
+        #: Distinct tokens, with spaces between, and the numbers of those that stand one after the other.
+        self.tokens, planes = (stream.column(k)[0].as_py() for k in ("tokens", "planes"))
+        self.numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        #: Tokens of each block, and blocks of each page.
+        self.sizes = self.rows.column("sizes").flatten().to_numpy()
+        self.blocks = pc.list_value_length(self.rows.column("sizes")).to_numpy()
         self.pages = self.rows.column("page").to_numpy().view(np.uint32)
         hosts = np.array([xxhash.xxh3_64_intdigest(x) for x in self.rows.column("host").to_pylist()], np.uint64)
-        self.h = h = np.fromiter((words[t.encode()] for page in self.streams for block in page for t in block), np.uint64)
-        self.of = np.repeat(np.arange(len(self.streams)), [sum(map(len, page)) for page in self.streams])
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.tokens.split(b" ")), np.uint64)
+        self.h = h = hashes[self.numbers]
+        self.of = np.repeat(np.repeat(np.arange(len(self.blocks)), self.blocks), self.sizes)
         self.hosts = hosts[self.of]
         #: Where runs start (a run lies in one page; it may reach across blocks), their keys, and those of their least seeds.
-        self.starts = self.keys = self.seeds = np.array([], np.uint64)
+        self.starts, self.keys, self.seeds = np.array([], np.int64), np.array([], np.uint64), np.array([], np.uint64)
         if len(h) >= RUN:
             wide, n = h, 1
             while n < RUN:
                 wide, n = wide[:-n] * np.uint64(pow(int(_ODD), n, 1 << 64)) + wide[n:], 2 * n
                 if n == SEED:
                     low = mix(wide ^ self.hosts[: len(wide)])
-            low = np.min(np.lib.stride_tricks.sliding_window_view(low, RUN - SEED + 1), axis=1)
+            n = 1
+            while n < RUN - SEED + 1:
+                step = min(n, RUN - SEED + 1 - n)
+                low, n = np.minimum(low[:-step], low[step:]), n + step
             self.starts = np.flatnonzero(self.of[: len(wide)] == self.of[RUN - 1 :])
             self.keys = self.key(mix(wide[self.starts] ^ self.hosts[self.starts]))
             self.seeds = self.key(low[self.starts])
@@ -220,9 +232,7 @@ class Sheet:
 
     def covered(self, found: np.ndarray) -> np.ndarray:
         """Which tokens the runs that start at ``found`` cover."""
-        step = np.zeros(len(self.h) + 1, np.int64)
-        np.add.at(step, found, 1)
-        np.add.at(step, found + RUN, -1)
+        step = np.bincount(found, minlength=len(self.h) + 1) - np.bincount(found + RUN, minlength=len(self.h) + 1)
         return np.cumsum(step)[: len(self.h)] > 0
 
     def distinct_seeds(self) -> tuple[np.ndarray, np.ndarray]:
@@ -252,26 +262,23 @@ class Sheet:
         chosen = order[nth < PAGES]
         return keys[chosen], page[chosen]
 
-    def without(self, gone: np.ndarray) -> list[list[str]]:
-        """The text left of each page's blocks when runs whose keys are in ``gone`` are taken out."""
-        sizes = [len(block) for page in self.streams for block in page]
-        block = np.repeat(np.arange(len(sizes)), sizes)
+    def without(self, gone: np.ndarray) -> list[str]:
+        """The text left of each page, in the blocks kept by mark-up, when runs whose keys are in ``gone`` are taken out."""
+        n = len(self.sizes)
+        block = np.repeat(np.arange(n), self.sizes)
         hit = self.starts[among(self.keys, gone)]
         own = hit[block[hit] == block[hit + RUN - 1]]
-        whole = np.bincount(block[self.covered(hit)], minlength=len(sizes)) == sizes if sizes else np.array([], bool)
-        flags = (self.covered(own) | whole[block]).tolist()
-        out, at, some = [], 0, bool(len(hit))
-        for page in self.streams:
-            left = []
-            for tokens in page:
-                left.append(" ".join([t for t, f in zip(tokens, flags[at : at + len(tokens)]) if not f] if some else tokens))
-                at += len(tokens)
-            out.append(left)
-        return out
+        whole = np.bincount(block[self.covered(hit)], minlength=n) == self.sizes
+        kept = self.rows.column("kept").flatten().to_numpy(zero_copy_only=False) & ~whole
+        left = kept[block] & ~self.covered(own)
+        tokens = np.array(self.tokens.decode().split(" "), object)[self.numbers[left]].tolist()
+        cuts = [0, *np.cumsum(np.bincount(block[left], minlength=n)).tolist()]
+        texts = [" ".join(tokens[a:b]) for a, b in itertools.pairwise(cuts)]
+        return ["\n".join(filter(None, texts[a:b])) for a, b in itertools.pairwise([0, *np.cumsum(self.blocks).tolist()])]
 
 
 def _pack(limit: int):
-    """Rows of (page_id, url, html, host) to (chunk, pack): their blocks, and which of them mark-up keeps."""
+    """Rows of (page_id, url, html, host) to (chunk, pack): their blocks as numbers of tokens, and which of them mark-up keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -281,11 +288,17 @@ def _pack(limit: int):
             declared = [any(i for _, i, _ in x) for x in found]
             kept = [[not a and (i or not d) for _, i, a in x] for x, d in zip(found, declared)]
             page = np.array([xxhash.xxh3_64_intdigest("\n".join([t for t, k in zip(x, y) if k])) & 0xFFFFFFFF for x, y in zip(texts, kept)], np.uint32)
-            cols = [*(part.column(k) for k in ("page_id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_())), pa.array(page)]
-            sheet = pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "texts", "kept", "page"])
+            tokens = " ".join(itertools.chain.from_iterable(texts)).split(" ") if any(texts) else []
+            number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+            numbers = np.fromiter(map(number.__getitem__, tokens), "<u4", len(tokens))
+            # the high bytes of all numbers, and then the low ones, take less room when compressed
+            planes = numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+            cols = [*(part.column(k) for k in ("page_id", "url", "host")), pa.array([[t.count(" ") + 1 for t in x] for x in texts], pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.bool_())), pa.array(page)]
+            sheet = pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "sizes", "kept", "page"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, sheet.schema) as out:
-                out.write_batch(sheet)
+            for each in (sheet, pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (" ".join(number).encode(), planes)], ["tokens", "planes"])):
+                with pa.ipc.new_stream(sink, each.schema) as out:
+                    out.write_batch(each)
             yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([press.compress(sink.getvalue())], pa.binary())], ["chunk", "pack"])
 
     return run
@@ -372,21 +385,19 @@ class Repeated:
             packs = packs.join(own, "chunk", "left").select("chunk", "pack", "hits")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for batch in batches:
                 hits = batch.column("hits").to_pylist() if shared is None else [None] * batch.num_rows
                 for chunk, blob, own in zip(batch.column("chunk").to_pylist(), batch.column("pack"), hits):
                     keys = shared.value if shared else np.sort(np.concatenate([np.array([], np.uint64), *(_keys(x["keys"], x["bucket"]) for x in own or [])]))
-                    yield from each(chunk, Sheet(blob.as_py(), words), keys)
+                    yield from each(chunk, Sheet(blob.as_py()), keys)
 
         return packs.mapInArrow(run, schema)
 
 
 def _send_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("pack")):
-            yield from _by_bucket(chunk, *Sheet(blob.as_py(), words).distinct_seeds())
+            yield from _by_bucket(chunk, *Sheet(blob.as_py()).distinct_seeds())
 
 
 def _send_runs(chunk: int, sheet: Sheet, common: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -394,7 +405,7 @@ def _send_runs(chunk: int, sheet: Sheet, common: np.ndarray) -> Iterator[pa.Reco
 
 
 def _unique_runs(chunk: int, sheet: Sheet, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
-    text = ["\n".join([t for t, k in zip(page, kept) if k and t]) for page, kept in zip(sheet.without(gone), sheet.rows.column("kept").to_pylist())]
+    text = sheet.without(gone)
     yield pa.RecordBatch.from_arrays([sheet.rows.column("page_id"), sheet.rows.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
 

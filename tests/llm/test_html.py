@@ -145,6 +145,24 @@ def test_no_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_a_chunk_holds_each_distinct_token_once(monkeypatch):
+    """Steps after the parse work on numbers of tokens; the texts come back as they were."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(H, "TaskContext", type("At", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    texts = ["", "naïve 日本語 😀", " ".join(f"w{k % 70_000}" for k in range(200_000)), "rarest " * 500, None]
+    pages = [(i, None, t and f"<p>{t}</p><nav>menu {i}</nav><div>{t}</div>", "h") for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pages), (pa.int64(), pa.string(), pa.string(), pa.string()))], ["page_id", "url", "html", "host"])
+    (chunk,) = H._pack(1 << 30)(iter([batch]))
+    blob = chunk.column("pack")[0].as_py()
+    assert zstandard.ZstdDecompressor().decompress(blob).count(b"rarest") == 1
+    sheet = H.Sheet(blob)
+    assert sheet.without(np.array([], np.uint64)) == ["\n".join(2 * [t.strip()]) if t else "" for t in (x or "" for x in texts)]
+    assert len(sheet.h) == sum(2 * len((t or "").split()) + 2 * bool(t) for t in texts) and len(np.unique(sheet.h)) == 70_000 + 3 + 1 + 1 + 3
+
+
 @pytest.mark.parametrize(("name", "apart"), [("ad", True), ("sidebar widget", True), ("reader-comments", True), ("siteNav", True), ("ad-free", False), ("has-sidebar", False), ("story", False), ("", False)])
 def test_marks(name, apart):
     assert H._apart("div", f' class="{name}"', True) == apart
