@@ -21,8 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces in each of the two generations a worker remembers between batches.
-REMEMBER = 600_000
+from .shared import by_bytes
+
+#: Pieces, and bytes of them and their ids, in each of the two generations a worker remembers, but for one part's more.
+REMEMBER, REMEMBER_BYTES = 300_000, 16_000_000
+#: Pairs whose merge is remembered, but for one part's more.
+PAIRS = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -159,20 +163,24 @@ class Encoder:
         self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the known pieces and their ids
 
     def learn(self, pieces: set[str]) -> None:
         new = pieces - self.known.keys()
         again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
         new -= again
-        by_bytes = {p.encode(): p for p in new}
-        self.known.update((by_bytes[b], ids) for b, ids in replay(by_bytes, self.merges).items())
+        encoded = {p.encode(): p for p in new}
+        found = {p: self.older[p] for p in again} | {encoded[b]: ids for b, ids in replay(encoded, self.merges).items()}
+        self.known.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         found = [self.find(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known, self.older = {}, self.known
+        if len(self.known) > REMEMBER or self.held > REMEMBER_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        if len(self.merges.made) > PAIRS:
+            self.merges.made.clear()
         self.learn(set().union(*found))
         known = self.known
         return [b"".join([known[p] for p in pieces]) for pieces in found]
@@ -193,8 +201,20 @@ def worker_encoder(key: str, ranks, pattern: str) -> Encoder:
     return _kept[key]
 
 
-#: Characters of text replayed as one corpus.
-TOGETHER = 2_000_000
+#: Bytes of text replayed as one corpus, but for a single longer text.
+TOGETHER = 400_000
+
+
+def encoded(batches: Iterable[pa.RecordBatch], encoder: Encoder, full: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) to what ``encode_decode`` returns of each row."""
+    for part in by_bytes(batches, "text", TOGETHER):
+        rows: list[tuple] = []
+        for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()]):
+            text = encoder.decode(ids)
+            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), *((list(memoryview(ids).cast("I")), text) if full else ())))
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()]
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(cols)])
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
@@ -210,19 +230,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     key = hashlib.sha256(repr((sorted(table.items()), pattern)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(key, ranks, pattern)
-        for batch in batches:
-            sizes = batch.column(1).nbytes // max(1, batch.num_rows) + 1
-            step = max(1, TOGETHER // sizes)
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                rows: list[tuple] = []
-                for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
-                    text = encoder.decode(ids)
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), *((list(memoryview(ids).cast("I")), text) if full else ())))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(cols)])
+        yield from encoded(batches, worker_encoder(key, ranks, pattern), full)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     more = ", ids array<long>, decoded binary" if full else ""

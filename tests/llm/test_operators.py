@@ -3,10 +3,12 @@
 import hashlib
 import re
 import struct
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -293,9 +295,58 @@ def test_known_pieces_move_between_generations(monkeypatch, reference_encoding):
         assert list(memoryview(e.encode([text])[0]).cast("I")) == reference_encoding.encode_ordinary(text)
 
 
+def test_an_encoder_keeps_a_bounded_part(monkeypatch, reference_encoding):
+    monkeypatch.setattr(bpe, "REMEMBER_BYTES", 4000, raising=False)
+    monkeypatch.setattr(bpe, "PAIRS", 100, raising=False)
+    e = bpe.Encoder(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1000))  # one piece
+        assert list(memoryview(e.encode([text])[0]).cast("I")) == reference_encoding.encode_ordinary(text)
+    assert sum(len(p) + len(ids) for kept in (e.known, e.older) for p, ids in kept.items()) < 20_000
+    assert len(e.merges.made) < 2000
+
+
+def test_long_rows_behind_short_ones_are_replayed_in_small_parts():
+    seen = []
+
+    class Recorder(bpe.Encoder):
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return super().encode(texts)
+
+    texts = ["a b"] * 3000 + ["a b c d " * 10_000] * 20 + ["x " * bpe.TOGETHER, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    encoder = Recorder(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    done = pa.Table.from_batches(bpe.encoded([batch], encoder))
+    assert done["doc_id"].to_pylist() == list(range(len(texts)))
+    assert done["decoded_sha256"].to_pylist() == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+    assert sum(seen) == sum(len(t or "") for t in texts)
+    assert sorted(seen)[-2] <= bpe.TOGETHER <= 500_000 and max(seen) == len(texts[-3])
+
+
 # language identification
 
 
+def test_grams_are_cut_in_little_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab cd efg hi " * 200, None, "é"] * 500)], ["text"])
+    grams = langid.Grams()
+    tracemalloc.start()
+    try:
+        parts = [grams([t or "" for t in part.column(0).to_pylist()]) for part in langid.parts(batch, 0)]
+        found = [len(starts) - 1 for _, starts in parts]
+        del parts
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for part in langid.parts(batch, 0):
+            grams([t or "" for t in part.column(0).to_pylist()])
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert sum(found) == batch.num_rows
+    assert peak < 60e6
+
+
 def test_language_id(spark, sf, awkward, nothing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = rows(langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id"))
