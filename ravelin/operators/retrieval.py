@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,6 +114,148 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     return top(pairs.where("score IS NOT NULL"), k)
 
 
+#: Queries that a task of ``neighbours`` holds, queries and candidates whose cosines it has at once, parts that a larger table is cut into at least, and tasks.
+BLOCK, ASKED, MET, PARTS, TASKS = 32768, 2048, 1024, 8, 64
+
+
+def _exact(q: np.ndarray, c: np.ndarray, qn: np.ndarray, cn: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``cosine`` of pairs of columns of q and c, products added in order of the axes; a score that is no number is the largest."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 1 << 18):
+        a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+        total = np.zeros(len(a))
+        for x, y in zip(q, c):
+            total += x[a] * y[b]
+        nines = total / (qn[a] * cn[b]) * 1e9
+        out[at : at + len(a)] = np.trunc(nines + np.copysign(0.5, nines)) / 1e9
+    return np.where(np.isnan(out), np.inf, out)
+
+
+class Asked:
+    """A block of queries and the k best candidates met so far.
+
+    Products of single precision decide which pairs are still open, with more slack
+    than their error; only these get the exact score that ranks them.
+    """
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        self.ids, self.k, (self.v, self.size, self.unit) = ids, k, self.shape(v)
+        self.score, self.found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.slack = (v.shape[1] + 8) * 2.0**-23 + 1e-8
+
+    @staticmethod
+    def shape(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns, lengths and unit vectors; a length out of range has a unit vector of no numbers, so its pairs stay open."""
+        columns, square = np.ascontiguousarray(v.T), np.zeros(len(v))
+        for x in columns:
+            square += x * x
+        size = np.sqrt(square)
+        fair = (square > 1e-200) & (square < 1e200)
+        return columns, size, np.where(fair[:, None], v / np.where(fair, size, 1.0)[:, None], np.nan).astype(np.float32)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
+        # of equal vectors those of the k + 1 smallest ids can be among the best
+        _, same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+        order = np.lexsort((ids, same))
+        same, ids = same[order], ids[order]
+        new = np.diff(same, prepend=-1) != 0
+        other = np.cumsum(new | (np.diff(ids, prepend=ids[:1]) != 0))
+        near = other - np.repeat(other[new], np.diff(np.append(np.flatnonzero(new), len(ids)))) <= self.k
+        order, ids = order[near], ids[near]
+        columns, size, unit = self.shape(v[order])
+        for at in range(0, len(ids), MET):
+            part = slice(at, at + MET)
+            for first in range(0, len(self.ids), ASKED):
+                self._step(slice(first, first + ASKED), ids[part], columns[:, part], size[part], unit[part])
+
+    def _step(self, rows: slice, ids: np.ndarray, columns: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        rough, mine, least = self.unit[rows] @ unit.T, self.ids[rows], self.score[rows, -1]
+        if len(ids) > self.k and (least == -np.inf).any():
+            rough[mine[:, None] == ids[None, :]] = -np.inf
+            known = np.where(np.isnan(rough), -np.inf, rough)
+            least = np.maximum(least, np.partition(known, -self.k, axis=1)[:, -self.k] - self.slack)
+        # what is no number is not smaller
+        i, j = np.nonzero(~(rough < (least - self.slack).astype(np.float32)[:, None]))
+        other = mine[i] != ids[j]
+        i, j = i[other], j[other]
+        score = _exact(self.v[:, rows], columns, self.size[rows], size, i, j)
+        good = score >= self.score[rows, -1][i]
+        i, j, score = i[good], j[good], score[good]
+        if not len(i):
+            return
+        held, to = np.unique(i, return_inverse=True)
+        n = len(held)
+        to = np.append(np.repeat(np.arange(n), self.k), to)
+        score = np.append(self.score[rows][held].ravel(), score)
+        doc = np.append(self.found[rows][held].ravel(), ids[j])
+        order = np.lexsort((doc, -score, to))
+        best = order[(np.searchsorted(to[order], np.arange(n))[:, None] + np.arange(self.k)).ravel()]
+        self.score[rows.start + held], self.found[rows.start + held] = score[best].reshape(n, -1), doc[best].reshape(n, -1)
+
+    def rows(self) -> pa.RecordBatch:
+        at, nth = np.nonzero(self.score > -np.inf)
+        score = self.score[at, nth]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at]), pa.array(self.found[at, nth]), pa.array(np.where(score == np.inf, np.nan, score))], ["query_id", "doc_id", "score"])
+
+
+def _meeting(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, asked = None, [], None
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                if cells[s] != cell:
+                    if asked:
+                        yield asked.rows()
+                    cell, held, asked = cells[s], [], None
+                part = batch.slice(s, e - s)
+                ids, v = part.column("id").to_numpy(), part.column("v").flatten().to_numpy().astype(float).reshape(e - s, -1)
+                met = part.column("met").to_numpy(zero_copy_only=False)
+                if not met.all():
+                    held.append((ids[~met], v[~met]))
+                if met.any() and (held or asked):
+                    if not asked:
+                        asked, held = Asked(*map(np.concatenate, zip(*held)), k), []
+                    asked.meet(ids[met], v[met])
+        if asked:
+            yield asked.rows()
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            yield from run(batches)
+
+    return quiet
+
+
+def neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The k vectors of highest cosine for each vector, itself left out: query_id, doc_id, score, rank.
+
+    All pairs of one dimension are compared.  Vectors are dealt into blocks of queries
+    and shards of candidates, and each block meets each shard in a task, which holds the
+    block and takes the shard batch by batch.  A row without an id or a length, or with a
+    null component, takes no part; ids are whole numbers, ties go to the smaller.
+    """
+    v, kind = F.col("v"), vectors.schema[id_col].dataType
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull()))
+    rows = rows.where(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0).withColumn("dim", F.size(v))
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK), min(PARTS, -(-n // ASKED)))
+    shards = max(1, -(-min(TASKS, blocks * blocks) // blocks))
+    hashed = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.lit(parts))
+    sent = lambda met, cells: rows.select("dim", F.explode(cells).alias("cell"), F.lit(met).alias("met"), "id", "v")
+    asked = sent(False, F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: hashed("block", blocks) * shards + s))
+    shard = sent(True, F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * shards + hashed("shard", shards)))
+    # a number for each cell of one dimension
+    both = asked.unionAll(shard).withColumn("cell", F.col("dim").cast("long") * (blocks * shards) + F.col("cell"))
+    met = both.repartition(blocks * shards, "cell").sortWithinPartitions("cell", "met").select("cell", "met", "id", "v")
+    found = met.mapInArrow(_meeting(k), "query_id long, doc_id long, score double")
+    return top(found.select(F.col("query_id").cast(kind).alias("query_id"), F.col("doc_id").cast(kind).alias("doc_id"), "score"), k)
+
+
 def fuse(ranked: list[DataFrame], k: int, offset: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, rank) lists; the sum is kept to twelve decimals."""
     rows = ranked[0].select("query_id", "doc_id", "rank")

@@ -607,13 +607,12 @@ def exact_name_first(spark, d):
 
 _COSINE = """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, list_inner_product(e, e) AS nn FROM v),
-    p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e) / (sqrt(q.nn) * sqrt(c.nn)), 9) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e) / (sqrt(q.nn) * sqrt(c.nn)), 9) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM p)"""
 
 
 def _nearest(spark, d, k: int) -> DataFrame:
-    vectors = table(spark, d, "embeddings")
-    return retrieval.nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors, k)
+    return retrieval.neighbours(table(spark, d, "embeddings"), k)
 
 
 @query(f"{_COSINE} SELECT query_id, doc_id, rank FROM c WHERE rank <= 10")
