@@ -6,16 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import terms_of
 from ..sources.rows import materialise
 
 K1, B = 1.2, 0.75
-#: Terms up to which they are looked for in each text before its terms become rows.
-WANTED = 1000
+#: Terms of queries, each counted for each query, and queries that a task holds; more are joined.
+WANTED, QUERIES = 1_000_000, 20_000
+#: Terms, and scores of documents and queries, that a task has at once.
+CELLS = 1 << 21
 
 
 def ascii_terms(text: Column) -> Column:
@@ -41,17 +45,33 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
     asked = queries.select(F.col(f"`{query_id}`").alias("query_id"), F.explode(F.array_distinct(ascii_terms(F.col(f"`{query}`")) if native else terms_of(F.col(f"`{query}`")))).alias("term"))
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     terms = source.select("doc_id", (ascii_terms(F.col("t")) if native else terms_of("t")).alias("terms"))
-    wanted = asked.select("term").distinct()
-    some = [r["term"] for r in wanted.limit(WANTED + 1).collect()]
-    hits = F.col("terms")
-    if len(some) <= WANTED:
-        among = F.array(*map(F.lit, some)).cast("array<string>")
-        hits = F.filter(hits, lambda x: F.array_contains(among, x))
-    # texts are read once: their length and the terms asked for are kept
-    terms = materialise(terms.select("doc_id", F.size("terms").alias("length"), hits.alias("hits")))
+    pairs = asked.limit(WANTED + 1).toArrow()
+    index = _Index(pairs.column("query_id"), pairs.column("term"), k) if pairs.num_rows <= WANTED else None
+    if index is None or len(index.ids) > QUERIES:
+        return _joined(asked, terms, k)
+    # texts are read once: how often each of the terms asked for stands in them is kept
+    shared = asked.sparkSession.sparkContext.broadcast(index)
+    kind = T.StructType([T.StructField("doc_id", terms.schema["doc_id"].dataType), *(T.StructField(c, t) for c, t in (("words", T.IntegerType()), ("code", T.ArrayType(T.IntegerType())), ("tf", T.ArrayType(T.IntegerType()))))])
+    kept = materialise(terms.mapInArrow(lambda batches: shared.value.encode(batches), kind))
+    n, most, mean = kept.groupBy("doc_id").agg(F.count("*").alias("c"), F.sum("words").alias("w")).agg(F.sum("c"), F.max("c"), F.sum("w") / F.sum("c")).first()
+    rows = kept.where(F.size("code") > 0).select("doc_id", "code", "tf", F.expr("array_repeat(words, size(code))").alias("length"))
+    if (most or 0) > 1:  # rows of one id are one document, whose terms are counted for each length
+        each = kept.select("doc_id", "words", F.explode(F.arrays_zip("code", "tf")).alias("x")).groupBy("doc_id", "words", "x.code").agg(F.sum("x.tf").cast("int").alias("tf"))
+        rows = materialise(each.groupBy("doc_id").agg(F.collect_list(F.struct("code", "tf", F.col("words").alias("length"))).alias("x")).select("doc_id", "x.code", "x.tf", "x.length"))
+    df = rows.select(F.explode("code").alias("code")).groupBy("code").agg(F.count("*").alias("df"))
+    found = df.select("code", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).toArrow()  # a number a term
+    idf = np.zeros(len(index.terms))
+    idf[found.column("code").to_numpy()] = found.column("idf").to_numpy()
+    weights = asked.sparkSession.sparkContext.broadcast((idf, mean))
+    kind = T.StructType([asked.schema["query_id"], terms.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return top(rows.sortWithinPartitions("doc_id").mapInArrow(lambda batches: shared.value.best(batches, *weights.value), kind), k)
+
+
+def _joined(asked: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``bm25`` of more queries than a task can hold, by joins: terms that are asked for become rows."""
+    terms = materialise(terms.select("doc_id", F.size("terms").alias("length"), "terms"))
     corpus = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    found = terms.select("doc_id", "length", F.explode("hits").alias("term"))
-    found = (found if len(some) <= WANTED else found.join(wanted, "term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    found = terms.select("doc_id", "length", F.explode("terms").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")).join(asked.select("term").distinct(), "term")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -60,6 +80,78 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
     return top(scored.select("query_id", "doc_id", (F.col("w") / 1e6).alias("score")), k)
 
 
+class _Index:
+    """The terms of all queries and the queries of each term; a task counts terms in texts with it, and scores texts."""
+
+    def __init__(self, query: pa.ChunkedArray, term: pa.ChunkedArray, k: int):
+        self.k, q, t = k, *(c.combine_chunks().dictionary_encode("encode") for c in (query, term))
+        self.ids, self.terms = q.dictionary, t.dictionary
+        order = np.argsort(t.indices.to_numpy(), kind="stable")
+        self.asked = q.indices.to_numpy()[order].astype(np.int64)
+        self.many = np.bincount(t.indices.to_numpy(), minlength=len(self.terms))
+        self.start = np.cumsum(self.many) - self.many
+
+    def encode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, words, code, tf): texts as the numbers of the terms asked for, each once."""
+        wanted = pa.array(self.terms)
+        for batch in batches:
+            words = batch.column("terms").value_lengths().to_numpy()
+            at = 0
+            while at < len(words):
+                size = max(1, int(np.searchsorted(np.cumsum(words[at:]), CELLS, side="right")))
+                part = batch.slice(at, size)
+                code = pc.index_in(part.column("terms").flatten(), value_set=wanted)
+                known = code.is_valid().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(part.num_rows), words[at : at + size])[known]
+                key, tf = np.unique(doc * len(wanted) + code.drop_null().to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * len(wanted)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % max(1, len(wanted)), tf)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words[at : at + size].astype(np.int32)), *lists], ["doc_id", "words", "code", "tf"])
+                at += size
+
+    def best(self, batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float) -> Iterator[pa.RecordBatch]:
+        """(query_id, doc_id, score): the k best of a task's documents, which come in order of their ids."""
+        n, k = len(self.ids), self.k
+        score, ref, ids = np.full((n, k), -1.0), np.full((n, k), -1), None
+        for batch in batches:
+            ids = pa.concat_arrays([*([] if ids is None else [ids]), batch.column("doc_id")])
+            base, sizes = len(ids) - batch.num_rows, batch.column("code").value_lengths().to_numpy()
+            code, tf, length = (batch.column(c).flatten().to_numpy() for c in ("code", "tf", "length"))
+            weight = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            # whole parts of 1e-6, and a little that tells a score of none from no common term
+            weight = np.floor(weight * 1e6 + 0.5) + 2.0**-20
+            ends = np.append(0, np.cumsum(sizes))
+            work = np.append(0, np.cumsum(self.many[code]))[ends]
+            at = 0
+            while at < len(sizes):
+                size = max(1, min(CELLS // n, int(np.searchsorted(work[at + 1 :] - work[at], CELLS, side="right"))))
+                part = slice(ends[at], ends[min(at + size, len(sizes))])
+                docs = len(sizes[at : at + size])
+                many = self.many[code[part]]
+                doc = np.repeat(np.repeat(np.arange(docs), sizes[at : at + size]), many)
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                query = self.asked[np.repeat(self.start[code[part]], many) + nth]
+                sums = np.bincount(doc * n + query, weights=np.repeat(weight[part], many), minlength=docs * n).reshape(docs, n)
+                least = score[:, -1] + 1.0
+                if at + base == 0 and docs > k:
+                    least = np.maximum(least, np.floor(np.partition(sums, -k, axis=0)[-k]))
+                i, j = np.nonzero((sums >= least) & (sums > 0))
+                if len(i):
+                    held, to = np.unique(j, return_inverse=True)
+                    to = np.append(np.repeat(np.arange(len(held)), k), to)
+                    value, where = np.append(score[held].ravel(), np.floor(sums[i, j])), np.append(ref[held].ravel(), base + at + i)
+                    order = np.lexsort((where, -value, to))
+                    first = order[(np.searchsorted(to[order], np.arange(len(held)))[:, None] + np.arange(k)).ravel()]
+                    score[held], ref[held] = value[first].reshape(-1, k), where[first].reshape(-1, k)
+                at += docs
+            used = np.unique(ref[ref >= 0])
+            ids = ids.take(pa.array(used))
+            ref = np.where(ref >= 0, np.searchsorted(used, ref), -1)
+        if ids is not None:
+            at, nth = np.nonzero(ref >= 0)
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(at)), ids.take(pa.array(ref[at, nth])), pa.array(score[at, nth] / 1e6)], ["query_id", "doc_id", "score"])
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """Rank (query_id, doc_id, score) by score, then doc_id; Spark keeps k a partition before it exchanges."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

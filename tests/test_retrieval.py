@@ -39,3 +39,39 @@ def test_vector_queries_ask_every_row(spark, sf):
     assert found.select("query_id").distinct().count() == n and found.count() == 10 * n
     assert queries.QUERIES["rrf_fusion"](spark, sf).select("query_id").distinct().count() == n
     assert "%" not in queries._COSINE
+
+
+def _bm25(queries, docs, k):
+    terms = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
+    asked = [(q, w) for q, t in queries for w in dict.fromkeys(terms(t))]
+    tf = {}
+    for d, t in docs:
+        for w in terms(t):
+            tf[d, len(terms(t)), w] = tf.get((d, len(terms(t)), w), 0) + 1
+    n, mean = len(docs), sum(len(terms(t)) for _, t in docs) / len(docs)
+    df, total = {}, {}
+    for _, _, w in tf:
+        df[w] = df.get(w, 0) + 1
+    for (d, length, w), m in tf.items():
+        part = round(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * m * 2.2 / (m + 1.2 * (0.25 + 0.75 * length / mean)) * 1e6)
+        for q, v in asked:
+            if v == w:
+                total[q, d] = total.get((q, d), 0) + part
+    return {(q, d, total[q, d] / 1e6, rank) for q in {q for q, _ in asked} for rank, d in enumerate(sorted((d for p, d in total if p == q), key=lambda d: (-total[q, d], d))[:k], 1)}
+
+
+def test_bm25_scores_texts_where_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{int(rng.zipf(1.4)) % 60}"
+    docs = [(n % 97, " ".join(word() for _ in range(int(rng.integers(0, 30))))) for n in range(120)] + [(200, None), (201, "w1")]
+    asked = [(n % 11, " ".join(word() for _ in range(6))) for n in range(13)] + [(50, "never"), (51, "")]
+    q, d = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    take = lambda: {tuple(r) for r in retrieval.bm25(q, d, 7).select("query_id", "doc_id", "score", "rank").collect()}
+    want = _bm25(asked, docs, 7)
+    assert take() == want
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    assert take() == want
+    plan = retrieval.bm25(q, d, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    monkeypatch.setattr(retrieval, "QUERIES", 3)
+    assert take() == want
