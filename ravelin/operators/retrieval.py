@@ -373,6 +373,16 @@ def hashed_weights(docs: DataFrame, id_col: str, text_col: str, dims: int = 256,
     return counts.select("id", "bucket", (F.col("n") / size).alias("weight"))
 
 
+#: Ids of candidates that are sent to all tasks; more meet the texts in a join.
+SENT = 1_000_000
+
+
+def named(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that some candidate (doc_id) names."""
+    ids = materialise(candidates.select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, id_col, "left_semi")
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Candidates (query_id, doc_id) by the cosine of their vectors (id, bucket, weight); only candidates are compared."""
     q = queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))

@@ -14,7 +14,7 @@ from .functions.templates import bind
 from .functions.units import canonical_unit
 from .operators import cards, facts, graphs, instances, packets, profile, recall, reference, relations, retrieval, types
 from .plans import gates
-from .sources.rows import lookup, number_rows, rows_at, scratch
+from .sources.rows import lookup, materialise, number_rows, rows_at, scratch
 from .streaming import checks
 
 QUERIES: dict = {}
@@ -942,4 +942,5 @@ _HASHED = """w_{t} AS (SELECT id, term, md5(term) AS h FROM (SELECT {i} AS id, u
            SELECT * FROM (SELECT query_id, doc_id, t::DOUBLE / 1e9::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10""".replace("s AS (SELECT query_id", "sc AS (SELECT query_id").replace("FROM s) WHERE", "FROM sc) WHERE"))
 def snippet_rerank(spark, d):
     docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return retrieval.rerank(_bm25(spark, d, 20), retrieval.hashed_weights(bench, "item_id", "text"), retrieval.hashed_weights(docs, "doc_id", "text"), 10)
+    found = materialise(_bm25(spark, d, 20).select("query_id", "doc_id"))  # only what was found needs a vector
+    return retrieval.rerank(found, retrieval.hashed_weights(bench, "item_id", "text"), retrieval.hashed_weights(retrieval.named(docs, found), "doc_id", "text"), 10)

@@ -75,3 +75,11 @@ def test_bm25_scores_texts_where_they_lie(spark, monkeypatch):
     assert "MapInArrow" in plan and "Join" not in plan
     monkeypatch.setattr(retrieval, "QUERIES", 3)
     assert take() == want
+
+
+def test_only_what_was_found_gets_a_vector(spark, sf, monkeypatch):
+    made, real = [], retrieval.hashed_weights
+    monkeypatch.setattr(retrieval, "hashed_weights", lambda docs, id_col, text_col: made.append((id_col, docs.count())) or real(docs, id_col, text_col))
+    found = queries.QUERIES["snippet_rerank"](spark, sf)
+    docs = queries._bm25(spark, sf, 20).select("doc_id").distinct().count()
+    assert dict(made)["doc_id"] == docs < spark.read.parquet(f"{sf}/documents.parquet").count() and found.count()
