@@ -99,13 +99,14 @@ class Reference:
         return join_usable(F.col("ref")), all_of([join_usable(F.col(s)) for s in self.scopes])
 
 
-def _tests(usable: Column, scoped: Column) -> dict[str, Column]:
-    """What each count counts, over keys with their multiplicity."""
-    yes, no = F.coalesce(F.col("selected"), F.lit(False)), F.coalesce(~F.col("selected"), F.lit(False))
+def _tests(usable: Column, scoped: Column, chosen: Column | None = None) -> dict[str, Column]:
+    """What each count counts, over keys with their multiplicity, ``chosen`` or, where it is not given, ``selected``."""
+    chosen = F.col("selected") if chosen is None else chosen
+    yes, no = F.coalesce(chosen, F.lit(False)), F.coalesce(~chosen, F.lit(False))
     hit, eligible = F.coalesce(F.col("multiplicity") > 0, F.lit(False)), usable & scoped
     one, more = F.coalesce(F.col("multiplicity") == 1, F.lit(False)), F.coalesce(F.col("multiplicity") > 1, F.lit(False))
     tests = dict(zip(COUNTS, (
-        F.lit(True), yes, no, F.col("selected").isNull(), yes & F.col("ref").isNull(), yes & (F.col("ref") == ""),
+        F.lit(True), yes, no, chosen.isNull(), yes & F.col("ref").isNull(), yes & (F.col("ref") == ""),
         yes & (F.col("ref") != "") & ~usable, yes & usable & ~scoped, yes & eligible, yes & eligible & hit, yes & eligible & one,
         yes & eligible & more, yes & eligible & F.col("multiplicity").isNull(), no & eligible, no & eligible & hit,
     )))
@@ -208,46 +209,69 @@ def dangling(source: DataFrame, target: DataFrame, source_field: str, target_fie
 def check_many(frames: dict[str, DataFrame], asked: Sequence[tuple[str, str, str, Reference]]) -> DataFrame:
     """``check`` for many direct references at once: a row for each (id, source table, target table, reference).
 
-    Every table is read once for all the references that leave it and once for
-    all that reach it; equal targets are counted once.  One join then serves all.
+    Source rows, by reference and by whether they are selected, and target rows of one value
+    are counted side by side in one grouping.  References with scopes have another one, by
+    value and scopes.  Every table is read once for each of these; equal targets are counted once.
     """
     if any(not ref.direct for *_, ref in asked):
         raise ValueError("references through transforms or paths are checked one by one")
+    plain = _counted(frames, asked, False)
+    scoped = [a for a in asked if a[-1].scope]
+    counts = plain if not scoped else plain.unionAll(_counted(frames, scoped, True))
+    zero = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts.columns if c != "id"]
+    return counts.groupBy("id").agg(*zero).withColumns(_ratios())
+
+
+def _counted(frames: dict[str, DataFrame], asked: Sequence[tuple[str, str, str, Reference]], scoped: bool) -> DataFrame:
+    """A row of counts for each reference: by values and scopes, or else by values alone, where one with scopes has no counts but those of its whole column."""
     text = lambda c: F.col(f"`{c}`").cast("string")
+    array = lambda xs: F.array(*xs).cast("array<string>")
     specs: dict[tuple, int] = {}
-
-    def spec(t: str, ref: Reference) -> int:
-        return specs.setdefault((t, ref.target_field, tuple(sorted(ref.scope))), len(specs))
-
-    rows = []
-    for t in dict.fromkeys(s for _, s, _, _ in asked):
-        each = [
-            F.struct(
-                F.lit(i).alias("id"), F.lit(spec(to, ref)).alias("spec"), F.lit(spec(to, Reference("", ref.target_field))).alias("plain"), text(ref.source_field).alias("ref"), ref.chosen().alias("selected"),
-                F.array(*(text(s) for _, s in sorted(ref.scope.items()))).cast("array<string>").alias("scopes"),
-            )
-            for i, s, to, ref in asked if s == t
-        ]
-        rows.append(frames[t].select(F.explode(F.array(*each)).alias("x")).select("x.*"))
-    keys = []
-    for t in dict.fromkeys(k[0] for k in specs):
-        each = [F.struct(F.lit(n).alias("spec"), text(c).alias("ref"), F.array(*(text(x) for x in scope)).cast("array<string>").alias("scopes")) for (table, c, scope), n in specs.items() if table == t]
-        keys.append(frames[t].select(F.explode(F.array(*each)).alias("x")).select("x.*"))
+    # the target of each reference, by its number, and its place among those that share it
+    to = [specs.setdefault((t, ref.target_field, tuple(sorted(ref.scope)) if scoped else ()), len(specs)) for _, _, t, ref in asked]
+    places = [to[:n].count(spec) for n, spec in enumerate(to)]
+    scopes = ["scopes"] if scoped else []
+    each: dict[str, list[Column]] = {}
+
+    def row(t: str, spec: int, place: int, field_: str, chosen: Column, scope: Sequence[str]) -> None:
+        by = [array(map(text, scope)).alias(k) for k in scopes]
+        each.setdefault(t, []).append(F.struct(F.lit(spec).alias("spec"), F.lit(place).alias("place"), text(field_).alias("ref"), chosen.alias("selected"), *by))
+
+    for (_, s, _, ref), spec, place in zip(asked, to, places):
+        row(s, spec, place, ref.source_field, ref.chosen(), [x for _, x in sorted(ref.scope.items())])
+    for (t, c, scope), spec in specs.items():
+        row(t, spec, -1, c, F.lit(None).cast("boolean"), scope)
+    rows = [frames[t].select(F.explode(F.array(*xs)).alias("x")).select("x.*") for t, xs in each.items()]
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionAll(parts[1]), *parts[2:]])
-    scoped = F.forall("scopes", lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    whole = F.forall("scopes", lambda x: F.coalesce(F.trim(x) != "", F.lit(False))) if scoped else F.lit(True)
     usable = join_usable(F.col("ref"))
-    grouped = union(rows).groupBy("id", "spec", "plain", "ref", "selected", "scopes").agg(F.count("*").alias("n"))
-    targets = union(keys).where(usable & scoped).groupBy("spec", "ref", "scopes").agg(F.count("*").alias("multiplicity"))
-    joined = grouped.join(targets, ["spec", "ref", "scopes"], "left")
-    there = F.coalesce(F.col("multiplicity") > 0, F.lit(False))
-    if any(ref.scope for *_, ref in asked):
-        plain = targets.where(F.size("scopes") == 0).select(F.col("spec").alias("plain"), "ref", F.lit(True).alias("known"))
-        joined, there = joined.join(plain, ["plain", "ref"], "left"), F.col("known").isNotNull()
-    tests = _tests(usable, scoped)
-    size = lambda k: F.lit(1) if k.startswith("distinct") else F.col("n")
-    values = joined.groupBy("id", "spec", "ref").agg(*(F.coalesce(F.sum(F.when(t, size(k))), F.lit(0)).alias(k) for k, t in tests.items()), F.bool_or(usable).alias("usable"), F.bool_or(there).alias("there"))
-    counts = values.groupBy("id", "spec").agg(*(F.sum(k).alias(k) for k in tests), F.count_if("usable").alias("distinct_source_values"), F.count_if(F.col("usable") & F.col("there")).alias("distinct_source_values_in_target"))
-    stats = targets.groupBy("spec").agg(F.sum("multiplicity").alias("target_rows_with_complete_key"), F.count("*").alias("target_distinct_keys"), F.count_if(F.col("multiplicity") > 1).alias("target_duplicate_key_groups"), F.max("multiplicity").alias("target_max_multiplicity"))
-    out = counts.join(stats, "spec", "left").drop("spec")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("target_rows_with_complete_key", "target_distinct_keys", "target_duplicate_key_groups", "target_max_multiplicity")}
-    return out.withColumns(zero).withColumns(_ratios())
+    # source and target rows of one value are counted side by side, so nothing is joined
+    number = {"yes": F.col("selected"), "no": ~F.col("selected"), "unknown": F.col("selected").isNull()}
+    side = [F.count_if((F.col("place") == p) & x).alias(f"{k}_{p}") for p in range(max(places) + 1) for k, x in number.items()]
+    met = union(rows).where((F.col("place") >= 0) | (usable & whole)).groupBy("spec", "ref", *scopes).agg(F.count_if(F.col("place") == -1).alias("m"), *side)
+    sides = [F.struct(F.lit(p).alias("place"), *(F.col(f"{k}_{p}").alias(k) for k in number)) for p in range(max(places) + 1)]
+    sides.append(F.struct(F.lit(-1).alias("place"), *(F.lit(0).cast("long").alias(k) for k in number)))
+    # values alike in all that a test asks are added up first, so that tests, which are long, run on a few rows
+    alike = F.when(F.col("ref") == "", "").when(F.col("ref").isNotNull(), "some").alias("ref")
+    kinds = met.select("spec", alike, usable.alias("usable"), whole.alias("whole"), "m", F.explode(F.array(*sides)).alias("x")).select("spec", "ref", "usable", "whole", "m", "x.*")
+    kinds = kinds.where((F.col("yes") + F.col("no") + F.col("unknown") > 0) | ((F.col("place") == -1) & (F.col("m") > 0))).withColumn("multiplicity", F.when(F.col("m") > 0, F.least("m", F.lit(2))))
+    kinds = kinds.groupBy("spec", "place", "ref", "usable", "whole", "multiplicity").agg(*(F.sum(k).alias(k) for k in number), F.count_if(F.col("yes") > 0).alias("some"), F.count("*").alias("values"), F.sum("m").alias("targets"), F.max("m").alias("most"))
+    kinds = materialise(kinds)  # a few rows a reference
+    # what a count adds up where its test holds, the rows being taken as selected, not selected, or neither
+    total = {}
+    for k, chosen in (("yes", F.lit(True)), ("no", F.lit(False)), ("unknown", F.lit(None).cast("boolean"))):
+        for c, test in _tests(F.col("usable"), F.col("whole"), chosen).items():
+            # a key is one, however its rows are selected
+            size = (F.col("some") if k == "yes" else F.lit(0)) if c.startswith("distinct") else F.col(k)
+            total[c] = total.get(c, F.lit(0)) + F.when(test, size).otherwise(0)
+    inside = F.col("usable") & F.coalesce(F.col("multiplicity") > 0, F.lit(False))
+    of_values = {"distinct_source_values": F.col("usable"), "distinct_source_values_in_target": inside}
+    counts = kinds.where("place >= 0").groupBy("spec", "place").agg(*(F.sum(x).alias(c) for c, x in total.items()), *(F.sum(F.when(x, F.col("values")).otherwise(0)).alias(c) for c, x in of_values.items()))
+    several = F.sum(F.when(F.col("multiplicity") > 1, F.col("values")).otherwise(0))
+    stats = kinds.where("place = -1").groupBy("spec").agg(F.sum("targets").alias("target_rows_with_complete_key"), F.sum("values").alias("target_distinct_keys"), several.alias("target_duplicate_key_groups"), F.max("most").alias("target_max_multiplicity"))
+    # one with scopes has its whole column from the counts by values, and all else from those by scopes
+    told = [F.struct(F.lit(i).alias("id"), F.lit(spec).alias("spec"), F.lit(place).alias("place"), F.lit(scoped or not ref.scope).alias("own")) for (i, *_, ref), spec, place in zip(asked, to, places)]
+    known = frames[asked[0][1]].sparkSession.range(1).select(F.inline(F.array(*told)))
+    out = known.join(counts, ["spec", "place"]).join(stats, "spec", "left")
+    names = [*total, *of_values, *(c for c in stats.columns if c != "spec")]
+    return out.select("id", *((F.lit(None).cast("long") if scoped else F.col(c)).alias(c) if c in of_values else F.when(F.col("own"), F.col(c)).alias(c) for c in names))

@@ -83,3 +83,21 @@ def test_only_what_was_found_gets_a_vector(spark, sf, monkeypatch):
     found = queries.QUERIES["snippet_rerank"](spark, sf)
     docs = queries._bm25(spark, sf, 20).select("doc_id").distinct().count()
     assert dict(made)["doc_id"] == docs < spark.read.parquet(f"{sf}/documents.parquet").count() and found.count()
+
+
+def test_many_references_are_counted_without_a_join_of_values(spark, monkeypatch):
+    from ravelin.operators import reference
+
+    left = spark.createDataFrame([(n, None if n % 11 == 0 else "" if n % 13 == 0 else " " if n % 17 == 0 else f"v{n % 9}", f"s{n % 3}" if n % 5 else None, "xyz"[n % 3] if n % 7 else None) for n in range(200)], "__row long, a string, s string, c string")
+    right = spark.createDataFrame([(n, f"v{n % 6}" if n % 8 else None, f"s{n % 4 % 3}") for n in range(9)], "__row long, k string, s string")
+    refs = {"p": ({}, {}), "q": ({"c": "x"}, {}), "r": ({"c": "y"}, {"s": "s"}), "t": ({}, {"s": "s"})}
+    made = {i: reference.Reference("a", "k", sel, scope) for i, (sel, scope) in refs.items()}
+    plans, real = [], reference.materialise
+    monkeypatch.setattr(reference, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    frames = {"l": left, "r": right}
+    found = {r["id"]: r.asDict() for r in reference.check_many(frames, [(i, "l", "r", ref) for i, ref in made.items()] + [("u", "r", "l", reference.Reference("k", "a"))]).collect()}
+    made["u"] = None
+    for i, ref in made.items():
+        want = reference.check(*((left, right, ref) if ref else (right, left, reference.Reference("k", "a")))).first().asDict()
+        assert {c: v for c, v in found[i].items() if c != "id"} == want
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
